@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataweave.session import cut
+
 # Letters of other alphabets drawn like a Latin letter (pairs "other letter, Latin letter").
 SAME_SHAPE = dict(
     pair
@@ -118,10 +120,12 @@ def _odd_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for row, text in zip(b["_row"], b["_text"]):
             for word in {w for w in _WORD.findall(text)}:
                 odd = not _LATIN.fullmatch(word)
-                look = table_form(word) if odd else word
-                own = not odd or (unicodedata.normalize("NFC", word) == word and not any(_TABLE[ord(c)] == "" for c in word) and _one_script(word))
-                rows.append((row, word, look, odd, own))
-        yield pd.DataFrame(rows, columns=["_row", "word", "look", "odd", "own"])
+                if not odd:
+                    continue
+                look = table_form(word)
+                own = (unicodedata.normalize("NFC", word) == word and not any(_TABLE[ord(c)] == "" for c in word) and _one_script(word))
+                rows.append((row, word, look, own))
+        yield pd.DataFrame(rows, columns=["_row", "word", "look", "own"])
 
 
 def _one_script(word: str) -> bool:
@@ -138,7 +142,7 @@ def _match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 at, trie = bucket, Trie()
             if own:
                 trie.add(word, count)
-            if odd and not own or odd and own is None:
+            if odd:
                 out.append((word, choose(trie.walk(word)) or look))
         yield pd.DataFrame(out, columns=["word", "form"])
 
@@ -169,8 +173,8 @@ def canonical(df: DataFrame, key: list[str], text: str, out: str = "form", bucke
     row = F.struct(*key) if len(key) > 1 else F.col(key[0])
     odd_rows = base.where(is_odd).select(row.alias("_row"), F.col(text).alias("_text"))
     row_type = odd_rows.schema["_row"].dataType.simpleString()
-    words = odd_rows.select(F.to_json(F.struct("_row")).alias("_row"), "_text").mapInPandas(_odd_words, "_row string, word string, look string, odd boolean, own boolean")
-    words = words.where("odd")
+    words = odd_rows.select(F.to_json(F.struct("_row")).alias("_row"), "_text").mapInPandas(_odd_words, "_row string, word string, look string, own boolean")
+    words = cut(words)
     odd = words.groupBy("word", "look", "own").agg(F.count("*").alias("count"))
     # Only spellings that share an initial look with some unusual word can be met on a walk; the rest stays out of the tries.
     bucket = F.pmod(F.xxhash64("look"), F.lit(buckets)).alias("bucket")
@@ -195,10 +199,12 @@ def alike(df: DataFrame, within: list[str], id_: str, text: str) -> DataFrame:
 
     Equal texts are gathered first, so that a group of copies costs one variant: variants are paired, then members.
     """
-    forms = canonical(df.select(*within, id_, text), [*within, id_], text, "_form").where(F.col(text).isNotNull())
+    texts = cut(df.where(F.col(text).isNotNull()).select(*within, id_, text))
+    forms = canonical(texts, [*within, id_], text, "_form")
     rows = forms.select(*within, F.col(id_).alias("id"), F.xxhash64("_form").alias("class"), F.xxhash64(text).alias("raw"), F.md5(F.col("_form")).alias("form"), F.md5(F.col(text)).alias("text"), F.col(text).rlike(ODD_CLASS).alias("odd"))
+    rows = cut(rows)
     classes = rows.where("odd").select(*within, "class").distinct()
-    rows = rows.join(classes, [*within, "class"], "left_semi").drop("odd")
+    rows = cut(rows.join(classes, [*within, "class"], "left_semi").drop("odd"))
     variants = rows.groupBy(*within, "class", "form", "raw", "text").agg(F.count("*").alias("n"))
     on = [*within, "class", "form"]
     other = variants.select(*on, F.col("raw").alias("raw_b"), F.col("text").alias("text_b"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataweave.llm import forms
+from strataweave.llm import forms, neardup
 from strataweave.tables import once, read
 
 
@@ -19,7 +19,13 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return forms.alike(texts, ["tab", "scope_id"], "id", "text").select("tab", "id_a", "id_b")
 
 
-QUERIES = {"p5_found": p5_found}
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    """All pairs of episodes in one group of near copies: three-word runs, 60 %, bodies of 15 words or more."""
+    episodes = once(read(spark, root, "episodes", "id", "body"), "id")
+    return neardup.group_pairs(neardup.groups(episodes, "id", "body", width=3, share=0.6, least_words=15))
+
+
+QUERIES = {"p5_found": p5_found, "p6_found": p6_found}
 ORACLES: dict[str, str] = {}
 
 
