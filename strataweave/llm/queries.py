@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataweave.llm import forms, neardup
+from strataweave.llm import forms, leakage, neardup
 from strataweave.tables import once, read
 
 
@@ -25,7 +25,13 @@ def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return neardup.group_pairs(neardup.groups(episodes, "id", "body", width=3, share=0.6, least_words=15))
 
 
-QUERIES = {"p5_found": p5_found, "p6_found": p6_found}
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    """Documents that reproduce 15 or more successive words of a held-out item, one word in ten changed at most."""
+    docs = read(spark, root, "documents", "doc_id", "text")
+    return leakage.leaks(docs, "doc_id", "text", read(spark, root, "eval_items", "item_id", "text"), "item_id", "text")
+
+
+QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found}
 ORACLES: dict[str, str] = {}
 
 
