@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataweave.llm import forms, leakage, neardup
+from strataweave.llm import forms, languages, leakage, neardup
 from strataweave.tables import once, read
 
 
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    """Segments by language of the episodes and fact inputs whose label is missing or wrong, or that mix languages."""
+    episodes = read(spark, root, "episodes", "id", "body", "meta")
+    inputs = read(spark, root, "fact_inputs", "input_id", "statement", "lang")
+    texts = episodes.select(F.concat(F.lit("episodes:"), "id").alias("key"), F.col("body").alias("text"), F.get_json_object("meta", "$.lang").alias("label")).unionByName(
+        inputs.select(F.concat(F.lit("fact_inputs:"), "input_id").alias("key"), F.col("statement").alias("text"), F.col("lang").alias("label"))
+    )
+    found = languages.label_cases(texts, "key", "text", "label")
+    part = F.split("key", ":")
+    return found.select(part[0].alias("tab"), part[1].cast("long").alias("rec_id"), "seg_no", "lang")
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """Pairs of entities (by norm) and of episodes (by body) of one scope that look the same but differ in characters."""
     entities = once(read(spark, root, "entities", "id", "scope_id", "norm"), "id")
@@ -31,7 +43,7 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return leakage.leaks(docs, "doc_id", "text", read(spark, root, "eval_items", "item_id", "text"), "item_id", "text")
 
 
-QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found}
 ORACLES: dict[str, str] = {}
 
 
