@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataweave.llm import forms, languages, leakage, neardup
+from strataweave.llm import forms, languages, leakage, neardup, personal
 from strataweave.tables import once, read
 
 
@@ -21,6 +21,24 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return found.select(part[0].alias("tab"), part[1].cast("long").alias("rec_id"), "seg_no", "lang")
 
 
+def _free_text(spark: SparkSession, root: str) -> DataFrame:
+    episodes = read(spark, root, "episodes", "id", "body").select(F.lit("episodes").alias("tab"), F.col("id").alias("rec_id"), F.col("body").alias("text"))
+    inputs = read(spark, root, "fact_inputs", "input_id", "statement")
+    return episodes.unionByName(inputs.select(F.lit("fact_inputs").alias("tab"), F.col("input_id").alias("rec_id"), F.col("statement").alias("text")))
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    """Each piece of personal information in episode bodies and statements of fact inputs."""
+    given = personal.learn_given(read(spark, root, "entities", "name", "kind"), "name", "kind")
+    return personal.findings(_free_text(spark, root), given).select("tab", "rec_id", "pii_type", "val_key").distinct()
+
+
+def p3_redacted(spark: SparkSession, root: str) -> DataFrame:
+    """The same texts with typed placeholders in place of the personal information."""
+    given = personal.learn_given(read(spark, root, "entities", "name", "kind"), "name", "kind")
+    return personal.redact(once(_free_text(spark, root), "tab", "rec_id"), given).select("tab", "rec_id", "redacted")
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """Pairs of entities (by norm) and of episodes (by body) of one scope that look the same but differ in characters."""
     entities = once(read(spark, root, "entities", "id", "scope_id", "norm"), "id")
@@ -43,7 +61,7 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return leakage.leaks(docs, "doc_id", "text", read(spark, root, "eval_items", "item_id", "text"), "item_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found}
 ORACLES: dict[str, str] = {}
 
 
