@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataweave.llm import forms, languages, leakage, neardup, personal
+from strataweave.llm import forms, languages, leakage, names, neardup, personal
 from strataweave.tables import once, read
 
 
@@ -21,6 +21,15 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return found.select(part[0].alias("tab"), part[1].cast("long").alias("rec_id"), "seg_no", "lang")
 
 
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of entities of one scope whose names stand for the same person or organisation."""
+    entities = once(read(spark, root, "entities", "id", "scope_id", "name", "norm", "kind", "degree"), "id")
+    aliases = read(spark, root, "aliases", "entity_id", "scope_id", "norm").distinct()
+    known = aliases.join(entities.select("scope_id", "norm", "id"), ["scope_id", "norm"]).where("id != entity_id")
+    given = personal.learn_given(entities, "name", "kind")
+    return names.same_entity(entities, "scope_id", "id", "name", "degree", given, known.select(F.col("id").alias("a"), F.col("entity_id").alias("b")))
+
+
 def _free_text(spark: SparkSession, root: str) -> DataFrame:
     episodes = read(spark, root, "episodes", "id", "body").select(F.lit("episodes").alias("tab"), F.col("id").alias("rec_id"), F.col("body").alias("text"))
     inputs = read(spark, root, "fact_inputs", "input_id", "statement")
@@ -61,7 +70,7 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return leakage.leaks(docs, "doc_id", "text", read(spark, root, "eval_items", "item_id", "text"), "item_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found}
 ORACLES: dict[str, str] = {}
 
 
