@@ -38,6 +38,7 @@ NAMES = {
 }
 _NAMED = {name: lang for lang, names in NAMES.items() for name in names.split()}
 NOTHING = {"", "und", "unknown", "xx", "xxx", "zxx", "mul", "n/a", "na", "none", "null", "-", "--", "?", "other", "auto", "default"}
+_EDGE = ".,;:!?()[]\"'«»“”…¿¡`*#-_"
 N = 4
 BREAK = re.compile(r"(?<=[.!?…])[\"'”»)\]]*\s+|\n+")
 NOT_LETTERS = re.compile(r"[^a-zà-öø-ÿœ'\n]+")
@@ -89,7 +90,7 @@ def split(text: str) -> list[tuple[str, int]]:
     out = []
     for piece in BREAK.split(table_form(text)):
         if piece and (tokens := piece.split()):
-            prose = sum(t.strip(".,;:!?()[]\"'«»“”…¿¡`*#-_").replace("'", "").replace("-", "").isalpha() for t in tokens)
+            prose = sum(t.isalpha() or t.strip(_EDGE).replace("'", "").replace("-", "").isalpha() for t in tokens)
             out.append((piece, prose if 2 * prose > len(tokens) else 0))
     return out
 

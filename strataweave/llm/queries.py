@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataweave.llm import forms, languages, leakage, names, neardup, personal
+from strataweave.llm import forms, languages, leakage, names, neardup, personal, reading
 from strataweave.tables import once, read
 
 
@@ -70,7 +70,13 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return leakage.leaks(docs, "doc_id", "text", read(spark, root, "eval_items", "item_id", "text"), "item_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found}
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    """The reading level, on the raters' scale, of every document with 60 words of prose or more."""
+    docs = read(spark, root, "documents", "doc_id", "text", "source")
+    return reading.levels(docs, "doc_id", "text", "source", read(spark, root, "ratings", "doc_id", "grade"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found, "p9_found": p9_found}
 ORACLES: dict[str, str] = {}
 
 
