@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataweave.llm import forms, languages, leakage, names, neardup, personal, reading
+from strataweave.llm import forms, languages, leakage, names, neardup, packing, personal, reading
 from strataweave.tables import once, read
 
 
@@ -64,6 +64,21 @@ def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return neardup.group_pairs(neardup.groups(episodes, "id", "body", width=3, share=0.6, least_words=15))
 
 
+def _packed(spark: SparkSession, root: str) -> DataFrame:
+    sizes = packing.token_counts(read(spark, root, "documents", "doc_id", "text"), "doc_id", "text")
+    return packing.pack(sizes, read(spark, root, "budgets", "budget_id", "capacity"))
+
+
+def p7_bins(spark: SparkSession, root: str) -> DataFrame:
+    """Every document, or part of one, in its container, for each capacity of budgets."""
+    return _packed(spark, root)
+
+
+def p7_fill(spark: SparkSession, root: str) -> DataFrame:
+    """How full the containers are, per capacity."""
+    return packing.fill(_packed(spark, root), read(spark, root, "budgets", "budget_id", "capacity"))
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     """Documents that reproduce 15 or more successive words of a held-out item, one word in ten changed at most."""
     docs = read(spark, root, "documents", "doc_id", "text")
@@ -76,7 +91,7 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return reading.levels(docs, "doc_id", "text", "source", read(spark, root, "ratings", "doc_id", "grade"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p6_found": p6_found, "p7_bins": p7_bins, "p7_fill": p7_fill, "p8_found": p8_found, "p9_found": p9_found}
 ORACLES: dict[str, str] = {}
 
 

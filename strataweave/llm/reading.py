@@ -181,13 +181,17 @@ def features(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.mapInPandas(_describe, "doc_id long, words int, features array<double>")
 
 
-def fit(described: DataFrame, sources: DataFrame, ratings: DataFrame, most_rated: int = 6000) -> Levels | None:
-    """The model from a bounded sample of rated documents; `sources` has (doc_id, source), ratings (doc_id, grade)."""
+def rated_sample(ratings: DataFrame, most_rated: int = 6000) -> DataFrame:
+    """Rows (doc_id, grade): the mean grade of at most `most_rated` rated documents."""
     rated = ratings.where(F.col("grade").isNotNull()).groupBy("doc_id").agg(F.avg("grade").alias("grade"))
-    rated = rated.orderBy(F.xxhash64("doc_id")).limit(most_rated)
+    return rated.orderBy(F.xxhash64("doc_id")).limit(most_rated)
+
+
+def fit(described: DataFrame, sources: DataFrame, rated: DataFrame) -> Levels | None:
+    """The model from the rated sample; `sources` has (doc_id, source)."""
     fold = F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(1_000_003)).alias("fold")
-    rows = described.join(F.broadcast(rated), "doc_id").join(sources.dropDuplicates(["doc_id"]).select("doc_id", fold), "doc_id")
-    rows = rows.dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
+    rows = sources.join(F.broadcast(rated), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "grade", fold)
+    rows = described.join(F.broadcast(rows), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
     return Levels(rows) if len(rows) else None
 
 
@@ -195,8 +199,8 @@ def levels(docs: DataFrame, doc_id: str, text: str, source: str, ratings: DataFr
     """Rows (doc_id, level) for every document with enough prose. See the module's text."""
     spark = docs.sparkSession
     described = cut(features(docs, doc_id, text))
-    rated_sources = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source")).join(F.broadcast(ratings.select("doc_id").distinct()), "doc_id", "left_semi")
-    model = fit(described, rated_sources, ratings)
+    sources = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"))
+    model = fit(described, sources, cut(rated_sample(ratings)))
     if model is None:
         return spark.createDataFrame([], "doc_id long, level int")
     shared = spark.sparkContext.broadcast(model)
