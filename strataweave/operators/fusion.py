@@ -78,15 +78,15 @@ def fuse_episodes(bm25: DataFrame, vector: DataFrame, episodes: DataFrame, limit
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "id", "rank")
 
 
-def legs(queries: DataFrame, facts: DataFrame, entities: DataFrame, scopes: DataFrame, when: Column | None = None, hops: int = 1) -> DataFrame:
+def legs(queries: DataFrame, facts: DataFrame, entities: DataFrame, when: Column | None = None, hops: int = 1) -> DataFrame:
     """Rows (query_id, id, leg, rank) of queries (query_id, text, scope_id): the lexical, vector and graph leg."""
     when = live() if when is None else when
     allowed = queries.select("query_id", F.explode(F.array_distinct(F.array("scope_id", F.lit(1).cast("long")))).alias("scope_id"))
     seen = facts.withColumn("scope_id", F.when(when, F.col("scope_id")))
     words = lexical.bm25(queries, seen, "id", "statement", allowed)
     index = facts.where(when).select("id", "scope_id", vectors.hashed_embedding(F.col("statement")).alias("q"))
-    near = vectors.nearest(queries.select("query_id", vectors.hashed_embedding(F.col("text")).alias("q")), index)
-    near = near.join(index.select("id", "scope_id"), "id").join(F.broadcast(allowed), ["query_id", "scope_id"])
+    scopes_of = F.array_distinct(F.array("scope_id", F.lit(1).cast("long"))).alias("scopes")
+    near = vectors.nearest(queries.select("query_id", scopes_of, vectors.hashed_embedding(F.col("text")).alias("q")), index).drop("rank")
     near = vectors.relative_floor(near).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cos"), "id")))
     two = words.select("query_id", "id", F.lit("bm25").alias("leg"), "rank").unionByName(near.select("query_id", "id", F.lit("vector").alias("leg"), "rank"))
     if not hops:
@@ -98,9 +98,9 @@ def legs(queries: DataFrame, facts: DataFrame, entities: DataFrame, scopes: Data
     return two.unionByName(reach)
 
 
-def recall(queries: DataFrame, facts: DataFrame, entities: DataFrame, scopes: DataFrame, now_ts: int, limit: int = 12, hops: int = 1, when: Column | None = None) -> DataFrame:
+def recall(queries: DataFrame, facts: DataFrame, entities: DataFrame, now_ts: int, limit: int = 12, hops: int = 1, when: Column | None = None) -> DataFrame:
     """Rows (query_id, id, score, pick): the facts that answer each query, diversified, best first."""
-    fused = rrf(legs(queries, facts, entities, scopes, when, hops)).where(F.col("rank") <= max(24, 4 * limit))
+    fused = rrf(legs(queries, facts, entities, when, hops)).where(F.col("rank") <= max(24, 4 * limit))
     rows = fused.drop("rank").join(facts.select("id", "statement", "confidence", "recorded_at", "hits"), "id")
     pool = rows.select("query_id", "id", "statement", adjusted(F.col("score"), F.col("confidence"), F.col("recorded_at"), F.col("hits"), now_ts).alias("score"))
     return diversify(pool.withColumn("q", vectors.hashed_embedding(F.col("statement"))), limit)

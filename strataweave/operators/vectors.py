@@ -36,28 +36,37 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 60, block: int = 40
 
     The queries are a stated set, taken in blocks of at most `block`; each batch of vectors keeps its own best k per
     query before anything is shuffled. Vectors of another dimension than `dim` (default: the first query's) are left
-    out. A query finds its own vector too; ties go to the smaller id.
+    out. A query finds its own vector too; ties go to the smaller id. Where queries have a column `scopes` (array of
+    ids) and vectors a `scope_id`, a query sees the vectors of its scopes only.
     """
-    rows, out = queries.select("query_id", "q").where("q IS NOT NULL").toLocalIterator(), None
+    scoped = "scopes" in queries.columns
+    rows, out = queries.select("query_id", "q", *["scopes"] * scoped).where("q IS NOT NULL").toLocalIterator(), None
     while part := list(islice(rows, block)):
         width = dim or len(part[0].q)
         part = [r for r in part if len(r.q) == width]
         ids = np.array([r.query_id for r in part], dtype=np.int64)
         matrix = np.array([list(r.q) for r in part], dtype=np.float32).reshape(len(part), width)
-        shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
+        sees = {r.query_id: set(r.scopes) for r in part} if scoped else None
+        shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix, sees))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            asked, m = shared.value
+            asked, m, sees = shared.value
             for b in batches:
                 own = b["id"].to_numpy()
+                scope = b["scope_id"].to_numpy() if sees else None
                 dots = m @ np.stack(b["q"].to_numpy()).astype(np.float32).T  # exact: sums of products of small integers
+                if sees:
+                    for i, query in enumerate(asked):
+                        dots[i, ~np.isin(scope, list(sees[query]))] = -np.inf
                 for lo in range(0, dots.shape[1], 20_000):
                     d, o = dots[:, lo : lo + 20_000], own[lo : lo + 20_000]
                     keep = np.lexsort((np.broadcast_to(o, d.shape), -d), axis=1)[:, :k]
-                    yield pd.DataFrame({"query_id": np.repeat(asked, keep.shape[1]), "id": o[keep].ravel(), "dot": np.take_along_axis(d, keep, 1).ravel().astype(np.int64)})
+                    best = np.take_along_axis(d, keep, 1).ravel()
+                    seen = best > -np.inf
+                    yield pd.DataFrame({"query_id": np.repeat(asked, keep.shape[1])[seen], "id": o[keep].ravel()[seen], "dot": best[seen].astype(np.int64)})
 
         if len(part):
-            got = vectors.where(F.size("q") == width).select("id", "q").mapInPandas(run, "query_id long, id long, dot long")
+            got = vectors.where(F.size("q") == width).select("id", "q", *["scope_id"] * scoped).mapInPandas(run, "query_id long, id long, dot long")
             out = got if out is None else out.unionByName(got)
     if out is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, id long, cos double, rank int")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strataweave.plans import interval_queries
+from strataweave.plans import interval_queries, store_queries, text_queries
 
-MODULES = [interval_queries]
+MODULES = [interval_queries, store_queries, text_queries]
 FLAGSHIP = "p4_found"
 
 
