@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNIT = 127 * 127
+MERGE_AT = 0.96
 FLOOR_LEAST, FLOOR_SHARE = 0.02, 0.65
 
 
@@ -31,12 +32,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0), lambda s, x: s + x) / UNIT
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = 60, block: int = 4096, dim: int | None = None) -> DataFrame:
-    """Rows (query_id, id, cos, rank): for queries (query_id, q) the k nearest of vectors (id, q), exactly.
+def _search(queries: DataFrame, vectors: DataFrame, block: int, dim: int | None, pick) -> DataFrame:
+    """Rows (query_id, id, dot): of every batch of vectors what `pick(dots, ids)` keeps per query.
 
-    The queries are a stated set, taken in blocks of at most `block`; each batch of vectors keeps its own best k per
-    query before anything is shuffled. Vectors of another dimension than `dim` (default: the first query's) are left
-    out. A query finds its own vector too; ties go to the smaller id. Where queries have a column `scopes` (array of
+    The queries are a stated set, taken in blocks of at most `block`; each batch of vectors keeps its own hits before
+    anything is shuffled. Vectors of another dimension than `dim` (default: the first query's) are left out. Where queries have a column `scopes` (array of
     ids) and vectors a `scope_id`, a query sees the vectors of its scopes only.
     """
     scoped = "scopes" in queries.columns
@@ -60,19 +60,36 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 60, block: int = 40
                         dots[i, ~np.isin(scope, list(sees[query]))] = -np.inf
                 for lo in range(0, dots.shape[1], 20_000):
                     d, o = dots[:, lo : lo + 20_000], own[lo : lo + 20_000]
-                    keep = np.lexsort((np.broadcast_to(o, d.shape), -d), axis=1)[:, :k]
-                    best = np.take_along_axis(d, keep, 1).ravel()
-                    seen = best > -np.inf
-                    yield pd.DataFrame({"query_id": np.repeat(asked, keep.shape[1])[seen], "id": o[keep].ravel()[seen], "dot": best[seen].astype(np.int64)})
+                    row, col = pick(d, o)
+                    seen = d[row, col] > -np.inf
+                    row, col = row[seen], col[seen]
+                    yield pd.DataFrame({"query_id": asked[row], "id": o[col], "dot": d[row, col].astype(np.int64)})
 
         if len(part):
             got = vectors.where(F.size("q") == width).select("id", "q", *["scope_id"] * scoped).mapInPandas(run, "query_id long, id long, dot long")
             out = got if out is None else out.unionByName(got)
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, id long, cos double, rank int")
+    return vectors.sparkSession.createDataFrame([], "query_id long, id long, dot long") if out is None else out
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = 60, block: int = 4096, dim: int | None = None) -> DataFrame:
+    """Rows (query_id, id, cos, rank): for queries (query_id, q) the k nearest of vectors (id, q), exactly.
+
+    A query finds its own vector too; ties go to the smaller id. See `_search` for blocks, dimensions and scopes.
+    """
+
+    def best(d: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keep = np.lexsort((np.broadcast_to(ids, d.shape), -d), axis=1)[:, :k]
+        return np.repeat(np.arange(len(d)), keep.shape[1]), keep.ravel()
+
     order = Window.partitionBy("query_id").orderBy(F.desc("dot"), "id")
-    best = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return best.select("query_id", "id", (F.col("dot") / UNIT).alias("cos"), "rank")
+    hits = _search(queries, vectors, block, dim, best).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return hits.select("query_id", "id", (F.col("dot") / UNIT).alias("cos"), "rank")
+
+
+def within(queries: DataFrame, vectors: DataFrame, least: float, block: int = 4096, dim: int | None = None) -> DataFrame:
+    """Rows (query_id, id, cos): all of vectors (id, q) whose cosine with a query is at least `least`, its own included."""
+    hits = _search(queries, vectors, block, dim, lambda d, ids: np.nonzero(d >= least * UNIT))
+    return hits.select("query_id", "id", (F.col("dot") / UNIT).alias("cos"))
 
 
 def relative_floor(hits: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from strataweave.plans import interval_queries, store_queries, text_queries
+from strataweave.plans import interval_queries, search_queries, store_queries, text_queries, write_queries
 
-MODULES = [interval_queries, store_queries, text_queries]
-FLAGSHIP = "p4_found"
+MODULES = [interval_queries, store_queries, text_queries, write_queries, search_queries]
+FLAGSHIP = "recalled"
 
 
 def queries() -> dict:
