@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strataweave.functions.text import BLANKS, DAY
 from strataweave.operators import graph, lexical, vectors
 from strataweave.operators.temporal import live
+from strataweave.session import cut
 
 K = 60
 WEIGHTS = {"bm25": 1.0, "vector": 0.7, "graph": 0.5}
@@ -88,7 +89,7 @@ def legs(queries: DataFrame, facts: DataFrame, entities: DataFrame, when: Column
     scopes_of = F.array_distinct(F.array("scope_id", F.lit(1).cast("long"))).alias("scopes")
     near = vectors.nearest(queries.select("query_id", scopes_of, vectors.hashed_embedding(F.col("text")).alias("q")), index).drop("rank")
     near = vectors.relative_floor(near).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cos"), "id")))
-    two = words.select("query_id", "id", F.lit("bm25").alias("leg"), "rank").unionByName(near.select("query_id", "id", F.lit("vector").alias("leg"), "rank"))
+    two = cut(words.select("query_id", "id", F.lit("bm25").alias("leg"), "rank").unionByName(near.select("query_id", "id", F.lit("vector").alias("leg"), "rank")))
     if not hops:
         return two
     seeds = rrf(two).where(F.col("rank") <= 10).select(F.col("query_id").alias("group"), "id")
@@ -100,6 +101,8 @@ def legs(queries: DataFrame, facts: DataFrame, entities: DataFrame, when: Column
 
 def recall(queries: DataFrame, facts: DataFrame, entities: DataFrame, now_ts: int, limit: int = 12, hops: int = 1, when: Column | None = None) -> DataFrame:
     """Rows (query_id, id, score, pick): the facts that answer each query, diversified, best first."""
+    facts = cut(facts.select("id", "scope_id", "src", "dst", "statement", "confidence", "valid_from", "valid_to", "recorded_at", "invalidated_at", "hits"))
+    queries = cut(queries)
     fused = rrf(legs(queries, facts, entities, when, hops)).where(F.col("rank") <= max(24, 4 * limit))
     rows = fused.drop("rank").join(facts.select("id", "statement", "confidence", "recorded_at", "hits"), "id")
     pool = rows.select("query_id", "id", "statement", adjusted(F.col("score"), F.col("confidence"), F.col("recorded_at"), F.col("hits"), now_ts).alias("score"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataweave.functions.text import ymd
+from strataweave.session import cut
 
 
 def endpoints(facts: DataFrame, *keep: str) -> DataFrame:
@@ -40,7 +41,7 @@ def expand(facts: DataFrame, entities: DataFrame, seeds: DataFrame, hops: int =
     """Rows (group, id, hop, rank): what is reached from seeds (group, id) in at most `hops` steps, each fact once."""
     seen, frontier, out = seeds.select("group", "id"), seeds.select("group", "id"), None
     for hop in range(1, hops + 1):
-        found = neighbors(facts, entities, entities_of(facts, frontier), seen, most).withColumn("hop", F.lit(hop))
+        found = cut(neighbors(facts, entities, entities_of(facts, frontier), seen, most).withColumn("hop", F.lit(hop)))
         out = found if out is None else out.unionByName(found)
         frontier = found.select("group", "id")
         seen = seen.unionByName(frontier)

@@ -7,6 +7,8 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataweave.session import cut
+
 # Words without retrieval signal, English and Spanish.
 STOP = (
     "the a an and or of to in on for is are was were be do does did how what when why which that this it with at by from as we i you my our "
@@ -36,8 +38,9 @@ def query_terms(text: Column) -> Column:
 
 
 def postings(docs: DataFrame, id_: str, text: str) -> DataFrame:
-    """Rows (doc, tok, tf)."""
-    return docs.select(F.col(id_).alias("doc"), F.explode(tokens(F.col(text))).alias("tok")).groupBy("doc", "tok").agg(F.count("*").alias("tf"))
+    """Rows (doc, tok, dl, tf): how often a token stands in a document of dl tokens."""
+    split = docs.select(F.col(id_).alias("doc"), tokens(F.col(text)).alias("toks"))
+    return split.select("doc", F.size("toks").alias("dl"), F.explode("toks").alias("tok")).groupBy("doc", "tok", "dl").agg(F.count("*").alias("tf"))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, id_: str, text: str, allowed: DataFrame | None = None, most: int = 60) -> DataFrame:
@@ -47,8 +50,7 @@ def bm25(queries: DataFrame, docs: DataFrame, id_: str, text: str, allowed: Data
     only filters what is returned. Ties go to the smaller id; scores are rounded to nine decimals before ranking.
     """
     terms = queries.select("query_id", F.inline(query_terms(F.col("text"))))
-    sizes = docs.select(F.col(id_).alias("doc"), F.size(tokens(F.col(text))).alias("dl"))
-    stats = F.broadcast(sizes.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")))
+    stats = F.broadcast(docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(tokens(F.col(text)))).alias("avgdl")))
     post = postings(docs, id_, text)
     asked = terms.select("term", "prefix").distinct()
     words = post.select("tok").distinct()
@@ -56,12 +58,12 @@ def bm25(queries: DataFrame, docs: DataFrame, id_: str, text: str, allowed: Data
     key = lambda c: F.substring(c, 1, 2)
     same = F.when(F.col("prefix"), F.col("tok").startswith(F.col("term"))).otherwise(F.col("tok") == F.col("term"))
     match = words.withColumn("k", key("tok")).join(asked.withColumn("k", key("term")), "k").where(same).select("term", "prefix", "tok")
-    hits = post.join(match, "tok").groupBy("term", "prefix", "doc").agg(F.sum("tf").alias("tf"))
+    hits = cut(post.join(match, "tok").groupBy("term", "prefix", "doc", "dl").agg(F.sum("tf").alias("tf")))
     spread = hits.groupBy("term", "prefix").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     spread = spread.crossJoin(stats).select("term", "prefix", "avgdl", F.when(idf <= 0, 1e-6).otherwise(idf).alias("idf"))  # one row of statistics
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    weighed = hits.join(spread, ["term", "prefix"]).join(sizes, "doc").select("term", "prefix", "doc", (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("w"))
+    weighed = hits.join(spread, ["term", "prefix"]).select("term", "prefix", "doc", (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("w"))
     times = terms.groupBy("query_id", "term", "prefix").agg(F.count("*").alias("times"))
     found = weighed.join(times, ["term", "prefix"])
     if allowed is not None and "scope_id" in allowed.columns:

@@ -27,8 +27,11 @@ def snippet(content: Column, line_from: Column, line_to: Column) -> Column:
 
 
 def read_files(spark: SparkSession, paths: str | list[str], asked: DataFrame | None = None) -> DataFrame:
-    """Rows (path, lang, snippet, line_from, line_to) of whole text files; asked (path, line_from, line_to) names ranges."""
-    files = spark.read.text(paths, wholetext=True).select(F.regexp_replace(F.input_file_name(), "^file:/*", "/").alias("path"), F.col("value").alias("content"))
+    """Rows (path, lang, snippet, line_from, line_to) of whole text files; asked (path, line_from, line_to) names ranges.
+
+    Files without content have no row: Spark's readers do not open them.
+    """
+    files = spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.decode("content", "UTF-8").alias("content"))
     if asked is None:
         files = files.withColumns({"line_from": F.lit(None).cast("long"), "line_to": F.lit(None).cast("long")})
     else:
