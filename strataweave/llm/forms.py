@@ -187,11 +187,11 @@ def canonical(df: DataFrame, key: list[str], text: str, out: str = "form", bucke
     cols = ["bucket", "word", "look", "odd", "own", "count"]
     entries = latin.select(*cols).unionByName(spellings.select(*cols)).unionByName(seekers.select(*cols))
     mapping = entries.repartition("bucket").sortWithinPartitions("bucket", "odd").mapInPandas(_match, "word string, form string")
-    found = words.select("_row", "word").join(mapping, "word").groupBy("_row").agg(F.collect_list("word").alias("words"), F.collect_list("form").alias("forms"))
-    found = found.select(F.from_json("_row", f"_row {row_type}").getField("_row").alias("_row"), "words", "forms")
+    found = words.select("_row", "word").join(mapping, "word").groupBy("_row").agg(F.collect_list("word").alias("_words"), F.collect_list("form").alias("_forms"))
+    found = found.select(F.from_json("_row", f"_row {row_type}").getField("_row").alias("_row"), "_words", "_forms")
     plain = df.where(F.col(text).isNull() | ~is_odd).withColumn(out, F.col(text))
-    changed = base.where(is_odd).withColumn("_row", row).join(found, "_row", "left").withColumn(out, rebuild(F.col(text), F.col("words"), F.col("forms")))
-    return plain.unionByName(changed.drop("_row", "words", "forms"))
+    changed = base.where(is_odd).withColumn("_row", row).join(found, "_row", "left").withColumn(out, rebuild(F.col(text), F.col("_words"), F.col("_forms")))
+    return plain.unionByName(changed.drop("_row", "_words", "_forms"))
 
 
 def alike(df: DataFrame, within: list[str], id_: str, text: str) -> DataFrame:
