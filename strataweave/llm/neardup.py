@@ -2,11 +2,13 @@
 
 A text is the set of its distinct runs of `width` successive words. Two texts whose sets agree to `share` (Jaccard)
 must have T shingles in common, T following from the two sizes. The shingles of a text are ordered from rare to
-frequent by one order for the whole table; the T-1 most frequent lists of a text are set aside as its long lists, so a
-partner must occur on at least one of the short lists. The short lists are merged by a join on the shingle (lists of
-very frequent shingles are cut into blocks that meet pairwise, so no list falls to one task), with the position bound
-and a bitmap bound that loses no pair; then the rest of each candidate is probed by binary search, and pairs that
-reach the overlap are kept. Near copies of near copies are joined by connected components.
+frequent by one order for the whole table; the most frequent lists of a text are set aside as its long lists, so that a
+partner must occur on at least one of its short lists: of the larger text the first n - T(n) + 1 lists are short, of
+the smaller one, which is indexed, fewer. The short lists are merged by a join on the shingle and a band of sizes, for
+the place of a shingle in the order bounds the size a partner can have; lists of very frequent shingles are cut into
+blocks that meet pairwise, so no list falls to one task. A bitmap bound that loses no pair leaves few candidates; the
+rest of each is probed by binary search, and pairs that reach the overlap are kept. Near copies of near copies are
+joined by connected components.
 
 Equal texts are one node from the start: copies are never paired before the result.
 
@@ -29,7 +31,8 @@ from strataweave.operators.components import components
 from strataweave.session import cut
 
 WORDS = r"[\p{L}\p{N}]+"
-SIGNATURE = 8  # longs of the bitmap
+SIGNATURE = 4  # longs of the bitmap
+BAND = math.log(1.12)  # width of a band of sizes
 
 
 def _table_forms(texts: pd.Series) -> pd.Series:
@@ -62,29 +65,48 @@ def rarity(sets: DataFrame, column: str, slots: int) -> np.ndarray:
     return out
 
 
-def _postings(rare, slots: int, share: float, block: int):
+def _band(n):
+    return np.floor(np.log(np.maximum(n, 1)) / BAND + 1e-9).astype(np.int64)
+
+
+def _postings(rare, slots: int, share: float, block: int, indexed: bool):
+    """Rows (s, node, meta, blocks, low, high, b0..): the short lists of every set as the smaller text of a pair, which is
+    indexed, or as the larger one, which probes.
+
+    meta holds size and place; low to high are the bands of sizes where a partner is met. Between equal sizes either
+    may be the smaller one.
+    """
+    alpha = share / (1 + share)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = rare.value
         for b in batches:
-            out = {k: [] for k in ("s", "node", "n", "pos", "blocks")}
+            out: dict[str, list] = {k: [] for k in ("s", "node", "meta", "blocks", "low", "high")}
             signs = []
             for node, ids in zip(b["node"], b["shingles"]):
                 ids = np.asarray(ids, dtype=np.int64)
-                if not len(ids):
+                n = len(ids)
+                if not n:
                     continue
                 often = counts[np.mod(ids, slots)]
-                ids = ids[np.lexsort((ids, often))]
-                n = len(ids)
-                keep = n - math.ceil(share * n - 1e-9) + 1
+                order = np.lexsort((ids, often))
+                ids, often = ids[order], often[order]
+                probe = n - math.ceil(share * n - 1e-9) + 1
+                index = n - math.ceil(2 * alpha * n - 1e-9) + 1
                 bits = np.mod(ids >> 7, 64 * SIGNATURE)
                 sign = np.zeros(SIGNATURE, dtype=np.uint64)
                 np.bitwise_or.at(sign, bits // 64, np.uint64(1) << (bits % 64).astype(np.uint64))
-                out["s"].append(ids[:keep])
-                out["node"].append(np.full(keep, node, dtype=np.int64))
-                out["n"].append(np.full(keep, n, dtype=np.int32))
-                out["pos"].append(np.arange(keep, dtype=np.int32))
-                out["blocks"].append(np.maximum(1, -(-np.sort(often)[:keep] // block)).astype(np.int32))
-                signs.append(np.repeat(sign.view(np.int64)[None, :], keep, axis=0))
+                place = np.arange(max(probe, index), dtype=np.int64)
+                largest = np.floor((n - place[:index]) / alpha - n + 1e-9)  # the largest partner with which enough can still be shared
+                own = int(_band(n))
+                k = index if indexed else probe
+                out["s"].append(ids[:k])
+                out["node"].append(np.full(k, node, dtype=np.int64))
+                out["meta"].append((n << 32) + place[:k])
+                out["blocks"].append(np.maximum(1, -(-often[:k] // block)).astype(np.int32))
+                out["low"].append(np.full(k, own, dtype=np.int32))
+                out["high"].append(np.maximum(_band(largest), own).astype(np.int32) if indexed else np.full(k, own, dtype=np.int32))
+                signs.append(np.repeat(sign.view(np.int64)[None, :], k, axis=0))
             if signs:
                 frame = pd.DataFrame({k: np.concatenate(v) for k, v in out.items()})
                 sign = np.concatenate(signs)
@@ -114,20 +136,23 @@ def near_pairs(sets: DataFrame, share: float, slots: int = 1 << 20, block: int =
     spark = sets.sparkSession
     rare = spark.sparkContext.broadcast(rarity(sets, "shingles", slots))
     signs = [f"b{i}" for i in range(SIGNATURE)]
-    fields = "s long, node long, n int, pos int, blocks int, " + ", ".join(f"{c} long" for c in signs)
-    posts = sets.mapInPandas(_postings(rare, slots, share, block), fields)
+    fields = "s long, node long, meta long, blocks int, low int, high int, " + ", ".join(f"{c} long" for c in signs)
+    larger = sets.mapInPandas(_postings(rare, slots, share, block, False), fields)
+    smaller = sets.mapInPandas(_postings(rare, slots, share, block, True), fields)
+    # A long list is cut into blocks: probes stand in one block each, indexed entries in all of them.
     mine = F.when(F.col("blocks") > 1, F.pmod(F.hash("node"), F.col("blocks"))).otherwise(0)
-    posts = posts.withColumn("mine", mine).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    posts = posts.select("s", "node", "n", "pos", "mine", *signs, F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
-    y = posts.select(*[F.col(c).alias(c if c in ("s", "p", "q") else f"{c}_y") for c in posts.columns])
-    need = F.ceil(share / (1 + share) * (F.col("n") + F.col("n_y")) - 1e-9)
-    reach = 1 + F.least(F.col("n") - F.col("pos"), F.col("n_y") - F.col("pos_y")) - 1
+    key = lambda band, part: F.xxhash64("s", band, part).alias("key")
+    probes = larger.select(key(F.col("high"), mine), F.col("node").alias("node_y"), F.col("meta").alias("meta_y"), *[F.col(c).alias(f"{c}_y") for c in signs])
+    index = smaller.select("s", "node", "meta", "blocks", *signs, F.explode(F.sequence("low", "high")).alias("band"))
+    index = index.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part")).select(key(F.col("band"), F.col("part")), "node", "meta", *signs)
+    size, size_y = F.shiftright("meta", 32), F.shiftright("meta_y", 32)
+    place, place_y = F.col("meta").bitwiseAND(0xFFFFFFFF), F.col("meta_y").bitwiseAND(0xFFFFFFFF)
+    need = F.ceil(share / (1 + share) * (size + size_y) - 1e-9)
     apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_y"))) for c in signs[1:]), F.bit_count(F.col("b0").bitwiseXOR(F.col("b0_y"))))
-    meet = (F.col("p") == F.col("q")) | (F.col("mine") != F.col("mine_y"))
-    pairs = posts.join(y, ["s", "p", "q"]).where(
-        (F.col("node") < F.col("node_y")) & meet & (reach >= need) & (apart <= F.col("n") + F.col("n_y") - 2 * need)
+    pairs = index.join(probes, "key").where(
+        (size <= size_y) & (F.col("node") != F.col("node_y")) & (apart <= size + size_y - 2 * need) & (F.least(size - place, size_y - place_y) >= need)
     )
-    pairs = pairs.select(F.col("node").alias("a"), F.col("node_y").alias("b")).distinct()
+    pairs = pairs.select(F.least("node", "node_y").alias("a"), F.greatest("node", "node_y").alias("b")).distinct()
     of = lambda k, c: sets.select(F.col("node").alias(k), F.array_sort("shingles").alias(c))
     return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInPandas(_probe(share), "a long, b long")
 
@@ -138,7 +163,7 @@ def groups(df: DataFrame, id_: str, text: str, width: int = 5, share: float = 0.
     rows = one_form(rows, "_text", "_form").select("id", F.regexp_extract_all("_form", F.lit(WORDS), F.lit(0)).alias("words"))
     rows = rows.where(F.size("words") >= max(least_words, width))
     rows = cut(rows.select("id", F.xxhash64("words").alias("node"), shingles(F.col("words"), width).alias("shingles")))
-    sets = rows.select("node", "shingles").dropDuplicates(["node"])
+    sets = cut(rows.select("node", "shingles").dropDuplicates(["node"]))
     roots = components(near_pairs(sets, share), "a", "b")
     return rows.select("id", "node").join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
 
