@@ -111,12 +111,15 @@ def grams_of(sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.minimum(starts, n - 1)
 
 
-def decide(counts: np.ndarray, least: float, margin: float) -> tuple[np.ndarray, np.ndarray]:
-    """(language number or -1, confidence) for each row of corrected counts."""
+def decide(counts: np.ndarray, least: float, spread: float) -> tuple[np.ndarray, np.ndarray]:
+    """(language number or -1, confidence) for each row of corrected counts.
+
+    A language needs `least` n-grams and must lead the next one by `spread` standard deviations of their difference.
+    """
     order = np.argsort(counts, axis=1)
     best, second = (np.take_along_axis(counts, order[:, -k : (-k + 1) or None], axis=1)[:, 0] for k in (1, 2))
-    sure = best / np.maximum(best + second, 1e-9)
-    return np.where((best >= least) & (sure >= margin), order[:, -1], -1), sure
+    both = best + second
+    return np.where((best >= least) & (best - second >= spread * np.sqrt(both)), order[:, -1], -1), best / np.maximum(both, 1e-9)
 
 
 def _tables(labels: np.ndarray, grams: np.ndarray, starts: np.ndarray, ratio: float) -> list[np.ndarray]:
@@ -142,10 +145,10 @@ def train(rows: pd.DataFrame) -> Filter:
     grams, starts = grams_of(pieces)
     labels = np.array(labels)
     first = Filter(_tables(labels, grams, starts, 0.5))
-    got, _ = decide(first.counts(grams, starts), 3, 0.55)
+    got, _ = decide(first.counts(grams, starts), 3, 1.0)
     for _ in range(2):
-        again = Filter(_tables(np.where(got == labels, labels, -1), grams, starts, 0.1))
-        got, _ = decide(again.counts(grams, starts), 3, 0.55)
+        again = Filter(_tables(np.where(got == labels, labels, -1), grams, starts, 0.25))
+        got, _ = decide(again.counts(grams, starts), 3, 1.0)
     return again
 
 
@@ -162,7 +165,7 @@ def sample(df: DataFrame, key: str, text: str, lang: Column, rows: int) -> pd.Da
 SEGMENTS = "key string, seg_no int, lang string, confidence double, words int, sentences int, prose int"
 
 
-def _segment(model, least: float, margin: float):
+def _segment(model, least: float, spread: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: Filter = model.value
         for b in batches:
@@ -177,7 +180,7 @@ def _segment(model, least: float, margin: float):
                 grams, starts = grams_of(pieces)
                 counts = known.counts(grams, starts)
                 counts[np.array(prose) == 0] = 0
-                lang, sure = decide(counts, least, margin)
+                lang, sure = decide(counts, least, spread)
                 total: dict[int, int] = {}
                 for i, n in zip(owner, prose):
                     total[i] = total.get(i, 0) + n
@@ -209,11 +212,11 @@ def _segment(model, least: float, margin: float):
     return run
 
 
-def segments(df: DataFrame, key: str, text: str, model: Filter, least: float = 4, margin: float = 0.6) -> DataFrame:
+def segments(df: DataFrame, key: str, text: str, model: Filter, least: float = 4, spread: float = 1.2) -> DataFrame:
     """Rows (key, seg_no, lang, confidence, words, sentences, prose): the segments of every text in reading order."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     rows = df.where(F.col(text).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
-    return rows.mapInPandas(_segment(shared, least, margin), SEGMENTS)
+    return rows.mapInPandas(_segment(shared, least, spread), SEGMENTS)
 
 
 def label_cases(df: DataFrame, key: str, text: str, label: str, sample_rows: int = 1500, least_words: int = 6) -> DataFrame:
