@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +45,17 @@ def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in the shared folder, so that a lost executor costs no rerun."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Hands this package to the session's Python workers, once, so that executors need no installation of it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_strataweave_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="strataweave-package-")) / "strataweave_package.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    sc._strataweave_shipped = True
