@@ -36,15 +36,13 @@ BAND = math.log(1.12)  # width of a band of sizes
 
 
 def _table_forms(texts: pd.Series) -> pd.Series:
-    return texts.map(table_form)
+    return texts.map(lambda t: None if t is None else table_form(t))
 
 
 def one_form(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with `out`: the text in its table form and lower case; only unusual texts leave the JVM."""
-    plain = df.where(~F.col(text).rlike(ODD_CLASS)).withColumn(out, F.lower(text))
-    form = F.pandas_udf(_table_forms, "string")
-    odd = df.where(F.col(text).rlike(ODD_CLASS)).withColumn(out, F.lower(form(text)))
-    return plain.unionByName(odd)
+    odd = F.pandas_udf(_table_forms, "string")(F.when(F.col(text).rlike(ODD_CLASS), F.col(text)))
+    return df.withColumn(out, F.lower(F.coalesce(odd, F.col(text))))
 
 
 def shingles(words: Column, width: int) -> Column:
@@ -165,7 +163,7 @@ def groups(df: DataFrame, id_: str, text: str, width: int = 5, share: float = 0.
     rows = cut(rows.select("id", F.xxhash64("words").alias("node"), shingles(F.col("words"), width).alias("shingles")))
     sets = cut(rows.select("node", "shingles").dropDuplicates(["node"]))
     roots = components(near_pairs(sets, share), "a", "b")
-    return rows.select("id", "node").join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
+    return rows.select("id", "node").dropDuplicates(["id"]).join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
 
 
 def group_pairs(grouped: DataFrame) -> DataFrame:

@@ -50,8 +50,8 @@ def p3_redacted(spark: SparkSession, root: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """Pairs of entities (by norm) and of episodes (by body) of one scope that look the same but differ in characters."""
-    entities = once(read(spark, root, "entities", "id", "scope_id", "norm"), "id")
-    episodes = once(read(spark, root, "episodes", "id", "scope_id", "body"), "id")
+    entities = read(spark, root, "entities", "id", "scope_id", "norm")
+    episodes = read(spark, root, "episodes", "id", "scope_id", "body")
     texts = entities.select(F.lit("entities").alias("tab"), "scope_id", "id", F.col("norm").alias("text")).unionByName(
         episodes.select(F.lit("episodes").alias("tab"), "scope_id", "id", F.col("body").alias("text"))
     )
@@ -60,7 +60,7 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     """All pairs of episodes in one group of near copies: three-word runs, 60 %, bodies of 15 words or more."""
-    episodes = once(read(spark, root, "episodes", "id", "body"), "id")
+    episodes = read(spark, root, "episodes", "id", "body")
     return neardup.group_pairs(neardup.groups(episodes, "id", "body", width=3, share=0.6, least_words=15))
 
 
