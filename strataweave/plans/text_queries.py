@@ -66,13 +66,19 @@ def budgeted_lines(spark: SparkSession, root: str) -> DataFrame:
     """Per scope and budget the newest live facts that fit, best first, at least one, and how many are left out."""
     line = F.concat(F.lit("- "), F.trim("statement"), F.lit("\n"))
     f = facts(spark, root).where(live()).select("scope_id", "id", "recorded_at", text.est_tokens(line).alias("cost"))
+    caps = spark.read.parquet(f"{root}/budgets.parquet").select("budget_id", "capacity")
+    most = caps.agg(F.max("capacity")).first()[0] or 0
+    # A line costs a token at least, so no more lines than the largest budget has tokens can be shown: tasks keep only
+    # these before a scope is gathered, however many facts it has.
     order = Window.partitionBy("scope_id").orderBy(F.desc("recorded_at"), F.desc("id"))
-    ranked = f.withColumn("rank", F.row_number().over(order)).withColumn("used", F.sum("cost").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = f.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(1, most))
+    ranked = ranked.withColumn("used", F.sum("cost").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     head = scopes(spark, root).select(F.col("id").alias("scope_id"), text.est_tokens(F.concat(F.lit("## Memory — "), "label", F.lit("\n"))).alias("head"))
-    caps = F.broadcast(spark.read.parquet(f"{root}/budgets.parquet").agg(F.collect_list(F.struct("budget_id", "capacity")).alias("caps")))
+    caps = F.broadcast(caps.agg(F.collect_list(F.struct("budget_id", "capacity")).alias("caps")))
     rows = ranked.join(F.broadcast(head), "scope_id").crossJoin(caps).select("scope_id", "rank", "used", "head", F.inline("caps"))  # one row of budgets
-    shown = F.count_if((F.col("rank") == 1) | (F.col("head") + F.col("used") <= F.col("capacity")))
-    return rows.groupBy("scope_id", "budget_id").agg(shown.alias("shown"), (F.count("*") - shown).alias("omitted"))
+    shown = rows.groupBy("scope_id", "budget_id").agg(F.count_if((F.col("rank") == 1) | (F.col("head") + F.col("used") <= F.col("capacity"))).alias("shown"))
+    total = f.groupBy("scope_id").agg(F.count("*").alias("total"))
+    return shown.join(total, "scope_id").select("scope_id", "budget_id", "shown", (F.col("total") - F.col("shown")).alias("omitted"))
 
 
 def redacted_documents(spark: SparkSession, root: str) -> DataFrame:
