@@ -58,8 +58,8 @@ def rarity(sets: DataFrame, column: str, slots: int) -> np.ndarray:
     """How often shingles occur, by slot of their hash: a fixed number of slots, whatever the table's size."""
     counts = sets.select(F.explode(column).alias("s")).groupBy(F.pmod("s", F.lit(slots)).cast("int").alias("slot")).agg(F.count("*").alias("n"))
     got = counts.toPandas()
-    out = np.zeros(slots, dtype=np.int64)
-    out[got["slot"].to_numpy()] = got["n"].to_numpy()
+    out = np.zeros(slots, dtype=np.int32)
+    out[got["slot"].to_numpy()] = np.minimum(got["n"].to_numpy(), np.iinfo(np.int32).max)
     return out
 
 
@@ -129,7 +129,7 @@ def _probe(share: float):
     return run
 
 
-def near_pairs(sets: DataFrame, share: float, slots: int = 1 << 20, block: int = 4000) -> DataFrame:
+def near_pairs(sets: DataFrame, share: float, slots: int = 1 << 19, block: int = 4000) -> DataFrame:
     """Pairs (a, b), a < b, of nodes whose sets (node, shingles) have a Jaccard similarity of at least `share`."""
     spark = sets.sparkSession
     rare = spark.sparkContext.broadcast(rarity(sets, "shingles", slots))
@@ -151,7 +151,8 @@ def near_pairs(sets: DataFrame, share: float, slots: int = 1 << 20, block: int =
         (size <= size_y) & (F.col("node") != F.col("node_y")) & (apart <= size + size_y - 2 * need) & (F.least(size - place, size_y - place_y) >= need)
     )
     pairs = pairs.select(F.least("node", "node_y").alias("a"), F.greatest("node", "node_y").alias("b")).distinct()
-    of = lambda k, c: sets.select(F.col("node").alias(k), F.array_sort("shingles").alias(c))
+    # The arrays are many times larger than the estimate that a checkpoint leaves, so they must not be broadcast.
+    of = lambda k, c: sets.select(F.col("node").alias(k), F.array_sort("shingles").alias(c)).hint("merge")
     return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInPandas(_probe(share), "a long, b long")
 
 
