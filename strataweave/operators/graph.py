@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataweave.functions.text import ymd
+from strataweave.operators.render import timeline_line
 from strataweave.session import cut
 
 
@@ -90,8 +90,7 @@ def timeline(facts: DataFrame, asked: DataFrame, most: int = 40) -> DataFrame:
     about = by_edge.unionByName(mentions(facts, asked)).distinct()
     rows = about.join(facts.select("id", "statement", "valid_from", "valid_to", "recorded_at", "invalidated_at"), "id")
     start = F.coalesce("valid_from", "recorded_at")
-    end = F.when(F.col("invalidated_at").isNotNull(), ymd(F.coalesce("valid_to", "invalidated_at"))).otherwise("now")
-    line = F.concat(ymd(start), F.lit(" → "), end, F.lit("  "), F.trim("statement"))
+    line = timeline_line(*[F.col(c) for c in ("statement", "valid_from", "valid_to", "recorded_at", "invalidated_at")])
     order = Window.partitionBy("entity").orderBy(start, "id")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("entity", "rank", "id", line.alias("line"))
 

@@ -65,3 +65,14 @@ def sql_ymd(x: str) -> str:
 
 def sql_tokens(x: str) -> str:
     return f"greatest(length({x}) // 4, length(list_filter(regexp_split_to_array({x}, '{BLANK}+'), lambda w: w <> '')))"
+
+
+_START = "coalesce(f.valid_from, f.recorded_at)"
+SQL_NOTES = f"""p AS (SELECT f.id, concat_ws(', ',
+CASE WHEN f.invalidated_at IS NOT NULL AND f.valid_to IS NOT NULL THEN 'was true ' || {sql_ymd(_START)} || ' → ' || {sql_ymd('f.valid_to')}
+     WHEN f.invalidated_at IS NOT NULL THEN 'retracted, noted ' || {sql_ymd(_START)}
+     WHEN {NOW} - {_START} > 172800000 THEN 'since ' || {sql_ymd(_START)} END,
+CASE WHEN e.source <> '' AND e.source <> 'unknown' THEN 'by ' || e.source END,
+CASE WHEN e.head <> '' THEN '@ ' || e.head END,
+CASE WHEN f.confidence < 1 THEN 'conf ' || printf('%.2f', f.confidence) END) AS x FROM f LEFT JOIN e ON e.id = f.episode_id),
+o AS (SELECT id, CASE WHEN x = '' THEN '' ELSE ' [' || x || ']' END AS note FROM p)"""

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strataweave.operators import fusion, lexical, temporal, vectors
+from strataweave.functions import text
+from strataweave.operators import fusion, lexical, render, temporal, vectors
 from strataweave.operators.lexical import B, K1, MOST_TERMS, STOP
-from strataweave.plans.common import EACH, NOW, entities, episodes, facts, with_
+from strataweave.plans.common import EACH, NOW, SQL_NOTES, entities, episodes, facts, sql_tokens, with_
 from strataweave.session import cut
 
 
@@ -126,6 +127,35 @@ def fused_episodes(spark: SparkSession, root: str) -> DataFrame:
     return fusion.fuse_episodes(words, near, e, 12)
 
 
+def _lines(spark: SparkSession, root: str) -> DataFrame:
+    """The twelve best fused facts of each query as lines with their provenance, under the scope's header."""
+    asked, f, e = _asked(spark, root), facts(spark, root), episodes(spark, root)
+    best = fusion.rrf(_legs(spark, root)).where(F.col("rank") <= 12).select("query_id", "id", F.col("rank").alias("pick"))
+    rows = temporal.resolved(f, entities(spark, root), e).join(best, "id")
+    note = text.prov_note(*[F.col(c) for c in ("valid_from", "valid_to", "invalidated_at", "recorded_at", "source", "head", "confidence")], NOW)
+    line = F.concat(F.lit("- "), F.trim("statement"), note, F.lit("\n"))
+    labels = spark.read.parquet(f"{root}/scopes.parquet").select(F.col("id").alias("scope_id"), "label")
+    heads = asked.join(labels, "scope_id").select("query_id", F.concat(F.lit("## Memory — "), "label", F.lit("\n")).alias("title"))
+    return rows.select("query_id", "pick", "id", line.alias("line")).join(heads, "query_id").withColumnRenamed("title", "head")
+
+
+def rendered_memories(spark: SparkSession, root: str) -> DataFrame:
+    """What each query is answered with in 120 tokens: header, lines, note on what is left out."""
+    return render.render(_lines(spark, root), 120).select("query_id", "text")
+
+
+def rendered_ids(spark: SparkSession, root: str) -> DataFrame:
+    """The facts that stand in the answers."""
+    return render.within_budget(_lines(spark, root), 120).select("query_id", "id")
+
+
+def explained(spark: SparkSession, root: str) -> DataFrame:
+    """Every vector leg hit with the query's floor and whether it is kept."""
+    top = F.max("cos").over(Window.partitionBy("query_id"))
+    floor = F.greatest(F.lit(vectors.FLOOR_LEAST), vectors.FLOOR_SHARE * top)
+    return _near(spark, root).select("query_id", "id", "cos", floor.alias("floor"), (F.col("cos") >= floor).alias("kept"))
+
+
 def vector_pairs(spark: SparkSession, root: str) -> DataFrame:
     """Every vector whose cosine with an asked one of the same label is a quarter or more."""
     v = _vectors(spark, root).withColumn("scope_id", F.col("label").cast("long"))
@@ -146,7 +176,7 @@ QUERIES = {
     q.__name__: q
     for q in (
         query_terms, bm25_facts, bm25_episodes, quantized_vectors, vector_top, vector_floor, fused_legs, adjusted_scores, statement_overlap, diversified, recalled, recall_legs,
-        fused_episodes, vector_pairs, merged_facts,
+        fused_episodes, vector_pairs, merged_facts, rendered_memories, rendered_ids, explained,
     )
 }
 
@@ -190,6 +220,21 @@ t AS (SELECT query_id, id, dot / 16129.0 AS cos, row_number() OVER (PARTITION BY
 )
 _WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[\\s\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+'), lambda w: strlen(w) > 2))"
 
+_FUSED = _bm25("f", "statement", "d.invalidated_at IS NULL", 60) + """,
+g AS (SELECT q.qid AS query_id, f.id, row_number() OVER (PARTITION BY q.qid ORDER BY f.recorded_at DESC, f.id) AS rank FROM q JOIN f ON f.src = q.qid AND f.scope_id = q.scope_id WHERE f.invalidated_at IS NULL QUALIFY rank <= 30),
+l AS (SELECT query_id, id, 'bm25' AS leg, 1.0 / (60 + rank) AS s FROM hits UNION ALL SELECT query_id, id, 'graph', 0.5 / (60 + rank) FROM g),
+u AS (SELECT query_id, id, round(sum(s), 12) AS score, string_agg(leg, '+' ORDER BY leg) AS via FROM l GROUP BY query_id, id)"""
+_LINES = (
+    _FUSED
+    + f""",
+b AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS pick FROM u QUALIFY pick <= 12),
+{SQL_NOTES},
+li AS (SELECT b.query_id, b.pick, b.id, '- ' || trim(f.statement) || o.note || chr(10) AS line, '## Memory — ' || s.label || chr(10) AS head
+       FROM b JOIN f ON f.id = b.id JOIN o ON o.id = b.id JOIN q ON q.qid = b.query_id JOIN scopes s ON s.id = q.scope_id),
+co AS (SELECT *, {sql_tokens('head')} + sum({sql_tokens('line')}) OVER (PARTITION BY query_id ORDER BY pick ROWS UNBOUNDED PRECEDING) AS used FROM li),
+sh AS (SELECT * FROM co WHERE pick = 1 OR used <= 120)"""
+)
+
 ORACLES = {
     "query_terms": with_("i", _terms("i", "input_id", "statement")) + "SELECT query_id AS input_id, pos, term, prefix FROM terms",
     "bm25_facts": with_("f n", _bm25("f", "statement", "d.invalidated_at IS NULL", 60)) + "SELECT query_id, id, rank, round(score, 5) AS score FROM hits",
@@ -197,11 +242,12 @@ ORACLES = {
     "quantized_vectors": f"WITH {_Q} SELECT id, array_to_string(q, ',') AS q, {_DOT.format(a='q', b='q')} / 16129.0 AS own FROM z",
     "vector_top": f"WITH {_TOP} SELECT query_id, id, cos, rank FROM t",
     "vector_floor": f"WITH {_TOP} SELECT query_id, id, cos FROM t QUALIFY cos >= greatest(0.02, 0.65 * max(cos) OVER (PARTITION BY query_id))",
-    "fused_legs": with_("f n", _bm25("f", "statement", "d.invalidated_at IS NULL", 60) + """,
-g AS (SELECT q.qid AS query_id, f.id, row_number() OVER (PARTITION BY q.qid ORDER BY f.recorded_at DESC, f.id) AS rank FROM q JOIN f ON f.src = q.qid AND f.scope_id = q.scope_id WHERE f.invalidated_at IS NULL QUALIFY rank <= 30),
-l AS (SELECT query_id, id, 'bm25' AS leg, 1.0 / (60 + rank) AS s FROM hits UNION ALL SELECT query_id, id, 'graph', 0.5 / (60 + rank) FROM g),
-u AS (SELECT query_id, id, round(sum(s), 12) AS score, string_agg(leg, '+' ORDER BY leg) AS via FROM l GROUP BY query_id, id)""")
-    + "SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, via, round(score, 9) AS score FROM u QUALIFY rank <= 48",
+    "fused_legs": with_("f n", _FUSED) + "SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, via, round(score, 9) AS score FROM u QUALIFY rank <= 48",
+    "rendered_ids": with_("f n e", _LINES) + "SELECT query_id, id FROM sh",
+    "rendered_memories": with_("f n e", _LINES) + """SELECT sh.query_id, any_value(sh.head) || string_agg(sh.line, '' ORDER BY sh.pick) || CASE WHEN any_value(t.n) > count(*)
+THEN '- … ' || (any_value(t.n) - count(*)) || ' more memories not shown (raise the budget or narrow the query)' || chr(10) ELSE '' END AS text
+FROM sh JOIN (SELECT query_id, count(*) AS n FROM li GROUP BY query_id) t ON t.query_id = sh.query_id GROUP BY sh.query_id""",
+    "explained": f"WITH {_TOP}, x AS (SELECT *, greatest(0.02, 0.65 * max(cos) OVER (PARTITION BY query_id)) AS floor FROM t) SELECT query_id, id, cos, floor, cos >= floor AS kept FROM x",
     "vector_pairs": f"WITH {_Q} SELECT a.id AS query_id, b.id, {_DOT.format(a='a.q', b='b.q')} / 16129.0 AS cos FROM z a JOIN z b ON a.label = b.label WHERE a.id % {EACH} = 0 AND {_DOT.format(a='a.q', b='b.q')} >= 0.25 * 16129",
     "adjusted_scores": with_("f") + f"""SELECT id, round((0.7 + 0.3 * greatest(0, least(1, confidence))) * (0.85 + 0.15 * exp(-(greatest(0, {NOW} - recorded_at) / 86400000.0) / 90)) * (1 + 0.05 * ln(1 + hits)), 9) AS factor FROM f""",
     "statement_overlap": with_("f", f"o AS (SELECT a.id, a.invalidated_by, {_WORDS.format('a.statement')} AS x, {_WORDS.format('b.statement')} AS y FROM f a JOIN f b ON b.id = a.invalidated_by)")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from strataweave.functions import text
 from strataweave.operators import graph, temporal
-from strataweave.plans.common import AS_OF, EACH, NOW, entities, episodes, facts, scopes, sql_ymd, with_
+from strataweave.operators.scopes import key_of_root, label_of_root
+from strataweave.plans.common import AS_OF, EACH, NOW, SQL_NOTES, entities, episodes, facts, scopes, sql_ymd, with_
 
 _RESOLVED = """SELECT f.id, f.rel, f.statement, s.name AS src_name, d.name AS dst_name, e.source, e.head
 FROM f LEFT JOIN n s ON s.id = f.src LEFT JOIN n d ON d.id = f.dst LEFT JOIN e ON e.id = f.episode_id"""
@@ -74,6 +75,11 @@ def store_counts(spark: SparkSession, root: str) -> DataFrame:
     return s.crossJoin(e).crossJoin(f).crossJoin(n)  # four tables of one row
 
 
+def scope_keys(spark: SparkSession, root: str) -> DataFrame:
+    """Key and label of every scope, from its root."""
+    return scopes(spark, root).select("id", key_of_root(F.col("root")).alias("key"), label_of_root(F.col("root")).alias("label"))
+
+
 def newest_live(spark: SparkSession, root: str) -> DataFrame:
     """The 200 newest live facts with the label of their scope."""
     f = facts(spark, root).where(temporal.live()).orderBy(F.desc("recorded_at"), F.desc("id")).limit(200)
@@ -139,7 +145,7 @@ _START = "coalesce(f.valid_from, f.recorded_at)"
 QUERIES = {
     q.__name__: q
     for q in (
-        scan_resolved, fetch_in_order, facts_live, facts_as_of, facts_as_of_each_month, facts_readable, scope_counts, store_counts, newest_live,
+        scan_resolved, fetch_in_order, facts_live, facts_as_of, facts_as_of_each_month, facts_readable, scope_counts, store_counts, scope_keys, newest_live,
         graph_neighbors, graph_two_hops, entity_timeline, top_entities, fact_entities, entity_degrees, orphan_entities, event_medians, provenance,
     )
 }
@@ -182,12 +188,7 @@ FROM a JOIN f ON f.id = a.id QUALIFY rank <= 40""",
     "entity_degrees": with_("f") + "SELECT entity, count(*) AS degree FROM (SELECT src AS entity FROM f UNION ALL SELECT dst FROM f) WHERE entity IS NOT NULL GROUP BY entity",
     "orphan_entities": with_("f n") + "SELECT id, scope_id, name FROM n WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.src = n.id) AND NOT EXISTS (SELECT 1 FROM f WHERE f.dst = n.id)",
     "event_medians": "SELECT event_type, median(value) AS median_value, count(*) AS n FROM events GROUP BY event_type",
-    "provenance": with_("f e", f"""p AS (SELECT f.id, concat_ws(', ',
-CASE WHEN f.invalidated_at IS NOT NULL AND f.valid_to IS NOT NULL THEN 'was true ' || {sql_ymd(_START)} || ' → ' || {sql_ymd('f.valid_to')}
-     WHEN f.invalidated_at IS NOT NULL THEN 'retracted, noted ' || {sql_ymd(_START)}
-     WHEN {NOW} - {_START} > 172800000 THEN 'since ' || {sql_ymd(_START)} END,
-CASE WHEN e.source <> '' AND e.source <> 'unknown' THEN 'by ' || e.source END,
-CASE WHEN e.head <> '' THEN '@ ' || e.head END,
-CASE WHEN f.confidence < 1 THEN 'conf ' || printf('%.2f', f.confidence) END) AS x FROM f LEFT JOIN e ON e.id = f.episode_id)""")
-    + "SELECT id, CASE WHEN x = '' THEN '' ELSE ' [' || x || ']' END AS note FROM p",
+    "provenance": with_("f e", SQL_NOTES) + "SELECT id, note FROM o",
+    "scope_keys": """SELECT id, CASE WHEN root IS NULL THEN 'global' ELSE 'p:' || substr(sha256(root), 1, 16) END AS key,
+CASE WHEN root IS NULL THEN 'global' ELSE regexp_extract(root, '([^/\\\\]+)[/\\\\]*$', 1) END AS label FROM scopes""",
 }
