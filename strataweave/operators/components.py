@@ -11,7 +11,7 @@ from strataweave.session import cut
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.union(edges.select("v", "u")) if large else edges
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = both.join(least, "u")
+    joined = both.join(least.hint("merge"), "u")  # a checkpoint's size is underestimated: never broadcast
     if large:
         out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
