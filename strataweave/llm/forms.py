@@ -187,10 +187,10 @@ def canonical(df: DataFrame, key: list[str], text: str, out: str = "form", bucke
     cols = ["bucket", "word", "look", "odd", "own", "count"]
     entries = latin.select(*cols).unionByName(spellings.select(*cols)).unionByName(seekers.select(*cols))
     mapping = entries.repartition("bucket").sortWithinPartitions("bucket", "odd").mapInPandas(_match, "word string, form string")
-    found = words.select("_row", "word").join(mapping, "word").groupBy("_row").agg(F.collect_list("word").alias("_words"), F.collect_list("form").alias("_forms"))
+    found = words.select("_row", "word").join(mapping.hint("merge"), "word").groupBy("_row").agg(F.collect_list("word").alias("_words"), F.collect_list("form").alias("_forms"))
     found = found.select(F.from_json("_row", f"_row {row_type}").getField("_row").alias("_row"), "_words", "_forms")
     plain = df.where(F.col(text).isNull() | ~is_odd).withColumn(out, F.col(text))
-    changed = base.where(is_odd).withColumn("_row", row).join(found, "_row", "left").withColumn(out, rebuild(F.col(text), F.col("_words"), F.col("_forms")))
+    changed = base.where(is_odd).withColumn("_row", row).join(found.hint("merge"), "_row", "left").withColumn(out, rebuild(F.col(text), F.col("_words"), F.col("_forms")))
     return plain.unionByName(changed.drop("_row", "_words", "_forms"))
 
 
@@ -208,8 +208,8 @@ def alike(df: DataFrame, within: list[str], id_: str, text: str) -> DataFrame:
     variants = rows.groupBy(*within, "class", "form", "raw", "text").agg(F.count("*").alias("n"))
     on = [*within, "class", "form"]
     other = variants.select(*on, F.col("raw").alias("raw_b"), F.col("text").alias("text_b"))
-    pairs = variants.join(other, on).where(F.col("text") < F.col("text_b")).drop("n")
+    pairs = variants.join(other.hint("merge"), on).where(F.col("text") < F.col("text_b")).drop("n")
     a = rows.select(*on, "text", F.col("id").alias("id_1"))
     b = rows.select(*on, F.col("text").alias("text_b"), F.col("id").alias("id_2"))
-    both = pairs.select(*on, "text", "text_b").join(a, [*on, "text"]).join(b, [*on, "text_b"])
+    both = pairs.select(*on, "text", "text_b").join(a.hint("merge"), [*on, "text"]).join(b.hint("merge"), [*on, "text_b"])
     return both.select(*within, F.least("id_1", "id_2").alias("id_a"), F.greatest("id_1", "id_2").alias("id_b"))

@@ -147,11 +147,11 @@ def near_pairs(sets: DataFrame, share: float, slots: int = 1 << 19, block: int =
     place, place_y = F.col("meta").bitwiseAND(0xFFFFFFFF), F.col("meta_y").bitwiseAND(0xFFFFFFFF)
     need = F.ceil(share / (1 + share) * (size + size_y) - 1e-9)
     apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_y"))) for c in signs[1:]), F.bit_count(F.col("b0").bitwiseXOR(F.col("b0_y"))))
-    pairs = index.join(probes, "key").where(
+    pairs = index.join(probes.hint("merge"), "key").where(
         (size <= size_y) & (F.col("node") != F.col("node_y")) & (apart <= size + size_y - 2 * need) & (F.least(size - place, size_y - place_y) >= need)
     )
     pairs = pairs.select(F.least("node", "node_y").alias("a"), F.greatest("node", "node_y").alias("b")).distinct()
-    # The arrays are many times larger than the estimate that a checkpoint leaves, so they must not be broadcast.
+    # Sizes estimated from a checkpoint are far too small: what follows from one is never left to be broadcast.
     of = lambda k, c: sets.select(F.col("node").alias(k), F.array_sort("shingles").alias(c)).hint("merge")
     return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInPandas(_probe(share), "a long, b long")
 
@@ -164,7 +164,7 @@ def groups(df: DataFrame, id_: str, text: str, width: int = 5, share: float = 0.
     rows = cut(rows.select("id", F.xxhash64("words").alias("node"), shingles(F.col("words"), width).alias("shingles")))
     sets = cut(rows.select("node", "shingles").dropDuplicates(["node"]))
     roots = components(near_pairs(sets, share), "a", "b")
-    return rows.select("id", "node").dropDuplicates(["id"]).join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
+    return rows.select("id", "node").dropDuplicates(["id"]).join(roots.hint("merge"), "node", "left").select("id", F.coalesce("root", "node").alias("root"))
 
 
 def group_pairs(grouped: DataFrame) -> DataFrame:
@@ -172,4 +172,4 @@ def group_pairs(grouped: DataFrame) -> DataFrame:
     many = grouped.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("root")
     rows = grouped.join(many, "root", "left_semi")
     a, b = rows.select("root", F.col("id").alias("id_a")), rows.select("root", F.col("id").alias("id_b"))
-    return a.join(b, "root").where(F.col("id_a") < F.col("id_b")).select("id_a", "id_b")
+    return a.join(b.hint("merge"), "root").where(F.col("id_a") < F.col("id_b")).select("id_a", "id_b")
