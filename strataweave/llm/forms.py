@@ -199,7 +199,7 @@ def alike(df: DataFrame, within: list[str], id_: str, text: str) -> DataFrame:
 
     Equal texts are gathered first, so that a group of copies costs one variant: variants are paired, then members.
     """
-    texts = df.where(F.col(text).isNotNull()).select(*within, id_, text)
+    texts = df.where(F.col(text).isNotNull() & F.col(id_).isNotNull()).select(*within, id_, text)
     forms = canonical(texts, [*within, id_], text, "_form")
     rows = forms.select(*within, F.col(id_).alias("id"), F.xxhash64("_form").alias("class"), F.xxhash64(text).alias("raw"), F.md5(F.col("_form")).alias("form"), F.md5(F.col(text)).alias("text"), F.col(text).rlike(ODD_CLASS).alias("odd"))
     rows = cut(rows.dropDuplicates([*within, "id"]))

@@ -10,7 +10,7 @@ sentences that the first round reads as labelled, so that wrong labels do not ge
 Sentences that follow one another in one language are one segment. Code, paths, logs and sentences without evidence
 have no language and do not end a segment.
 
-Defined results: a null or empty text, and one without prose, has no segments; repeated rows give repeated segments
+Defined results: a null or empty text, one without prose, and a row without a key have no segments; repeated rows give repeated segments
 only where the caller does not drop them; an empty table gives an empty result. Texts are read whole. Further columns
 are not read.
 """
@@ -215,7 +215,7 @@ def _segment(model, least: float, spread: float):
 def segments(df: DataFrame, key: str, text: str, model: Filter, least: float = 4, spread: float = 1.2) -> DataFrame:
     """Rows (key, seg_no, lang, confidence, words, sentences, prose): the segments of every text in reading order."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    rows = df.where(F.col(text).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
+    rows = df.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
     return rows.mapInPandas(_segment(shared, least, spread), SEGMENTS)
 
 
@@ -223,7 +223,7 @@ def label_cases(df: DataFrame, key: str, text: str, label: str, sample_rows: int
     """Segments (key, seg_no, lang, confidence) of the texts whose label is missing or wrong, or that mix languages."""
     model = train(sample(df, key, text, label_language(F.col(label)), sample_rows))
     code = F.when(label_says_nothing(F.col(label)), "").otherwise(F.coalesce(label_language(F.col(label)), F.lit("??")))
-    tagged = df.select(F.concat_ws("\t", F.col(key), code).alias("key"), text)
+    tagged = df.where(F.col(key).isNotNull()).select(F.concat_ws("\t", F.col(key), code).alias("key"), text)
     found = segments(tagged, "key", text, model)
     found = found.where(F.col("prose") >= least_words).withColumn("label", F.element_at(F.split("key", "\t"), -1)).withColumn("key", F.regexp_replace("key", "\t[^\t]*$", ""))
     # One shuffle by key: a text in one language under its own label is no case.

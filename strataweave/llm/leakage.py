@@ -11,7 +11,7 @@ several unbroken phrases of four words, so the phrases lose none.
 Items are a stated query set: they are taken in blocks of at most `block` items, each a broadcast of bounded size, and
 every block is held against all documents.
 
-Defined results: null and empty texts match nothing; items shorter than `least_words` words cannot leak; a document
+Defined results: null and empty texts match nothing, nor do rows without an id; items shorter than `least_words` words cannot leak; a document
 that is stored twice under two ids is two cases; repeated rows of one id are reported once per row; empty tables give
 an empty result. Documents are read whole. Further columns are not read.
 """
@@ -151,7 +151,7 @@ def leaks(
 ) -> DataFrame:
     """Rows (doc_id, item_id): the document reproduces a passage of the item. See the module's text."""
     spark = docs.sparkSession
-    corpus = docs.selectExpr(f"`{doc_id}` AS doc", f"`{text}` AS text").where("text IS NOT NULL")
+    corpus = docs.selectExpr(f"`{doc_id}` AS doc", f"`{text}` AS text").where("text IS NOT NULL AND doc IS NOT NULL")
     schema = "doc_id long, item_id long"
     out = None
     rows = items.selectExpr(f"`{item_id}` AS item", f"`{item_text}` AS text").toLocalIterator()

@@ -12,7 +12,7 @@ joined by connected components.
 
 Equal texts are one node from the start: copies are never paired before the result.
 
-Defined results: null texts and texts of fewer than `least_words` words take no part; repeated ids count once; an
+Defined results: null texts and texts of fewer than `least_words` words take no part, nor do rows without an id; repeated ids count once; an
 empty table gives an empty result; texts are read whole. Further columns are not read.
 """
 
@@ -158,7 +158,7 @@ def near_pairs(sets: DataFrame, share: float, slots: int = 1 << 19, block: int =
 
 def groups(df: DataFrame, id_: str, text: str, width: int = 5, share: float = 0.8, least_words: int = 1) -> DataFrame:
     """Rows (id, root): the group of every text that takes part; a text without near copies is a group of its own."""
-    rows = df.where(F.col(text).isNotNull()).select(F.col(id_).alias("id"), F.col(text).alias("_text"))
+    rows = df.where(F.col(text).isNotNull() & F.col(id_).isNotNull()).select(F.col(id_).alias("id"), F.col(text).alias("_text"))
     rows = one_form(rows, "_text", "_form").select("id", F.regexp_extract_all("_form", F.lit(WORDS), F.lit(0)).alias("words"))
     rows = rows.where(F.size("words") >= max(least_words, width))
     rows = cut(rows.select("id", F.xxhash64("words").alias("node"), shingles(F.col("words"), width).alias("shingles")))

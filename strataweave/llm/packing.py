@@ -9,7 +9,7 @@ is counted in two levels (within salted parts, then by the parts' offsets), so t
 
 A document longer than the capacity is divided: as many full containers as it fills, and its rest as one more item.
 
-Defined results: null texts are left out; a text without tokens needs no room and stands in container 0; capacities
+Defined results: null texts and rows without an id are left out; a text without tokens needs no room and stands in container 0; capacities
 that are null or below one are left out; a repeated id is packed as often as it stands; empty tables give an empty
 result. Texts are read whole; a text of more than SLICE characters is counted in slices that end at line ends where it
 has any. Further columns are not read.
@@ -61,7 +61,7 @@ def token_counts(docs: DataFrame, doc_id: str, text: str, path: str = TOKENIZER,
         enc = encoder(path, pattern)
         return pd.Series([sum(len(enc.encode_ordinary(s)) for s in _slices(t)) for t in texts], dtype=np.int64)
 
-    rows = docs.where(F.col(text).isNotNull())
+    rows = docs.where(F.col(text).isNotNull() & F.col(doc_id).isNotNull())
     return rows.select(F.col(doc_id).alias("doc_id"), F.pandas_udf(count, "long")(F.col(text)).alias("tokens"))
 
 

@@ -6,7 +6,7 @@ of at most `most_rated` documents chosen by a hash of their id. Rated documents
 predictions give the calibration, the cut points between grades that agree best with the raters, and an honest figure
 of how far the levels can be trusted. Training sees the sample only; features and levels cover all documents.
 
-Defined results: null texts and documents with fewer than `least_words` words of prose get no level; repeated rows get
+Defined results: null texts, rows without an id and documents with fewer than `least_words` words of prose get no level; repeated rows get
 equal levels; without ratings there is no result; ratings of unknown documents are ignored. Texts are read whole.
 Further columns are not read.
 """
@@ -177,7 +177,7 @@ def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def features(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Rows (doc_id, words, features) for every document with a sentence of prose; the names are in FEATURES."""
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.where(F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInPandas(_describe, "doc_id long, words int, features array<double>")
 
 

@@ -43,13 +43,14 @@ def test_alike_equals_brute_force(spark):
         text = rnd.choice(base)
         rows.append((rnd.choice(["x", "y"]), rnd.randrange(2), i, disguise(text, rnd) if rnd.random() < 0.5 else text))
     rows += [("x", 0, 900 + i, base[0]) for i in range(40)] + [("x", 0, 950, None), (None, 0, 951, base[0])]
+    lost = [("x", 0, None, base[0]), ("x", 0, None, disguise(base[0], rnd))]
     want = {
         (t, a, b)
         for t, s, a, x in rows
         for t2, s2, b, y in rows
         if t is not None and (t, s) == (t2, s2) and a < b and None not in (x, y) and x != y and forms.table_form(x) == forms.table_form(y)
     }
-    df = spark.createDataFrame(rows, "tab string, scope_id int, id long, text string").withColumnRenamed("text", "form")
+    df = spark.createDataFrame(rows + lost, "tab string, scope_id int, id long, text string").withColumnRenamed("text", "form")
     got = [(r.tab, r.id_a, r.id_b) for r in forms.alike(df, ["tab", "scope_id"], "id", "form").collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert forms.alike(df.limit(0), ["tab", "scope_id"], "id", "form").count() == 0

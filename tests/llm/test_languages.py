@@ -41,7 +41,7 @@ def test_cases(spark):
     for lang, said in SAID.items():
         rows += [(f"{lang}{i}", ". ".join(said) + ".", lang) for i in range(6)]
     en, fr, code = ". ".join(SAID["en"]) + ".", ". ".join(SAID["fr"]) + ".", "\n$ run --fast=2 lib/x_1.sql\n"
-    rows += [("none", en, None), ("wrong", fr, "de"), ("named", fr, "French"), ("other", en, "it"), ("mixed", en + code + en + " " + fr, "en"), ("short", "the queue reads", None), ("code", code, None), ("empty", "", None), ("null", None, None)]
+    rows += [("none", en, None), ("wrong", fr, "de"), ("named", fr, "French"), ("other", en, "it"), ("mixed", en + code + en + " " + fr, "en"), ("short", "the queue reads", None), ("code", code, None), ("empty", "", None), ("null", None, None), (None, en, None)]
     df = spark.createDataFrame(rows, "key string, text string, label string")
     got = {(r.key, r.seg_no, r.lang) for r in languages.label_cases(df, "key", "text", "label").collect()}
     assert got == {("none", 1, "en"), ("wrong", 1, "fr"), ("other", 1, "en"), ("mixed", 1, "en"), ("mixed", 2, "fr")}

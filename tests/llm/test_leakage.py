@@ -34,7 +34,7 @@ def make(seed):
 def test_planted_passages_are_found(spark):
     for seed in (1, 2):
         items, docs, want = make(seed)
-        d = spark.createDataFrame(docs + [(900, None), (901, "")], "doc_id long, text string")
+        d = spark.createDataFrame(docs + [(900, None), (901, ""), (None, items[0][1])], "doc_id long, text string")
         i = spark.createDataFrame(items + [(77, "too short"), (78, None)], "item_id long, text string")
         got = [tuple(r) for r in leakage.leaks(d, "doc_id", "text", i, "item_id", "text").collect()]
         assert len(got) == len(set(got)) and set(got) == want

@@ -44,8 +44,11 @@ def corpus(seed):
     return rows + [(len(rows) + k, "the same text " * 6) for k in range(30)] + [(5000, None), (5001, ""), (5002, "one two")]
 
 
+LOST = [(None, "the same text " * 6), (None, None)]
+
+
 def pairs(spark, rows, **kw):
-    df = spark.createDataFrame(rows, "id long, body string").selectExpr("id", "body", "id AS node", "body AS words")
+    df = spark.createDataFrame(rows + LOST, "id long, body string").selectExpr("id", "body", "id AS node", "body AS words")
     got = [tuple(r) for r in neardup.group_pairs(neardup.groups(df, "id", "body", **kw)).collect()]
     assert len(got) == len(set(got))
     return set(got)

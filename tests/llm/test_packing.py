@@ -55,6 +55,6 @@ def test_token_counts(spark, tmp_path):
 
     vocabulary = tmp_path / "bytes.tiktoken"
     vocabulary.write_bytes(b"\n".join(base64.b64encode(bytes([i])) + b" %d" % i for i in range(256)))
-    rows = [(1, "abc d"), (2, ""), (3, None), (4, "x\n" * 150_000)]
+    rows = [(1, "abc d"), (2, ""), (3, None), (4, "x\n" * 150_000), (None, "abc")]
     got = {r.doc_id: r.tokens for r in packing.token_counts(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", str(vocabulary)).collect()}
     assert got == {1: 5, 2: 0, 4: 300_000}

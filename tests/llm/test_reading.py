@@ -34,7 +34,7 @@ def test_cut_points_part_the_grades():
 def test_levels(spark):
     rnd = random.Random(3)
     docs = [(i, document(1 + i % 4, rnd), f"s{i % 7}") for i in range(240)]
-    extra = [(900, None, "s"), (901, "", "s"), (902, "too short to tell", None), (903, document(1, rnd), None)]
+    extra = [(900, None, "s"), (901, "", "s"), (902, "too short to tell", None), (903, document(1, rnd), None), (None, document(2, rnd), "s")]
     ratings = [(i, max(1, min(4, 1 + i % 4 + (rnd.random() < 0.05)))) for i in range(160)] + [(5, None), (99_999, 2)]
     d = spark.createDataFrame(docs + extra + [docs[0]], "doc_id long, text string, source string").selectExpr("*", "1 AS words", "2 AS features")
     r = spark.createDataFrame(ratings, "doc_id long, grade int")
