@@ -59,7 +59,7 @@ class _Table(dict):
             out = "-"
         elif ch in SAME_SHAPE:
             out = SAME_SHAPE[ch]
-        elif tag in PLAIN_TAGS or (tag == "<compat>" and kind[0] == "L"):
+        elif tag in PLAIN_TAGS or (tag == "<compat>" and kind[0] in "LNP"):  # ligatures, joined digits and dots
             out = "".join(x if x == ch else self[ord(x)] for x in unicodedata.normalize("NFKD", ch))
         else:
             out = ch

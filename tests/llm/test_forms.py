@@ -20,6 +20,7 @@ def test_table_form_undoes_disguises_and_keeps_what_is_visible():
         for _ in range(40):
             assert forms.table_form(disguise(text, rnd)) == text
     assert forms.table_form("e") != forms.table_form("é") and forms.table_form("A") != forms.table_form("a")
+    assert forms.table_form("wait … Ⅳ") == "wait ... IV"
     assert forms.table_form("x²") == "x²" and forms.table_form("сосна") == forms.table_form("coсна")
 
 
