@@ -37,38 +37,39 @@ def query_terms(text: Column) -> Column:
     return F.transform(kept, lambda t: F.struct(folded(t).alias("term"), (F.char_length(t) >= 3).alias("prefix")))
 
 
-def postings(docs: DataFrame, id_: str, text: str) -> DataFrame:
-    """Rows (doc, tok, dl, tf): how often a token stands in a document of dl tokens."""
-    split = docs.select(F.col(id_).alias("doc"), tokens(F.col(text)).alias("toks"))
-    return split.select("doc", F.size("toks").alias("dl"), F.explode("toks").alias("tok")).groupBy("doc", "tok", "dl").agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, id_: str, text: str, *keep: str) -> DataFrame:
+    """Rows (doc, tok, dl, tf, keep...): how often a token stands in a document of dl tokens."""
+    split = docs.select(F.col(id_).alias("doc"), tokens(F.col(text)).alias("toks"), *keep)
+    return split.select("doc", F.size("toks").alias("dl"), F.explode("toks").alias("tok"), *keep).groupBy("doc", "tok", "dl", *keep).agg(F.count("*").alias("tf"))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, id_: str, text: str, allowed: DataFrame | None = None, most: int = 60) -> DataFrame:
     """Rows (query_id, id, score, rank) for queries (query_id, text).
 
     Statistics cover all docs; `allowed` (query_id, id) or, more cheaply, (query_id, scope_id) with a scope_id in docs,
-    only filters what is returned. Ties go to the smaller id; scores are rounded to nine decimals before ranking.
+    only filters what is returned: a query meets the hits of its own scopes alone. Ties go to the smaller id; scores are rounded to nine decimals before ranking.
     """
     terms = queries.select("query_id", F.inline(query_terms(F.col("text"))))
     stats = F.broadcast(docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(tokens(F.col(text)))).alias("avgdl")))
-    post = postings(docs, id_, text)
+    by_scope = ["scope_id"] if allowed is not None and "scope_id" in allowed.columns else []
+    post = postings(docs, id_, text, *by_scope)
     asked = terms.select("term", "prefix").distinct()
     words = post.select("tok").distinct()
     # A prefix term and a word that begins with it agree in their first two characters: an equi-join, then a check.
     key = lambda c: F.substring(c, 1, 2)
     same = F.when(F.col("prefix"), F.col("tok").startswith(F.col("term"))).otherwise(F.col("tok") == F.col("term"))
     match = words.withColumn("k", key("tok")).join(asked.withColumn("k", key("term")), "k").where(same).select("term", "prefix", "tok")
-    hits = cut(post.join(match, "tok").groupBy("term", "prefix", "doc", "dl").agg(F.sum("tf").alias("tf")))
+    hits = cut(post.join(match, "tok").groupBy("term", "prefix", "doc", "dl", *by_scope).agg(F.sum("tf").alias("tf")))
     spread = hits.groupBy("term", "prefix").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     spread = spread.crossJoin(stats).select("term", "prefix", "avgdl", F.when(idf <= 0, 1e-6).otherwise(idf).alias("idf"))  # one row of statistics
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    weighed = hits.join(spread, ["term", "prefix"]).select("term", "prefix", "doc", (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("w"))
+    weighed = hits.join(spread, ["term", "prefix"]).select("term", "prefix", "doc", *by_scope, (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("w"))
     times = terms.groupBy("query_id", "term", "prefix").agg(F.count("*").alias("times"))
-    found = weighed.join(times, ["term", "prefix"])
-    if allowed is not None and "scope_id" in allowed.columns:
-        found = found.join(docs.select(F.col(id_).alias("doc"), "scope_id"), "doc").join(F.broadcast(allowed), ["query_id", "scope_id"])
-    elif allowed is not None:
+    if by_scope:
+        times = times.join(allowed.select("query_id", "scope_id").distinct(), "query_id")
+    found = weighed.join(times, ["term", "prefix", *by_scope])
+    if not by_scope and allowed is not None:
         found = found.join(allowed.select("query_id", F.col("id").alias("doc")), ["query_id", "doc"])
     scored = found.groupBy("query_id", F.col("doc").alias("id")).agg(F.round(F.sum(F.col("w") * F.col("times")), 9).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")

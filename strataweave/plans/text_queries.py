@@ -75,7 +75,7 @@ def budgeted_lines(spark: SparkSession, root: str) -> DataFrame:
     ranked = ranked.withColumn("used", F.sum("cost").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     head = scopes(spark, root).select(F.col("id").alias("scope_id"), text.est_tokens(F.concat(F.lit("## Memory — "), "label", F.lit("\n"))).alias("head"))
     caps = F.broadcast(caps.agg(F.collect_list(F.struct("budget_id", "capacity")).alias("caps")))
-    rows = ranked.join(F.broadcast(head), "scope_id").crossJoin(caps).select("scope_id", "rank", "used", "head", F.inline("caps"))  # one row of budgets
+    rows = ranked.join(head, "scope_id").crossJoin(caps).select("scope_id", "rank", "used", "head", F.inline("caps"))  # one row of budgets
     shown = rows.groupBy("scope_id", "budget_id").agg(F.count_if((F.col("rank") == 1) | (F.col("head") + F.col("used") <= F.col("capacity"))).alias("shown"))
     total = f.groupBy("scope_id").agg(F.count("*").alias("total"))
     return shown.join(total, "scope_id").select("scope_id", "budget_id", "shown", (F.col("total") - F.col("shown")).alias("omitted"))

@@ -18,11 +18,11 @@ def export_lines(scopes: DataFrame, episodes: DataFrame, facts: DataFrame) -> Da
     that holds a third of the store is written by many tasks.
     """
     key = scopes.select(F.col("id").alias("scope_id"), F.col("key").alias("scope_key"))
-    e = episodes.join(F.broadcast(key), "scope_id").select(
+    e = episodes.join(key, "scope_id").select(
         "scope_key", F.lit("episode").alias("part"), "id",
         F.to_json(F.struct("id", "source", "kind", F.col("body").alias("text"), "meta", F.lower(F.hex("hash")).alias("hash"), "head", "recorded_at")).alias("json"),
     )
-    f = facts.join(F.broadcast(key), "scope_id").select(
+    f = facts.join(key, "scope_id").select(
         "scope_key", F.lit("fact").alias("part"), "id",
         F.to_json(F.struct("id", F.col("src_name").alias("src"), "rel", F.col("dst_name").alias("dst"), "statement", "confidence", "valid_from", "valid_to", "recorded_at", "invalidated_at", "episode_id")).alias("json"),
     )
