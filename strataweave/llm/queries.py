@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,7 +94,34 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p6_found": p6_found, "p7_bins": p7_bins, "p7_fill": p7_fill, "p8_found": p8_found, "p9_found": p9_found}
-ORACLES: dict[str, str] = {}
+
+_FROM = "".join(forms.SAME_SHAPE) + "".join(chr(0xFF01 + i) for i in range(94)) + forms.HYPHENS.replace("－", "")
+_TO = "".join(forms.SAME_SHAPE.values()) + "".join(chr(0x21 + i) for i in range(94)) + "-" * (len(forms.HYPHENS) - 1)
+
+
+def _sql_form(x: str) -> str:
+    """The table form in SQL, as far as the test tables need it: shapes, wide forms, ligatures, hyphens, blanks, ignorables, accents."""
+    accented = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in range(0x386, 0x460) if len(unicodedata.normalize("NFD", chr(c))) > 1]
+    for joined, parts in (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("…", "..."), *accented):
+        x = f"replace({x}, '{joined}', '{parts}')"
+    quoted = [t.replace("'", "''") for t in (_FROM, _TO)]
+    return f"nfc_normalize(regexp_replace(regexp_replace(translate({x}, '{quoted[0]}', '{quoted[1]}'), '\\p{{Cf}}', '', 'g'), '\\p{{Zs}}', ' ', 'g'))"
+
+
+ORACLES: dict[str, str] = {
+    "p5_found": f"""
+WITH t AS (SELECT DISTINCT 'entities' AS tab, id, scope_id, norm AS text FROM entities UNION SELECT DISTINCT 'episodes', id, scope_id, body FROM episodes),
+u AS (SELECT *, {_sql_form('text')} AS form FROM t)
+SELECT a.tab, a.id AS id_a, b.id AS id_b FROM u a JOIN u b ON a.tab = b.tab AND a.scope_id = b.scope_id AND a.form = b.form AND a.text <> b.text AND a.id < b.id""",
+    "p6_found": f"""
+WITH RECURSIVE w AS (SELECT id, regexp_extract_all(lower({_sql_form('body')}), '[\\p{{L}}\\p{{N}}]+') AS w FROM (SELECT DISTINCT id, body FROM episodes)),
+s AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 15),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+c AS (SELECT a.id AS x, b.id AS y, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.id <> b.id GROUP BY a.id, b.id),
+e AS (SELECT x, y FROM c JOIN n p ON p.id = x JOIN n q ON q.id = y WHERE k >= 0.6 * (p.n + q.n - k) - 1e-9),
+r(a, b) AS (SELECT x, y FROM e UNION SELECT r.a, e.y FROM r JOIN e ON e.x = r.b)
+SELECT DISTINCT a AS id_a, b AS id_b FROM r WHERE a < b""",
+}
 
 
 def queries() -> dict:
