@@ -24,7 +24,7 @@ def episodes_once(spark: SparkSession, root: str) -> DataFrame:
 
 
 def episodes_to_insert(spark: SparkSession, root: str) -> DataFrame:
-    """Of the episodes of this year those whose identity older ones of the scope don't have, each once."""
+    """Of the episodes of the last 90 days those whose identity older ones of the scope don't have, each once."""
     e = episodes(spark, root)
     new = F.col("recorded_at") >= NOW - 90 * text.DAY
     return writes.first_episodes(e.where(new), e.where(~new)).select("id", "scope_id")
@@ -53,7 +53,7 @@ def _inserts(spark: SparkSession, root: str) -> DataFrame:
     src, dst = text.normalize_text(F.col("src")), text.normalize_text(F.col("dst"))
     return i.select(
         "scope_id", src.alias("src"), "rel", F.lower(F.hex(text.identity(F.col("rel"), src, dst, text.normalize_text(F.col("statement"))))).alias("hash"),
-        F.col("input_id").alias("id"), F.unix_millis(F.col("received_at").cast("timestamp")).alias("ts"), "valid_from", "valid_to", "confidence",
+        F.col("input_id").alias("id"), F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(received_at AS TIMESTAMP_NTZ))").alias("ts"), "valid_from", "valid_to", "confidence",
         writes.supersedes(F.col("rel"), src, F.col("supersede")).alias("over"),
     )
 
