@@ -152,9 +152,12 @@ def train(rows: pd.DataFrame) -> Filter:
     return again
 
 
-def sample(df: DataFrame, key: str, text: str, lang: Column, rows: int) -> pd.DataFrame:
-    """About `rows` rows per language, chosen by a hash of the key, as the bounded sample that the filter is built from."""
-    known = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), lang.alias("lang")).where(F.col("lang").isNotNull())
+def sample(df: DataFrame, key: str, text: str, lang: Column, rows: int, most_chars: int = 20_000) -> pd.DataFrame:
+    """About `rows` rows per language, chosen by a hash of the key, as the bounded sample that the filter is built from.
+
+    Texts of more than `most_chars` characters are not drawn, so that the sample has a bound in bytes too.
+    """
+    known = df.where(F.char_length(text) <= most_chars).select(F.col(key).alias("key"), F.col(text).alias("text"), lang.alias("lang")).where(F.col("lang").isNotNull())
     counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return pd.DataFrame({"lang": [], "text": []})

@@ -8,7 +8,7 @@ diagonal are then aligned word by word (proximity match), and a passage counts w
 item words are reproduced with at most one word in `per_edit` changed, dropped or added. Any such passage holds
 several unbroken phrases of four words, so the phrases lose none.
 
-Items are a stated query set: they are taken in blocks of at most `block` items, each a broadcast of bounded size, and
+Items are a stated query set: they are taken in blocks of at most `block` words, each a broadcast of bounded size, and
 every block is held against all documents.
 
 Defined results: null and empty texts match nothing, nor do rows without an id; items shorter than `least_words` words cannot leak; a document
@@ -20,7 +20,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -146,8 +145,24 @@ def _search(probes, least_words: int, per_edit: int, near: int):
     return run
 
 
+def _blocks(items: Iterator, least_words: int, most: int) -> Iterator[list[tuple[int, list[str]]]]:
+    """Items as words, in lists of at most `most` words together (one longer item stands alone)."""
+    part, size = [], 0
+    for row in items:
+        ws = words(row.text)
+        if row.item is None or len(ws) < least_words:
+            continue
+        if part and size + len(ws) > most:
+            yield part
+            part, size = [], 0
+        part.append((row.item, ws))
+        size += len(ws)
+    if part:
+        yield part
+
+
 def leaks(
-    docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, least_words: int = 15, per_edit: int = 10, near: int = 8, block: int = 20_000
+    docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, least_words: int = 15, per_edit: int = 10, near: int = 8, block: int = 1_000_000
 ) -> DataFrame:
     """Rows (doc_id, item_id): the document reproduces a passage of the item. See the module's text."""
     spark = docs.sparkSession
@@ -155,10 +170,8 @@ def leaks(
     schema = "doc_id long, item_id long"
     out = None
     rows = items.selectExpr(f"`{item_id}` AS item", f"`{item_text}` AS text").toLocalIterator()
-    while part := list(islice(rows, block)):
-        probes = Probes([(r.item, ws) for r in part if len(ws := words(r.text)) >= least_words and r.item is not None])
-        if not len(probes.phrases):
-            continue
+    for part in _blocks(rows, max(least_words, PHRASE), block):
+        probes = Probes(part)
         got = corpus.mapInPandas(_search(spark.sparkContext.broadcast(probes), least_words, per_edit, near), schema)
         out = got if out is None else out.unionByName(got)
     return spark.createDataFrame([], schema) if out is None else out

@@ -38,7 +38,7 @@ def test_planted_passages_are_found(spark):
         i = spark.createDataFrame(items + [(77, "too short"), (78, None)], "item_id long, text string")
         got = [tuple(r) for r in leakage.leaks(d, "doc_id", "text", i, "item_id", "text").collect()]
         assert len(got) == len(set(got)) and set(got) == want
-        blocks = {tuple(r) for r in leakage.leaks(d, "doc_id", "text", i, "item_id", "text", block=3).collect()}
+        blocks = {tuple(r) for r in leakage.leaks(d, "doc_id", "text", i, "item_id", "text", block=150).collect()}
         assert blocks == want
         assert leakage.leaks(d.limit(0), "doc_id", "text", i, "item_id", "text").count() == 0
         assert leakage.leaks(d, "doc_id", "text", i.limit(0), "item_id", "text").count() == 0
