@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataweave.session import cut
@@ -36,8 +36,8 @@ SAME_SHAPE = dict(
 HYPHENS = "‐‑‒–−﹘﹣－⁃"
 PLAIN_TAGS = ("<wide>", "<narrow>", "<font>", "<noBreak>", "<isolated>", "<initial>", "<medial>", "<final>")
 
-# A text without any of these is its own form. Java and Python read the class alike.
-ODD_CLASS = r"[^\x00-\x9f¡-¬®-ıĴ-ľŁ-ňŊ-ž]"
+# A text without any of these is its own form. Java and Python read the pattern alike.
+ODD_CLASS = r"[^\x00-ž]|[\xa0\xadĲĳĿŀŉ]"
 _ODD = re.compile(ODD_CLASS)
 LATIN_WORD = r"[A-Za-zªºÀ-ÖØ-öø-ıĴ-ľŁ-ňŊ-ž]+"
 _LATIN = re.compile(LATIN_WORD)
@@ -114,6 +114,11 @@ def choose(found: list[tuple[int, str, int]]) -> str | None:
     return min(found, key=lambda x: (x[0], not _LATIN.fullmatch(x[1]), -x[2], x[1]))[1] if found else None
 
 
+def is_odd(text: Column) -> Column:
+    """Whether a text has unusual characters; one of ASCII letters only is told by its length in bytes."""
+    return (F.octet_length(text) != F.char_length(text)) & text.rlike(ODD_CLASS)
+
+
 def _odd_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
@@ -169,9 +174,9 @@ def canonical(df: DataFrame, key: list[str], text: str, out: str = "form", bucke
     """df with the column `out`: the text in its canonical form. `key` names the columns that tell the rows apart."""
     rebuild = F.pandas_udf(_rebuild, "string")
     base = df.where(F.col(text).isNotNull())
-    is_odd = F.col(text).rlike(ODD_CLASS)
+    odd_text = is_odd(F.col(text))
     row = F.struct(*key) if len(key) > 1 else F.col(key[0])
-    odd_rows = base.where(is_odd).select(row.alias("_row"), F.col(text).alias("_text"))
+    odd_rows = base.where(odd_text).select(row.alias("_row"), F.col(text).alias("_text"))
     row_type = odd_rows.schema["_row"].dataType.simpleString()
     words = odd_rows.select(F.to_json(F.struct("_row")).alias("_row"), "_text").mapInPandas(_odd_words, "_row string, word string, look string, own boolean")
     words = cut(words)
@@ -189,8 +194,8 @@ def canonical(df: DataFrame, key: list[str], text: str, out: str = "form", bucke
     mapping = entries.repartition("bucket").sortWithinPartitions("bucket", "odd").mapInPandas(_match, "word string, form string")
     found = words.select("_row", "word").join(mapping.hint("merge"), "word").groupBy("_row").agg(F.collect_list("word").alias("_words"), F.collect_list("form").alias("_forms"))
     found = found.select(F.from_json("_row", f"_row {row_type}").getField("_row").alias("_row"), "_words", "_forms")
-    plain = df.where(F.col(text).isNull() | ~is_odd).withColumn(out, F.col(text))
-    changed = base.where(is_odd).withColumn("_row", row).join(found.hint("merge"), "_row", "left").withColumn(out, rebuild(F.col(text), F.col("_words"), F.col("_forms")))
+    plain = df.where(F.col(text).isNull() | ~odd_text).withColumn(out, F.col(text))
+    changed = base.where(odd_text).withColumn("_row", row).join(found.hint("merge"), "_row", "left").withColumn(out, rebuild(F.col(text), F.col("_words"), F.col("_forms")))
     return plain.unionByName(changed.drop("_row", "_words", "_forms"))
 
 
@@ -201,15 +206,18 @@ def alike(df: DataFrame, within: list[str], id_: str, text: str) -> DataFrame:
     """
     texts = df.where(F.col(text).isNotNull() & F.col(id_).isNotNull()).select(*within, id_, text)
     forms = canonical(texts, [*within, id_], text, "_form")
-    rows = forms.select(*within, F.col(id_).alias("id"), F.xxhash64("_form").alias("class"), F.xxhash64(text).alias("raw"), F.md5(F.col("_form")).alias("form"), F.md5(F.col(text)).alias("text"), F.col(text).rlike(ODD_CLASS).alias("odd"))
+    # 128 bits of hash stand for a form and for a text
+    two = lambda c: (F.xxhash64(c), F.xxhash64(F.lit(1), c))
+    hashes = [h.alias(n) for n, h in zip(("class", "form", "raw", "text"), (*two(F.col("_form")), *two(F.col(text))))]
+    rows = forms.select(*within, F.col(id_).alias("id"), *hashes, is_odd(F.col(text)).alias("odd"))
     rows = cut(rows.dropDuplicates([*within, "id"]))
     classes = rows.where("odd").select(*within, "class").distinct()
     rows = cut(rows.join(classes, [*within, "class"], "left_semi").drop("odd"))
     variants = rows.groupBy(*within, "class", "form", "raw", "text").agg(F.count("*").alias("n"))
     on = [*within, "class", "form"]
     other = variants.select(*on, F.col("raw").alias("raw_b"), F.col("text").alias("text_b"))
-    pairs = variants.join(other.hint("merge"), on).where(F.col("text") < F.col("text_b")).drop("n")
-    a = rows.select(*on, "text", F.col("id").alias("id_1"))
-    b = rows.select(*on, F.col("text").alias("text_b"), F.col("id").alias("id_2"))
-    both = pairs.select(*on, "text", "text_b").join(a.hint("merge"), [*on, "text"]).join(b.hint("merge"), [*on, "text_b"])
+    pairs = variants.join(other.hint("merge"), on).where(F.struct("raw", "text") < F.struct("raw_b", "text_b")).drop("n")
+    a = rows.select(*on, "raw", "text", F.col("id").alias("id_1"))
+    b = rows.select(*on, F.col("raw").alias("raw_b"), F.col("text").alias("text_b"), F.col("id").alias("id_2"))
+    both = pairs.select(*on, "raw", "text", "raw_b", "text_b").join(a.hint("merge"), [*on, "raw", "text"]).join(b.hint("merge"), [*on, "raw_b", "text_b"])
     return both.select(*within, F.least("id_1", "id_2").alias("id_a"), F.greatest("id_1", "id_2").alias("id_b"))

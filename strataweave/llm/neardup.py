@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.llm.forms import ODD_CLASS, table_form
+from strataweave.llm.forms import is_odd, table_form
 from strataweave.operators.components import components
 from strataweave.session import cut
 
@@ -41,7 +41,7 @@ def _table_forms(texts: pd.Series) -> pd.Series:
 
 def one_form(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with `out`: the text in its table form and lower case; only unusual texts leave the JVM."""
-    odd = F.pandas_udf(_table_forms, "string")(F.when(F.col(text).rlike(ODD_CLASS), F.col(text)))
+    odd = F.pandas_udf(_table_forms, "string")(F.when(is_odd(F.col(text)), F.col(text)))
     return df.withColumn(out, F.lower(F.coalesce(odd, F.col(text))))
 
 
