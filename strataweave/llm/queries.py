@@ -11,25 +11,47 @@ from strataweave.llm import forms, languages, leakage, names, neardup, packing,
 from strataweave.tables import once, read
 
 
-def p1_found(spark: SparkSession, root: str) -> DataFrame:
-    """Segments by language of the episodes and fact inputs whose label is missing or wrong, or that mix languages."""
+def _labelled(spark: SparkSession, root: str) -> DataFrame:
     episodes = read(spark, root, "episodes", "id", "body", "meta")
     inputs = read(spark, root, "fact_inputs", "input_id", "statement", "lang")
-    texts = episodes.select(F.concat(F.lit("episodes:"), "id").alias("key"), F.col("body").alias("text"), F.get_json_object("meta", "$.lang").alias("label")).unionByName(
+    return episodes.select(F.concat(F.lit("episodes:"), "id").alias("key"), F.col("body").alias("text"), F.get_json_object("meta", "$.lang").alias("label")).unionByName(
         inputs.select(F.concat(F.lit("fact_inputs:"), "input_id").alias("key"), F.col("statement").alias("text"), F.col("lang").alias("label"))
     )
-    found = languages.label_cases(texts, "key", "text", "label")
+
+
+def _record(found: DataFrame, *columns: str) -> DataFrame:
     part = F.split("key", ":")
-    return found.select(part[0].alias("tab"), part[1].cast("long").alias("rec_id"), "seg_no", "lang")
+    return found.select(part[0].alias("tab"), part[1].cast("long").alias("rec_id"), *columns)
 
 
-def p2_found(spark: SparkSession, root: str) -> DataFrame:
-    """Pairs of entities of one scope whose names stand for the same person or organisation."""
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    """Segments by language of the episodes and fact inputs whose label is missing or wrong, or that mix languages."""
+    return _record(languages.label_cases(_labelled(spark, root), "key", "text", "label"), "seg_no", "lang")
+
+
+def p1_segments(spark: SparkSession, root: str) -> DataFrame:
+    """Every record and every stretch of it with its language and a confidence."""
+    texts = _labelled(spark, root)
+    model = languages.train(languages.sample(texts, "key", "text", languages.label_language(F.col("label")), 1500))
+    return _record(languages.segments(texts, "key", "text", model), "seg_no", "lang", "confidence", "words").distinct()
+
+
+def _names(spark: SparkSession, root: str) -> tuple:
     entities = once(read(spark, root, "entities", "id", "scope_id", "name", "norm", "kind", "degree"), "id")
     aliases = read(spark, root, "aliases", "entity_id", "scope_id", "norm").distinct()
     known = aliases.join(entities.select("scope_id", "norm", "id"), ["scope_id", "norm"]).where("id != entity_id")
     given = personal.learn_given(entities, "name", "kind")
-    return names.same_entity(entities, "scope_id", "id", "name", "degree", given, known.select(F.col("id").alias("a"), F.col("entity_id").alias("b")))
+    return entities, "scope_id", "id", "name", "degree", given, known.select(F.col("id").alias("a"), F.col("entity_id").alias("b"))
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of entities of one scope whose names stand for the same person or organisation."""
+    return names.same_entity(*_names(spark, root))
+
+
+def p2_groups(spark: SparkSession, root: str) -> DataFrame:
+    """The group of every entity whose name is a person's or an organisation's."""
+    return names.groups(*_names(spark, root))
 
 
 def _free_text(spark: SparkSession, root: str) -> DataFrame:
@@ -50,20 +72,34 @@ def p3_redacted(spark: SparkSession, root: str) -> DataFrame:
     return personal.redact(once(_free_text(spark, root), "tab", "rec_id"), given).select("tab", "rec_id", "redacted")
 
 
-def p5_found(spark: SparkSession, root: str) -> DataFrame:
-    """Pairs of entities (by norm) and of episodes (by body) of one scope that look the same but differ in characters."""
+def _looks(spark: SparkSession, root: str) -> DataFrame:
     entities = read(spark, root, "entities", "id", "scope_id", "norm")
     episodes = read(spark, root, "episodes", "id", "scope_id", "body")
-    texts = entities.select(F.lit("entities").alias("tab"), "scope_id", "id", F.col("norm").alias("text")).unionByName(
+    return entities.select(F.lit("entities").alias("tab"), "scope_id", "id", F.col("norm").alias("text")).unionByName(
         episodes.select(F.lit("episodes").alias("tab"), "scope_id", "id", F.col("body").alias("text"))
     )
-    return forms.alike(texts, ["tab", "scope_id"], "id", "text").select("tab", "id_a", "id_b")
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of entities (by norm) and of episodes (by body) of one scope that look the same but differ in characters."""
+    return forms.alike(_looks(spark, root), ["tab", "scope_id"], "id", "text").select("tab", "id_a", "id_b")
+
+
+def p5_forms(spark: SparkSession, root: str) -> DataFrame:
+    """The consistent form of every norm and body."""
+    texts = once(_looks(spark, root), "tab", "id")
+    return forms.canonical(texts, ["tab", "id"], "text").select("tab", "id", "form")
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     """All pairs of episodes in one group of near copies: three-word runs, 60 %, bodies of 15 words or more."""
+    return neardup.group_pairs(p6_groups(spark, root))
+
+
+def p6_groups(spark: SparkSession, root: str) -> DataFrame:
+    """The group of every episode that takes part."""
     episodes = read(spark, root, "episodes", "id", "body")
-    return neardup.group_pairs(neardup.groups(episodes, "id", "body", width=3, share=0.6, least_words=15))
+    return neardup.groups(episodes, "id", "body", width=3, share=0.6, least_words=15)
 
 
 def _packed(spark: SparkSession, root: str) -> DataFrame:
@@ -93,7 +129,10 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return reading.levels(docs, "doc_id", "text", "source", read(spark, root, "ratings", "doc_id", "grade"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p6_found": p6_found, "p7_bins": p7_bins, "p7_fill": p7_fill, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES = {
+    q.__name__: q
+    for q in (p1_found, p1_segments, p2_found, p2_groups, p3_found, p3_redacted, p5_found, p5_forms, p6_found, p6_groups, p7_bins, p7_fill, p8_found, p9_found)
+}
 
 _FROM = "".join(forms.SAME_SHAPE) + "".join(chr(0xFF01 + i) for i in range(94)) + forms.HYPHENS.replace("－", "")
 _TO = "".join(forms.SAME_SHAPE.values()) + "".join(chr(0x21 + i) for i in range(94)) + "-" * (len(forms.HYPHENS) - 1)
