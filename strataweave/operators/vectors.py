@@ -126,33 +126,94 @@ def hashed_embedding(text: Column, dim: int = 64) -> Column:
     return F.pandas_udf(run, "array<tinyint>")(text)
 
 
-def merge_near_duplicates(pairs: DataFrame, facts: DataFrame, now_ts: int) -> DataFrame:
-    """Rows (keep, gone, hits): greedy merging of near-duplicate pairs (a, b) of facts (id, recorded_at, hits).
+def equal_vectors(facts: DataFrame, least: float = MERGE_AT) -> DataFrame:
+    """Rows (scope_id, q, rep, own): the distinct vectors of facts (id, scope_id, q) per scope, named by their smallest id.
+
+    A vector whose cosine with itself is below `least` (such as the zero vector) is near none of its copies: `own` is
+    then the fact's id, else null, and each such fact stands alone.
+    """
+    own = F.when(cosine(F.col("q"), F.col("q")) < least, F.col("id"))
+    return facts.where(F.col("q").isNotNull() & F.col("scope_id").isNotNull()).withColumn("own", own).groupBy("scope_id", "q", "own").agg(F.min("id").alias("rep"))
+
+
+def near_pairs(classes: DataFrame, least: float = MERGE_AT, block: int = 4096) -> DataFrame:
+    """Rows (a, b), a < b: all pairs of vectors (rep, scope_id, q) of one scope whose cosine is at least `least`, exactly.
+
+    Scopes are cut into blocks of about `block` vectors, every two blocks of a scope (and each with itself) meet in one
+    group, so that no task holds more than two blocks. Vectors of different lengths do not meet.
+    """
+    sized = classes.withColumn("dim", F.size("q"))
+    parts = sized.groupBy("scope_id", "dim").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    cut_ = sized.join(parts.hint("merge"), ["scope_id", "dim"]).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    met = cut_.select("rep", "q", "scope_id", "dim", "mine", other.alias("other"))
+    met = met.select("rep", "q", "scope_id", "dim", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        left, right = (group[group["mine"] == group[c].iloc[0]] for c in ("lo", "hi"))
+        out = []
+        if len(left) and len(right):
+            a, b = left["rep"].to_numpy(), right["rep"].to_numpy()
+            x, y = (np.stack(g["q"].to_numpy()).astype(np.float32) for g in (left, right))
+            for at in range(0, len(a), 512):
+                row, col = np.nonzero(x[at : at + 512] @ y.T >= least * UNIT)  # exact: sums of products of small integers
+                row, col = a[at : at + 512][row], b[col]
+                keep = row < col if len(left) == len(group) else row != col
+                out.append(np.stack([np.minimum(row, col)[keep], np.maximum(row, col)[keep]], axis=1))
+        return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64), columns=["a", "b"])
+
+    return met.groupBy("scope_id", "dim", "lo", "hi").applyInPandas(run, "a long, b long")
 
-    The newer fact survives, the candidate a on a tie. A fact that has gone takes part in no later merge; the order is
-    by candidate, then partner. Pairs are walked within their connected component, so merging is spread over groups.
+
+def merge_near_duplicates(pairs: DataFrame, facts: DataFrame, now_ts: int) -> DataFrame:
+    """Rows (keep, gone, hits, invalidated_at): greedy merging of near-duplicate facts (id, recorded_at, hits).
+
+    Every fact is a candidate, in the order of ids, and meets the facts near it in that order: the newer one survives,
+    the candidate on a tie, and a fact that has gone takes part in no later merge. `pairs` (a, b) are near each other,
+    in either order; where facts have a column `rep` (the smallest id of those with an equal vector), pairs are of reps
+    and equal facts are near each other too, without a pair. Each connected component is swept once by id: of equal
+    facts at most one is a candidate that still looks for others, so a fact costs as much as its vector has neighbours,
+    and a component holds its distinct vectors only, however many copies they have.
     """
     from strataweave.operators.components import components
 
-    roots = components(pairs, "a", "b")
-    info = facts.select("id", "recorded_at", "hits")
-    rows = pairs.join(roots.select(F.col("node").alias("a"), "root"), "a")
-    rows = rows.join(info.select(F.col("id").alias("a"), F.col("recorded_at").alias("ta"), F.col("hits").alias("ha")), "a")
-    rows = rows.join(info.select(F.col("id").alias("b"), F.col("recorded_at").alias("tb"), F.col("hits").alias("hb")), "b")
+    info = facts.select("id", "recorded_at", "hits", (F.col("rep") if "rep" in facts.columns else F.col("id")).alias("rep"))
+    roots = components(pairs, "a", "b").select(F.col("node").alias("rep"), "root")
+    both = pairs.select("a", "b").union(pairs.select("b", "a")).where("a <> b")
+    near = both.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("near"))
+    copies = info.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select("rep")
+    walked = roots.join(copies.hint("merge"), "rep", "full").select("rep", F.coalesce("root", "rep").alias("root"))
+    rows = info.join(walked.hint("merge"), "rep").join(near.hint("merge"), "id", "left")  # the neighbours come with the first of equal facts
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, gone = None, set()
+        at, looking, known = None, {}, {}
         for b in batches:
             out = []
-            for root, a, o, ta, tb, ha, hb in b[["root", "a", "b", "ta", "tb", "ha", "hb"]].itertuples(index=False):
+            for root, x, rep, t, hits, others in b[["root", "id", "rep", "recorded_at", "hits", "near"]].itertuples(index=False):
                 if root != at:
-                    at, gone = root, set()
-                if a in gone or o in gone:
-                    continue
-                keep, drop, hits = (a, o, hb) if ta >= tb else (o, a, ha)
-                gone.add(drop)
-                out.append((keep, drop, hits))
+                    at, looking, known = root, {}, {}
+                if others is not None:
+                    known[rep] = [int(o) for o in others]
+                for a, ta, ha, of in sorted(looking[o] for o in (rep, *known.get(rep, ())) if o in looking):
+                    if ta >= t:
+                        out.append((a, x, hits))
+                        break
+                    out.append((x, a, ha))
+                    del looking[of]
+                else:
+                    looking[rep] = (x, t, hits, rep)
             yield pd.DataFrame(out, columns=["keep", "gone", "hits"])
 
-    merged = rows.repartition("root").sortWithinPartitions("root", "a", "b").mapInPandas(walk, "keep long, gone long, hits long")
+    merged = rows.select("root", "id", "rep", "recorded_at", "hits", "near").repartition("root").sortWithinPartitions("root", "id").mapInPandas(walk, "keep long, gone long, hits long")
     return merged.withColumn("invalidated_at", F.lit(now_ts))
+
+
+def merge_equal_and_near(index: DataFrame, now_ts: int, least: float = MERGE_AT, block: int = 4096) -> DataFrame:
+    """Rows (keep, gone, hits, invalidated_at) of `merge_near_duplicates` over all facts (id, scope_id, recorded_at, hits, q) of an index."""
+    from strataweave.session import cut
+
+    classes = cut(equal_vectors(index, least))
+    own = F.when(cosine(F.col("q"), F.col("q")) < least, F.col("id"))
+    same = (F.col("f.scope_id") == F.col("c.scope_id")) & (F.col("f.q") == F.col("c.q")) & F.col("f.own").eqNullSafe(F.col("c.own"))
+    facts = index.withColumn("own", own).alias("f").join(classes.hint("merge").alias("c"), same).select("f.id", "f.recorded_at", "f.hits", "c.rep")
+    return merge_near_duplicates(cut(near_pairs(classes, least, block)), cut(facts), now_ts)

@@ -164,12 +164,10 @@ def vector_pairs(spark: SparkSession, root: str) -> DataFrame:
 
 
 def merged_facts(spark: SparkSession, root: str) -> DataFrame:
-    """Live facts that say nearly the same as an asked one of their scope, merged into the newer one."""
+    """Live facts that say nearly the same as another of their scope, merged into the newer one; all live facts are candidates."""
     f = facts(spark, root).where(temporal.live())
-    index = f.select("id", "scope_id", vectors.hashed_embedding(F.col("statement")).alias("q"))
-    asked = index.where(F.col("id") % EACH == 0).select(F.col("id").alias("query_id"), "q", F.array("scope_id").alias("scopes"))
-    pairs = vectors.within(asked, index, vectors.MERGE_AT).where("id <> query_id").select(F.col("query_id").alias("a"), F.col("id").alias("b"))
-    return vectors.merge_near_duplicates(cut(pairs), f, NOW)
+    index = cut(f.select("id", "scope_id", "recorded_at", "hits", vectors.hashed_embedding(F.col("statement")).alias("q")))
+    return vectors.merge_equal_and_near(index, NOW)
 
 
 QUERIES = {

@@ -121,3 +121,33 @@ def test_recall_finds_through_the_graph(spark):
     assert not [1 for i, leg in {(r.id, r.leg) for r in fusion.legs(q, f, n, hops=0).collect()} if leg == "graph"]
     got = fusion.recall(q, f, n, 0, limit=6).orderBy("pick").collect()
     assert got[0].id == 2 and len({r.id for r in got}) == len(got)
+
+
+def test_merging_takes_every_live_fact(spark):
+    """Greedy merging as the reference walks it, over all facts, with copies and blocks that meet."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((12, 16))
+    rows = []
+    for i in range(1, 241):
+        v = base[0] if i % 3 == 0 else base[rng.integers(12)] + rng.choice([0.0, 0.13]) * rng.standard_normal(16)
+        rows.append((i, int(i % 5 == 0), int(rng.integers(6)), i, np.round(v / np.linalg.norm(v) * 127).astype(int).tolist()))
+    rows += [(300, 0, 1, 1, [0] * 16), (301, 0, 2, 1, [0] * 16), (302, None, 2, 1, [127] + [0] * 15)]
+    want, gone = set(), set()
+    for a, sa, ta, ha, qa in rows:
+        for b, sb, tb, hb, qb in rows if sa is not None else ():
+            if a != b and sa == sb and a not in gone and b not in gone and np.dot(qa, qb) >= vectors.MERGE_AT * vectors.UNIT:
+                want.add((a, b, hb) if ta >= tb else (b, a, ha))
+                gone.add(b if ta >= tb else a)
+    index = spark.createDataFrame(rows, "id long, scope_id long, recorded_at long, hits long, q array<tinyint>")
+    got = [(r.keep, r.gone, r.hits) for r in vectors.merge_equal_and_near(index, 9, block=7).collect()]
+    assert len(got) == len(set(got)) > 100 and set(got) == want
+    assert vectors.merge_equal_and_near(index.limit(0), 9).count() == 0
+
+
+def test_merged_facts_are_not_an_id_subset(spark, tmp_path):
+    from strataweave.plans import search_queries
+
+    rows = [(i, 2, "the cache lives on the second node" + "." * (i % 3), None, i, 0) for i in range(1, 50)] + [(51, 3, "The cache lives on the second node", None, 9, 0)]
+    spark.createDataFrame(rows, "id long, scope_id long, statement string, invalidated_at long, recorded_at long, hits long").write.parquet(f"{tmp_path}/facts.parquet")
+    got = {(r.keep, r.gone) for r in search_queries.merged_facts(spark, str(tmp_path)).collect()}
+    assert got == {(i + 1, i) for i in range(1, 49)}
