@@ -29,12 +29,21 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(folded(text), F.lit(r"[\p{L}\p{N}_.@/]+"), F.lit(0))
 
 
-def query_terms(text: Column) -> Column:
-    """Array of structs (term, prefix): at most 24 terms, repeated ones kept; terms of three characters match by prefix."""
+def _kept(text: Column) -> Column:
     raw = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}\p{M}_./@]+"), F.lit(0))
     cut = F.transform(raw, lambda t: F.regexp_replace(t, r"^[./]+|[./]+$", ""))
-    kept = F.slice(F.filter(cut, lambda t: (F.octet_length(t) >= 2) & ~F.lower(t).isin(*STOP)), 1, MOST_TERMS)
-    return F.transform(kept, lambda t: F.struct(folded(t).alias("term"), (F.char_length(t) >= 3).alias("prefix")))
+    return F.slice(F.filter(cut, lambda t: (F.octet_length(t) >= 2) & ~F.lower(t).isin(*STOP)), 1, MOST_TERMS)
+
+
+def query_terms(text: Column) -> Column:
+    """Array of structs (term, prefix): at most 24 terms, repeated ones kept; terms of three characters match by prefix."""
+    return F.transform(_kept(text), lambda t: F.struct(folded(t).alias("term"), (F.char_length(t) >= 3).alias("prefix")))
+
+
+def match_string(text: Column) -> Column:
+    """The full-text expression of the query terms as they are written, such as `"Cache"* OR "no"`; null where there are none."""
+    terms = F.transform(_kept(text), lambda t: F.concat(F.lit('"'), t, F.lit('"'), F.when(F.char_length(t) >= 3, "*").otherwise("")))
+    return F.when(F.size(terms) > 0, F.array_join(terms, " OR "))
 
 
 def postings(docs: DataFrame, id_: str, text: str, *keep: str) -> DataFrame:

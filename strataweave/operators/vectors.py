@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataweave.session import cut
+
 UNIT = 127 * 127
 MERGE_AT = 0.96
 FLOOR_LEAST, FLOOR_SHARE = 0.02, 0.65
@@ -87,8 +89,9 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 60, block: int = 40
 
 
 def within(queries: DataFrame, vectors: DataFrame, least: float, block: int = 4096, dim: int | None = None) -> DataFrame:
-    """Rows (query_id, id, cos): all of vectors (id, q) whose cosine with a query is at least `least`, its own included."""
-    hits = _search(queries, vectors, block, dim, lambda d, ids: np.nonzero(d >= least * UNIT))
+    """Rows (query_id, id, cos): all of vectors (id, q) whose cosine with a query is at least `least`, its own included; with -inf all."""
+    floor = max(least * UNIT, float(np.finfo(np.float32).min))  # what a query does not see has -inf
+    hits = _search(queries, vectors, block, dim, lambda d, ids: np.nonzero(d >= floor))
     return hits.select("query_id", "id", (F.col("dot") / UNIT).alias("cos"))
 
 
@@ -98,6 +101,22 @@ def relative_floor(hits: DataFrame) -> DataFrame:
     return hits.withColumn("_top", top).where(F.col("cos") >= F.greatest(F.lit(FLOOR_LEAST), FLOOR_SHARE * F.col("_top"))).drop("_top")
 
 
+def explain(queries: DataFrame, vectors: DataFrame, block: int = 512) -> DataFrame:
+    """Rows (query_id, match, id, cos, floor, kept): every vector that a query (query_id, q, scopes, match) sees, whether kept or not.
+
+    The floor hangs on the query's best cosine, which a first search finds; then each block of queries meets the vectors
+    again, so that the rows, as many as queries times the vectors they see, are never shuffled.
+    """
+    tops = nearest(queries, vectors, k=1).select("query_id", F.greatest(F.lit(FLOOR_LEAST), FLOOR_SHARE * F.col("cos")).alias("floor"))
+    asked = cut(queries.join(tops.hint("merge"), "query_id"))
+    parts, out = max(1, -(-asked.count() // block)), None
+    for part in range(parts):
+        mine = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
+        hits = within(mine, vectors, float("-inf"), block).join(F.broadcast(mine.select("query_id", "match", "floor")), "query_id")  # a block of stated queries
+        out = hits if out is None else out.unionByName(hits)
+    return out.select("query_id", "match", "id", "cos", "floor", (F.col("cos") >= F.col("floor")).alias("kept"))
+
+
 def hashed_embedding(text: Column, dim: int = 64) -> Column:
     """Quantized mean of pseudo-random word vectors: a static embedding that needs no model file."""
 
@@ -144,9 +163,9 @@ def near_pairs(classes: DataFrame, least: float = MERGE_AT, block: int = 4096) -
     """
     sized = classes.withColumn("dim", F.size("q"))
     parts = sized.groupBy("scope_id", "dim").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    cut_ = sized.join(parts.hint("merge"), ["scope_id", "dim"]).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    placed = sized.join(parts.hint("merge"), ["scope_id", "dim"]).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    met = cut_.select("rep", "q", "scope_id", "dim", "mine", other.alias("other"))
+    met = placed.select("rep", "q", "scope_id", "dim", "mine", other.alias("other"))
     met = met.select("rep", "q", "scope_id", "dim", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -210,8 +229,6 @@ def merge_near_duplicates(pairs: DataFrame, facts: DataFrame, now_ts: int) -> Da
 
 def merge_equal_and_near(index: DataFrame, now_ts: int, least: float = MERGE_AT, block: int = 4096) -> DataFrame:
     """Rows (keep, gone, hits, invalidated_at) of `merge_near_duplicates` over all facts (id, scope_id, recorded_at, hits, q) of an index."""
-    from strataweave.session import cut
-
     classes = cut(equal_vectors(index, least))
     own = F.when(cosine(F.col("q"), F.col("q")) < least, F.col("id"))
     same = (F.col("f.scope_id") == F.col("c.scope_id")) & (F.col("f.q") == F.col("c.q")) & F.col("f.own").eqNullSafe(F.col("c.own"))

@@ -156,6 +156,15 @@ def explained(spark: SparkSession, root: str) -> DataFrame:
     return _near(spark, root).select("query_id", "id", "cos", floor.alias("floor"), (F.col("cos") >= floor).alias("kept"))
 
 
+def explained_facts(spark: SparkSession, root: str) -> DataFrame:
+    """The cosine of every live fact of the readable scopes with each query, its floor, whether it is kept, and the full-text expression."""
+    asked = _asked(spark, root)
+    scopes = F.array_distinct(F.array("scope_id", F.lit(1).cast("long"))).alias("scopes")
+    queries = asked.select("query_id", scopes, vectors.hashed_embedding(F.col("text")).alias("q"), lexical.match_string(F.col("text")).alias("match"))
+    f = facts(spark, root).where(temporal.live())
+    return vectors.explain(cut(queries), cut(f.select("id", "scope_id", vectors.hashed_embedding(F.col("statement")).alias("q"))))
+
+
 def vector_pairs(spark: SparkSession, root: str) -> DataFrame:
     """Every vector whose cosine with an asked one of the same label is a quarter or more."""
     v = _vectors(spark, root).withColumn("scope_id", F.col("label").cast("long"))
@@ -174,7 +183,7 @@ QUERIES = {
     q.__name__: q
     for q in (
         query_terms, bm25_facts, bm25_episodes, quantized_vectors, vector_top, vector_floor, fused_legs, adjusted_scores, statement_overlap, diversified, recalled, recall_legs,
-        fused_episodes, vector_pairs, merged_facts, rendered_memories, rendered_ids, explained,
+        fused_episodes, vector_pairs, merged_facts, rendered_memories, rendered_ids, explained, explained_facts,
     )
 }
 

@@ -151,3 +151,18 @@ def test_merged_facts_are_not_an_id_subset(spark, tmp_path):
     spark.createDataFrame(rows, "id long, scope_id long, statement string, invalidated_at long, recorded_at long, hits long").write.parquet(f"{tmp_path}/facts.parquet")
     got = {(r.keep, r.gone) for r in search_queries.merged_facts(spark, str(tmp_path)).collect()}
     assert got == {(i + 1, i) for i in range(1, 49)}
+
+
+def test_explained_facts_has_every_live_fact(spark, tmp_path):
+    from strataweave.plans import search_queries
+
+    facts = [(i, 2 if i % 2 else 1, f"the cache of node {i}", None) for i in range(1, 141)] + [(200, 3, "the cache", None), (201, 2, "the cache", 5)]
+    spark.createDataFrame(facts, "id long, scope_id long, statement string, invalidated_at long").write.parquet(f"{tmp_path}/facts.parquet")
+    spark.createDataFrame([(50, 2, "the Cache of no node"), (100, 3, "the"), (51, 2, "cache")], "id long, scope_id long, name string").write.parquet(f"{tmp_path}/entities.parquet")
+    rows = search_queries.explained_facts(spark, str(tmp_path)).collect()
+    assert sorted((r.query_id, r.id) for r in rows) == [(50, i) for i in range(1, 141)] + [(100, i) for i in range(2, 141, 2)] + [(100, 200)]
+    assert {(r.query_id, r.match) for r in rows} == {(50, '"Cache"* OR "no" OR "node"*'), (100, None)}
+    for q in (50, 100):
+        floor = max(0.02, 0.65 * max(r.cos for r in rows if r.query_id == q))
+        assert all(abs(r.floor - floor) < 1e-12 and r.kept == (r.cos >= floor) for r in rows if r.query_id == q)
+    assert sum(r.kept for r in rows if r.query_id == 50) > 60
