@@ -50,7 +50,7 @@ NICKNAMES = {
     )
 }
 LEGAL = re.compile(r"(?:[,\s]+(?:group plc|plc|ltd|limited|inc|incorporated|llc|llp|gmbh|ag|s\.? ?l|s\.? ?a|corp|corporation|co|company|bv|oy|ab|sarl|lda)\.?)+$")
-FULL = r"^(o\||p\|[^|]{2,}\|)"  # readings that a spelling can be attached to
+FULL = r"^([ox]\||p\|[^|]{2,}\|)"  # readings that a spelling can be attached to
 TITLE = re.compile(r"^(?:(?:dr|dra|ms|mr|mrs|miss|prof|sr|sra|herr|frau|monsieur|madame|mme|senhor|senhora)\.? )+")
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -82,7 +82,7 @@ def _near_known(word: str, known: set[str]) -> bool:
 
 
 def parse(name: str, known: set[str]) -> list[str]:
-    """Readings of a name: `p|given|initials|surname`, `u|joined` or `o|word word word`; none for other things."""
+    """Readings of a name: `p|given|initials|surname`, `u|joined`, `o|word word word` or, for a person or an organisation of two words, `x|word word`; none for other things."""
     raw = fold(name).strip()
     if not raw or re.search(r"[\d/_@\\]", raw):
         return []
@@ -131,15 +131,26 @@ def _less(word: str) -> set[str]:
     return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
 
 
+def _two(a: str, b: str) -> set[str]:
+    """Keys of two words, in any order, with one letter of one of them left out."""
+    return {"w:" + " ".join(sorted((k, b))) for k in _less(a)} | {"w:" + " ".join(sorted((a, k))) for k in _less(b)}
+
+
 def keys(form: str) -> set[str]:
     """Blocking keys: two spellings that the channel can link share at least one."""
     kind, *rest = form.split("|")
     if kind == "p":
         given, _, surname = rest
-        out = {f"s:{k}" for part in {surname, surname.split("-")[0]} for k in _less(part)}
+        parts = {surname, surname.split("-")[0]}
+        out = {f"s:{k}" for part in parts for k in _less(part)}
         if len(given) > 1:
             out |= {f"u:{k}" for k in _less(given[0] + surname) | _less(given + surname)}
-        return out
+            return out.union(*(_two(given, part) for part in parts))
+        return out | {f"i:{given} {k}" for part in parts for k in _less(part)}
+    if kind == "x":
+        a, b = rest[0].split()
+        out = _two(a, b) | {f"i:{a[0]} {k}" for k in _less(b)} | {f"h:{b} {a[:3]}", f"h:{a} {b[:3]}"}
+        return out | {f"u:{k}" for k in _less(a[0] + b) | _less(a + b)} | {f"j:{a}{b}", f"a:{a[0]}{b[0]}"}
     if kind == "u":
         return {f"u:{k}" for k in _less(rest[0])} | {f"j:{rest[0]}"}
     if kind == "a":
@@ -147,12 +158,29 @@ def keys(form: str) -> set[str]:
     if kind == "o":
         words = rest[0].split()
         out = {"w:" + " ".join(sorted(words[:i] + words[i + 1 :])) for i in range(len(words))}
+        out |= {f"u:{k}" for k in _less("".join(words))}
         return out | {"w:" + " ".join(sorted(words)), "j:" + "".join(words), "a:" + "".join(w[0] for w in words)}
     return set()
 
 
+def _readings(form: str, other: str) -> list[str]:
+    """What the form may stand for: two words are an organisation, a person or, beside a full name, one whose surname stands first."""
+    if not form.startswith("x|"):
+        return [form]
+    a, b = form[2:].split()
+    if min(len(a), len(b)) < 2:
+        return [f"o|{a} {b}"]
+    swapped = other.startswith("p|") and len(other.split("|")[1]) > 1
+    return [f"o|{a} {b}", f"p|{a}||{b}"] + [f"p|{b}||{a}"] * swapped
+
+
 def channel(variant: str, canonical: str) -> float | None:
     """Log likelihood that a writer who means `canonical` types `variant`; null when the channel does not allow it."""
+    likes = [_likelihood(v, c) for v in _readings(variant, canonical) for c in _readings(canonical, variant)]
+    return max((x for x in likes if x is not None), default=None)
+
+
+def _likelihood(variant: str, canonical: str) -> float | None:
     vk, *v = variant.split("|")
     ck, *c = canonical.split("|")
     if ck == "p" and len(c[0]) > 1:

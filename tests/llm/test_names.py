@@ -47,3 +47,38 @@ def test_linkable_spellings_share_a_key():
             for c in forms:
                 if v != c and names.channel(v, c) is not None:
                     assert names.keys(v) & names.keys(c), (v, c)
+
+
+TWO_WORDS = [
+    ["Acme Systems Ltd", "Acme Systems", "Acme Sytems", "acmesystems", "acmesytems", "Systems, Acme", "Acme Sys."],
+    ["Quorn Vale Robotics", "Quorn Vale", "quornvalerobotcs"],
+    ["Karimo Kelbach", "Karimo Q. Kelbach", "K. Kelbach", "Kelbach, Karimo", "Karimo Kelbch", "kkelbach"],
+    ["Acme Foundry"],
+]
+
+
+def test_two_words_link_as_person_or_organisation(spark):
+    rows = [(10 * g + i, 1, s, 1) for g, spelled in enumerate(TWO_WORDS) for i, s in enumerate(spelled)]
+    df = spark.createDataFrame(rows, "id long, scope_id long, name string, degree long")
+    got = {(r.id_a, r.id_b) for r in names.same_entity(df, "scope_id", "id", "name", "degree", []).collect()}
+    assert got == {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[0] // 10 == b[0] // 10}
+
+
+def test_linkable_spellings_share_a_key_whatever_their_kind():
+    import random
+
+    rnd = random.Random(4)
+    forms = set()
+    while len(forms) < 700:
+        words = [rnd.choice(("acme", "karimo", "kelbach", "moor-kesp")) for _ in range(rnd.choice((2, 2, 2, 3)))]
+        i = rnd.randrange(len(words))
+        at = rnd.randrange(len(words[i]))
+        words[i] = rnd.choice((words[i], words[i][:at] + words[i][at + 1 :], words[i][:at] + "z" + words[i][at:], words[i][:3], words[i][:1]))
+        rnd.shuffle(words)
+        plain = [w.replace("-", "") for w in words]
+        forms |= {rnd.choice((f"x|{plain[0]} {plain[1]}", f"p|{words[0]}|{rnd.choice(('', 'q'))}|{words[1]}", f"u|{''.join(plain)}", f"u|{plain[0][0]}{plain[1]}", f"o|{' '.join((plain * 2)[:3])}"))}
+    forms = sorted(forms)
+    held = {f: names.keys(f) for f in forms}
+    linked = [(v, c) for v in forms for c in forms if v != c and names.channel(v, c) is not None]
+    assert {v[0] + c[0] for v, c in linked} >= {"xx", "xo", "xp", "px", "ux", "uo", "up", "pp", "oo"}
+    assert [(v, c) for v, c in linked if not held[v] & held[c]] == []
