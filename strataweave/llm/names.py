@@ -77,8 +77,24 @@ def one_edit(a: str, b: str) -> bool:
     return x[1:] == y[1:] or x[1:] == y or x == y[1:] or (len(x) > 1 and x[:2] == y[1::-1] and x[2:] == y[2:])
 
 
+class Known(set):
+    """Given names, found by one-edit spellings through the forms with one letter left out."""
+
+    def __init__(self, names: set[str]) -> None:
+        super().__init__(names)
+        self.less: dict[str, list[str]] = {}
+        for name in names:
+            for k in _less(name):
+                self.less.setdefault(k, []).append(name)
+
+    def near(self, word: str) -> bool:
+        return any(one_edit(word, g) for k in _less(word) for g in self.less.get(k, ()))
+
+
 def _near_known(word: str, known: set[str]) -> bool:
-    return word in known or any(one_edit(word, g) for g in known if abs(len(g) - len(word)) < 2) if len(word) > 2 else word in known
+    if word in known or len(word) < 3:
+        return word in known
+    return known.near(word) if isinstance(known, Known) else any(one_edit(word, g) for g in known if abs(len(g) - len(word)) < 2)
 
 
 def parse(name: str, known: set[str]) -> list[str]:
@@ -244,7 +260,7 @@ def _likelihood(variant: str, canonical: str) -> float | None:
 
 def _read(known: tuple[str, ...]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = _KNOWN | set(known)
+        names = Known(_KNOWN | set(known))
         seen: dict[str, list[str]] = {}
         for b in batches:
             rows = []

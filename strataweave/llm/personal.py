@@ -6,8 +6,8 @@ left and right and validates what it finds: the parts of an address, the shape o
 international form of a phone number, the style of a name. Numbers that begin like a phone number are anchors too.
 Where findings overlap, the stronger type stands: email, identity number, phone, address, name.
 
-Given names are a short fixed list together with the names learned from the entities of kind person, at most
-`GIVEN_LIMIT` of them.
+Given names are a short fixed list together with all names learned from the entities of kind person: the first
+`GIVEN_LIMIT` of them are anchors of the automaton, the rest are looked up word by word, with the same findings.
 
 Defined results: null and empty texts hold nothing and are kept; rows without an id have no findings; repeated rows give repeated findings unless the caller
 drops them; an empty table gives an empty result; texts are read whole. Further columns are not read.
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from strataweave.llm.forms import _ODD, _TABLE
 
 GIVEN_LIMIT = 2000
+RUN = re.compile(r"[^\W_]+")
+PLAIN = str.maketrans("áàâãéêèíïóôõúüçñëöä", "aaaaeeeiiooouucneoa")
 TYPES = ("email", "id_number", "phone", "address", "name")
 
 # Words that mark personal information, as lower-case text.
@@ -113,11 +115,15 @@ class Finder:
 
     def __init__(self, given: list[str]) -> None:
         self.given = {g for g in [*GIVEN, *given]}
-        self.given |= {g.translate(str.maketrans("áàâãéêèíïóôõúüçñëöä", "aaaaeeeiiooouucneoa")) for g in self.given}
+        self.given |= {g.translate(PLAIN) for g in self.given}
+        # A given name counts only where it stands as a whole run of letters and digits, so a set finds the same as an automaton.
+        first = {*GIVEN, *given[:GIVEN_LIMIT]}
+        first |= {g.translate(PLAIN) for g in first}
+        self.words = {g for g in self.given - first if RUN.fullmatch(g)}
         self.anchors = ahocorasick.Automaton()
         kinds: dict[str, list[str]] = {}
         streets = [(f"street{i}", words) for i, words in enumerate(STREETS)]
-        for kind, keys in (("at", AT_SIGNS), ("id", ID_CUES), ("title", TITLES), ("who", BEFORE_NAME), ("given", self.given), ("ends", STREET_ENDS), *streets):
+        for kind, keys in (("at", AT_SIGNS), ("id", ID_CUES), ("title", TITLES), ("who", BEFORE_NAME), ("given", self.given - self.words), ("ends", STREET_ENDS), *streets):
             for k in keys:
                 kinds.setdefault(k, []).append(kind)
         for k, v in kinds.items():
@@ -145,6 +151,8 @@ class Finder:
         for end, (n, kinds) in self.anchors.iter(low):
             for k in kinds:
                 hits.setdefault(k, []).append((end + 1 - n, end + 1))
+        if self.words and (more := [m.span() for m in RUN.finditer(low) if m[0] in self.words]):
+            hits["given"] = sorted(hits.get("given", []) + more, key=lambda h: (h[1], h[0]))
         found: list[tuple[int, int, str]] = []
         taken = bytearray(len(text))
 
@@ -273,12 +281,13 @@ def key_of(piece: str) -> str:
     return "".join(c for c in piece.lower() if c.isalnum())
 
 
-def learn_given(entities: DataFrame, name: str, kind: str, least: int = 2, limit: int = GIVEN_LIMIT) -> list[str]:
-    """Given names: first words of two-word person names that stand before several different surnames."""
+def learn_given(entities: DataFrame, name: str, kind: str, least: int = 2, limit: int | None = None) -> list[str]:
+    """Given names: first words of two-word person names that stand before several different surnames, those of most surnames first."""
     people = entities.where(F.lower(kind).rlike("^(person|people)")).where(F.col(name).rlike(r"^\p{Lu}\p{L}{2,} \p{Lu}\p{L}{3,}$"))
     words = people.select(F.lower(F.split(name, " ")[0]).alias("given"), F.lower(F.split(name, " ")[1]).alias("surname"))
     many = words.groupBy("given").agg(F.approx_count_distinct("surname").alias("n")).where(F.col("n") >= least)
-    return sorted(r.given for r in many.orderBy(F.desc("n"), "given").limit(limit).collect())
+    ranked = many.orderBy(F.desc("n"), "given")
+    return [r.given for r in (ranked if limit is None else ranked.limit(limit)).collect()]
 
 
 def _scan(finder):

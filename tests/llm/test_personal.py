@@ -51,3 +51,29 @@ def test_redaction_keeps_the_rest(spark):
 def test_given_names_are_learned(spark):
     rows = [("Zora Kelp", "person"), ("Zora Dalwick", "People"), ("Zora Print House", "org"), ("Omar Belk", "person"), (None, "person"), ("Bela Stein", None)]
     assert personal.learn_given(spark.createDataFrame(rows, "name string, kind string"), "name", "kind") == ["zora"]
+
+
+def test_no_learned_name_is_dropped(spark):
+    made = [f"Zo{a}{b}{c}ra" for a in "abcdefghijklmno" for b in "abcdefghijklmno" for c in "abcdefghij"]
+    rows = [(f"{g} {s}", "person") for g in made for s in ("Kelpik", "Dalwick")] + [(f"Omár {s}", "person") for s in ("Kelpik", "Dalwick", "Torvik")]
+    given = personal.learn_given(spark.createDataFrame(rows, "name string, kind string").coalesce(2), "name", "kind")
+    assert len(given) == len(made) + 1 > personal.GIVEN_LIMIT and given[0] == "omár"
+    last = given[-1].capitalize()
+    text = f"Yesterday {last} Torvik met x_{last} and Omar Belkon; {last.upper()} KELPIK, not {last}9 or {last}'s."
+    got = [text[b:e] for b, e, kind in personal.Finder(given).find(text)]
+    assert got[:3] == [f"{last} Torvik", "Omar Belkon", f"{last.upper()} KELPIK"]
+    # the same as with one automaton for all
+    first, personal.GIVEN_LIMIT = personal.GIVEN_LIMIT, len(given)
+    try:
+        whole = personal.Finder(given)
+    finally:
+        personal.GIVEN_LIMIT = first
+    assert not whole.words and [text[b:e] for b, e, _ in whole.find(text)] == got
+
+
+def test_near_known_names_are_found_without_comparing_all():
+    from strataweave.llm import names
+
+    known = {"karimo", "anna", "jo", "zora"}
+    for word in ("karimo", "karmio", "karino", "krimo", "kkarimo", "anan", "ana", "jo", "joe", "zor", "zoar", "karinna", "bela"):
+        assert names._near_known(word, names.Known(known)) is names._near_known(word, known)
