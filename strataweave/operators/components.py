@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.session import cut
+from strataweave.session import kept
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.union(edges.select("v", "u")) if large else edges
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = both.join(least.hint("merge"), "u")  # a checkpoint's size is underestimated: never broadcast
+    joined = both.join(least.hint("merge"), "u")
     if large:
         out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -19,22 +19,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("u") != F.col("v")).distinct()
 
 
-def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Rows (node, root) for every node that has an edge; root is the smallest node of its component.
 
     Nulls and loops are ignored, repeated edges change nothing, no edges give no rows. Neighbour lists are never
     gathered: each step is an aggregation by `min` and a join on the node, so one node may have any number of edges.
+    Steps go on until one leaves the edges as they were, which comes after O(log^2 n) steps at most.
     """
     pair = edges.where(F.col(a) != F.col(b))
-    now = cut(pair.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    mark = None
-    for _ in range(most_rounds):
-        now = cut(_star(_star(now, True), False))
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if tuple(seen) == mark:
+    now = kept(pair.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    while True:
+        after = kept(_star(_star(now, True), False))
+        if after.count() == now.count() and after.join(now.hint("merge"), ["u", "v"], "left_anti").isEmpty():
             break
-        mark = tuple(seen)
-    else:
-        raise RuntimeError("components did not settle")
+        now = after
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
