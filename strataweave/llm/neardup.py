@@ -1,175 +1,353 @@
 """Problem 6: groups of texts that are near copies, by T-occurrence search over inverted lists.
 
 A text is the set of its distinct runs of `width` successive words. Two texts whose sets agree to `share` (Jaccard)
-must have T shingles in common, T following from the two sizes. The shingles of a text are ordered from rare to
-frequent by one order for the whole table; the most frequent lists of a text are set aside as its long lists, so that a
-partner must occur on at least one of its short lists: of the larger text the first n - T(n) + 1 lists are short, of
-the smaller one, which is indexed, fewer. The short lists are merged by a join on the shingle and a band of sizes, for
-the place of a shingle in the order bounds the size a partner can have; lists of very frequent shingles are cut into
-blocks that meet pairwise, so no list falls to one task. A bitmap bound that loses no pair leaves few candidates; the
-rest of each is probed by binary search, and pairs that reach the overlap are kept. Near copies of near copies are
-joined by connected components.
-
-Equal texts are one node from the start: copies are never paired before the result.
-
-Defined results: null texts and texts of fewer than `least_words` words take no part, nor do rows without an id; repeated ids count once; an
-empty table gives an empty result; texts are read whole. Further columns are not read.
+must have T shingles in common, T following from the two sizes. One aggregation counts exactly in how many texts every
+shingle stands, and the counts are joined back: the shingles of a text are ordered from rare to frequent by one order
+for the whole table, and those that stand in one text only are dropped, for nobody can share them.
+
+The short lists of a text are its first n - T + `hits` ones, the rest are its long lists. Short lists are merged: they
+are shuffled by shingle, sorted by size, and all entries of sizes that fit meet in one pass per list. A list is cut
+into blocks by its own count, so none falls to one task. Merging counts how often two texts met; of T common shingles
+at least `hits` lie on the short lists of both, so that only pairs counted that often are candidates. Two bounds drop
+pairs before they are counted and lose none: the places of the shingle in both orders, and a bitmap of 128 bits. Of the
+candidates only the long lists are probed, by binary search, for the T less the counted ones. Near copies of near
+copies are joined by connected components.
+
+Equal texts (128 bits of hash over their words) are one node from the start: copies are never paired before the result.
+
+Defined results: null texts and texts of fewer than `least_words` words take no part, nor do rows without an id; repeated
+ids count once; an empty table gives an empty result; texts are read whole. Further columns are not read. Ids are whole
+numbers.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.llm.forms import is_odd, table_form
+from strataweave.llm.forms import _ODD, table_form
 from strataweave.operators.components import components
-from strataweave.session import cut
+from strataweave.session import cut, kept
+
+CHUNK = 1 << 22  # characters, and pairs, that are worked on at once
+BROADCAST_ROWS = 4_000_000
+"""Tables of shared shingles up to this size (about 36 MB) go to every task; larger ones are joined."""
+HASH_BITS = 58
+_U = np.uint64
+_LETTER = np.full(0x110000, 2, dtype=np.uint8)  # 1 for letters and digits, filled as characters are met
+_POWERS: dict[int, np.ndarray] = {}
+_BASES = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)]
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finalizer (splitmix)."""
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+def _powers(which: int, n: int) -> np.ndarray:
+    """1, b, b^2, ... of a base, modulo 2^64."""
+    known = _POWERS.get(which)
+    if known is None or len(known) < n:
+        steps = np.full(max(n, 1024), _BASES[which], dtype=np.uint64)
+        steps[0] = 1
+        _POWERS[which] = known = np.cumprod(steps, dtype=np.uint64)
+    return known[:n]
+
+
+def _sums(values: np.ndarray, begin: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
+    """The polynomial hash of every stretch values[begin:end]."""
+    size = end - begin
+    place = np.arange(len(values)) - np.repeat(begin, size) if len(begin) and size.sum() == len(values) else None
+    assert place is not None or not len(values)
+    total = np.concatenate([[_U(0)], np.cumsum(values * _powers(which, int(size.max(initial=0)) + 1)[place], dtype=np.uint64)]) if len(values) else np.zeros(1, dtype=np.uint64)
+    return total[end] - total[begin]
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words, how many words each text has); words are runs of letters and digits."""
+    chars = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    kind = _LETTER[chars]
+    for c in np.unique(chars[kind == 2]):
+        _LETTER[c] = unicodedata.category(chr(c))[0] in "LN"
+    inside = np.concatenate([[0], _LETTER[chars] == 1, [0]]).astype(np.int8)
+    step = np.diff(inside)
+    begin, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    letters = chars[inside[1:-1] == 1].astype(np.uint64)
+    at = np.concatenate([[0], np.cumsum(end - begin)])
+    hashes = _mix(_sums(_mix(letters + _U(1)), at[:-1], at[1:], 0) + (end - begin).astype(np.uint64))
+    stop = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
+    return hashes, np.diff(np.concatenate([[0], np.searchsorted(begin, stop)]))
+
+
+def _pieces(texts: list[str]) -> Iterator[slice]:
+    """Runs of texts of about `CHUNK` characters; a longer text is one run."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > CHUNK:
+            yield slice(at, i)
+            at, size = i, 0
+        size += len(t)
+    if at < len(texts):
+        yield slice(at, len(texts))
+
+
+def _form(text: str) -> str:
+    return (table_form(text) if not text.isascii() and _ODD.search(text) else text).lower()
+
+
+def _identities(least: int, with_form: bool):
+    """Rows (id, h1, h2[, form]) of the texts with at least `least` words."""
 
-WORDS = r"[\p{L}\p{N}]+"
-SIGNATURE = 4  # longs of the bitmap
-BAND = math.log(1.12)  # width of a band of sizes
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            forms, ids = [_form(t) for t in b["text"]], b["id"].to_numpy()
+            for part in _pieces(forms):
+                hashes, count = word_hashes(forms[part])
+                at = np.concatenate([[0], np.cumsum(count)])
+                frame = pd.DataFrame({"id": ids[part], "h1": _mix(_sums(hashes, at[:-1], at[1:], 1) + count.astype(np.uint64)).view(np.int64), "h2": _mix(_sums(_mix(hashes), at[:-1], at[1:], 2)).view(np.int64)})
+                if with_form:
+                    frame["form"] = forms[part]
+                yield frame[count >= least]
+
+    return run
 
 
-def _table_forms(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else table_form(t))
+def _shingles(width: int):
+    """Rows (node, shingles) of rows (node, form)."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            forms, nodes = list(b["form"]), b["node"].to_numpy()
+            for part in _pieces(forms):
+                hashes, count = word_hashes(forms[part])
+                doc = np.repeat(np.arange(len(count)), count)
+                last = max(0, len(hashes) - width + 1)
+                runs = np.zeros(last, dtype=np.uint64)
+                for k in range(width):
+                    runs = _mix(runs * _U(3) + hashes[k : k + last])
+                whole = doc[:last] == doc[width - 1 :][:last]
+                runs, doc = runs[whole].view(np.int64), doc[:last][whole]
+                order = np.lexsort((runs, doc))
+                runs, doc = runs[order], doc[order]
+                new = np.ones(len(runs), dtype=bool)
+                new[1:] = (runs[1:] != runs[:-1]) | (doc[1:] != doc[:-1])
+                size = np.bincount(doc[new], minlength=len(count))
+                yield pd.DataFrame({"node": nodes[part], "shingles": np.split(runs[new], np.cumsum(size)[:-1])})
 
-def one_form(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with `out`: the text in its table form and lower case; only unusual texts leave the JVM."""
-    odd = F.pandas_udf(_table_forms, "string")(F.when(is_odd(F.col(text)), F.col(text)))
-    return df.withColumn(out, F.lower(F.coalesce(odd, F.col(text))))
+    return run
 
 
-def shingles(words: Column, width: int) -> Column:
-    """The distinct hashes of the runs of `width` successive words."""
-    runs = F.transform(
-        F.sequence(F.lit(0), F.size(words) - width),
-        lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(width)]),
-    )
-    return F.when(F.size(words) >= width, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How often each shingle stands in a batch; the rest of the counting is Spark's."""
+    for b in batches:
+        if len(b):
+            s, n = np.unique(np.concatenate(b["shingles"].to_list()), return_counts=True)
+            yield pd.DataFrame({"s": s, "n": n})
 
 
-def rarity(sets: DataFrame, column: str, slots: int) -> np.ndarray:
-    """How often shingles occur, by slot of their hash: a fixed number of slots, whatever the table's size."""
-    counts = sets.select(F.explode(column).alias("s")).groupBy(F.pmod("s", F.lit(slots)).cast("int").alias("slot")).agg(F.count("*").alias("n"))
-    got = counts.toPandas()
-    out = np.zeros(slots, dtype=np.int32)
-    out[got["slot"].to_numpy()] = np.minimum(got["n"].to_numpy(), np.iinfo(np.int32).max)
-    return out
+def frequencies(sets: DataFrame) -> DataFrame:
+    """Rows (s, n): the shingles that stand in more than one text, with their exact counts."""
+    return sets.select("shingles").mapInPandas(_counted, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") > 1)
 
 
-def _band(n):
-    return np.floor(np.log(np.maximum(n, 1)) / BAND + 1e-9).astype(np.int64)
+def _keys(s: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """One number per shingle that orders it from rare to frequent (the count's power of two) and tells it from others (58 bits of hash)."""
+    rare = np.minimum(np.floor(np.log2(n)), 31).astype(np.int64)
+    return (rare << HASH_BITS) | (s & ((1 << HASH_BITS) - 1))
 
 
-def _postings(rare, slots: int, share: float, block: int, indexed: bool):
-    """Rows (s, node, meta, blocks, low, high, b0..): the short lists of every set as the smaller text of a pair, which is
-    indexed, or as the larger one, which probes.
+def ordered(sets: DataFrame, shared: DataFrame, most: int = BROADCAST_ROWS) -> Callable[[DataFrame], DataFrame]:
+    """A function from sets (node, shingles) to rows (node, n, keys): the size of each set and its shared shingles in order.
 
-    meta holds size and place; low to high are the bands of sizes where a partner is met. Between equal sizes either
-    may be the smaller one.
+    The table of shared shingles (s, n) goes to all tasks if it is counted to have at most `most` rows; a larger one is joined.
     """
-    alpha = share / (1 + share)
+    fields = "node long, n int, keys array<bigint>"
+    if shared.count() > most:
+        rare = F.least(F.floor(F.log2("n")), F.lit(31)).cast("long")
+        key = F.shiftleft(rare, HASH_BITS).bitwiseOR(F.col("s").bitwiseAND((1 << HASH_BITS) - 1))
+        by_key = shared.select("s", key.alias("key")).hint("merge")
+
+        def joined(part: DataFrame) -> DataFrame:
+            rows = part.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+            return rows.join(by_key, "s").groupBy("node", "n").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+
+        return joined
+    table = shared.toPandas().sort_values("s")
+    known = sets.sparkSession.sparkContext.broadcast((table["s"].to_numpy(), _keys(table["s"].to_numpy(), table["n"].to_numpy())))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = rare.value
+        s, key = known.value
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("s", "node", "meta", "blocks", "low", "high")}
-            signs = []
-            for node, ids in zip(b["node"], b["shingles"]):
-                ids = np.asarray(ids, dtype=np.int64)
-                n = len(ids)
-                if not n:
-                    continue
-                often = counts[np.mod(ids, slots)]
-                order = np.lexsort((ids, often))
-                ids, often = ids[order], often[order]
-                probe = n - math.ceil(share * n - 1e-9) + 1
-                index = n - math.ceil(2 * alpha * n - 1e-9) + 1
-                bits = np.mod(ids >> 7, 64 * SIGNATURE)
-                sign = np.zeros(SIGNATURE, dtype=np.uint64)
-                np.bitwise_or.at(sign, bits // 64, np.uint64(1) << (bits % 64).astype(np.uint64))
-                place = np.arange(max(probe, index), dtype=np.int64)
-                largest = np.floor((n - place[:index]) / alpha - n + 1e-9)  # the largest partner with which enough can still be shared
-                own = int(_band(n))
-                k = index if indexed else probe
-                out["s"].append(ids[:k])
-                out["node"].append(np.full(k, node, dtype=np.int64))
-                out["meta"].append((n << 32) + place[:k])
-                out["blocks"].append(np.maximum(1, -(-often[:k] // block)).astype(np.int32))
-                out["low"].append(np.full(k, own, dtype=np.int32))
-                out["high"].append(np.maximum(_band(largest), own).astype(np.int32) if indexed else np.full(k, own, dtype=np.int32))
-                signs.append(np.repeat(sign.view(np.int64)[None, :], k, axis=0))
-            if signs:
-                frame = pd.DataFrame({k: np.concatenate(v) for k, v in out.items()})
-                sign = np.concatenate(signs)
-                for i in range(SIGNATURE):
-                    frame[f"b{i}"] = sign[:, i]
-                yield frame
+            if not len(b) or not len(s):
+                continue
+            n = b["shingles"].map(len).to_numpy()
+            flat = np.concatenate(b["shingles"].to_list())
+            at = np.minimum(np.searchsorted(s, flat), len(s) - 1)
+            is_shared = s[at] == flat
+            doc, keys = np.repeat(np.arange(len(b)), n)[is_shared], key[at[is_shared]]
+            keys = keys[np.lexsort((keys, doc))]
+            yield pd.DataFrame({"node": b["node"], "n": n.astype(np.int32), "keys": np.split(keys, np.cumsum(np.bincount(doc, minlength=len(b)))[:-1])})
+
+    return lambda part: part.select("node", "shingles").mapInPandas(run, fields)
+
+
+def _least(share: float, sizes):
+    """How many shingles two sets of `sizes` together must share."""
+    return np.ceil(share / (1 + share) * sizes - 1e-9).astype(np.int64)
+
+
+def _short(share: float, n: np.ndarray, hits: int, as_smaller: bool) -> np.ndarray:
+    """How many lists of a set of n shingles are short, as the larger or the smaller text of a pair."""
+    least = _least(share, 2 * n) if as_smaller else np.ceil(share * n - 1e-9).astype(np.int64)
+    return np.minimum(n, n - least + hits)
+
+
+POSTINGS = "key long, node long, sizes long, place int, b0 long, b1 long"
+
+
+def _postings(share: float, hits: int):
+    """Rows (POSTINGS): the short lists of every set; sizes holds the size with and without the shingles that nobody shares."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b):
+                continue
+            n, m = b["n"].to_numpy().astype(np.int64), b["keys"].map(len).to_numpy().astype(np.int64)
+            flat = np.concatenate(b["keys"].to_list()).astype(np.int64)
+            begin = np.cumsum(m) - m
+            doc = np.repeat(np.arange(len(b)), m)
+            bit = (flat >> 7) & 127
+            signs = np.zeros((2, len(b)), dtype=np.uint64)
+            for half in (0, 1):
+                mine = (bit >> 6) == half
+                np.bitwise_or.at(signs[half], doc[mine], _U(1) << (bit[mine] & 63).astype(np.uint64))
+            place = np.arange(len(flat)) - begin[doc] + (n - m)[doc]
+            use = place < _short(share, n, hits, False)[doc]
+            doc = doc[use]
+            yield pd.DataFrame({
+                "key": flat[use], "node": b["node"].to_numpy()[doc], "sizes": ((n << 32) | m)[doc], "place": place[use].astype(np.int32),
+                "b0": signs[0].view(np.int64)[doc], "b1": signs[1].view(np.int64)[doc],
+            })
 
     return run
 
 
-def _probe(share: float):
+def _met(f: pd.DataFrame, share: float, hits: int) -> pd.DataFrame:
+    """Rows (x, y, hits, need): how often a larger text x and a smaller one y meet on the lists of f, which are whole and sorted."""
+    key, cell, side, node, place = (f[c].to_numpy() for c in ("key", "cell", "side", "node", "place"))
+    n, m = (f["sizes"].to_numpy() >> 32), (f["sizes"].to_numpy() & 0xFFFFFFFF)
+    signs = [f[c].to_numpy().view(np.uint64) for c in ("b0", "b1")]
+    new = np.ones(len(f), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])
+    run = np.cumsum(new)
+    # An entry meets the indexed ones before it in its list whose size is large enough; lists are sorted by size.
+    indexed = np.flatnonzero(place < _short(share, n, hits, True))
+    lowest = np.searchsorted((run << 32) + n, (run << 32) + np.ceil(share * n - 1e-9).astype(np.int64))
+    first, last = np.searchsorted(indexed, lowest), np.searchsorted(indexed, np.arange(len(f)))
+    count = np.maximum(last - first, 0)
+    total = np.cumsum(count)
+    out, at = [], 0
+    while at < len(f):
+        upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + CHUNK)))
+        c = count[at:upto]
+        x = np.repeat(np.arange(at, upto), c)
+        y = indexed[np.arange(len(x)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(first[at:upto], c)]
+        need = _least(share, n[x] + n[y])
+        ok = (np.minimum(n[x] - place[x], n[y] - place[y]) >= need - (hits - 1)) & (node[x] != node[y]) & ((side[x] != side[y]) | (side[x] == 2))
+        x, y, need = x[ok], y[ok], need[ok]
+        apart = sum(np.bitwise_count(s[x] ^ s[y]).astype(np.int64) for s in signs)
+        ok = apart <= m[x] + m[y] - 2 * need
+        out.append(pd.DataFrame({"x": node[x[ok]], "y": node[y[ok]], "need": need[ok]}))
+        at = upto
+    return pd.concat(out).groupby(["x", "y", "need"], as_index=False).size().rename(columns={"size": "hits"})
+
+
+def _merge(share: float, hits: int):
+    """Merges lists that come sorted; the list at the end of a batch waits for its rest."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for b in batches:
+            if not len(b):
+                continue
+            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+            same = (b["key"].to_numpy() == b["key"].iloc[-1]) & (b["cell"].to_numpy() == b["cell"].iloc[-1])
+            rest = b[same]
+            if not same.all():
+                yield _met(b[~same], share, hits)
+        if rest is not None:
+            yield _met(rest, share, hits)
+
+    return run
+
+
+def _probe(hits: int):
+    """Keeps the candidates whose long lists hold what is missing to T."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ok = []
-            for x, y in zip(b["x"], b["y"]):
-                x, y = (x, y) if len(x) <= len(y) else (y, x)
+            for x, y, met, need in zip(b["kx"], b["ky"], b["hits"], b["need"]):
+                # The last shingle that the short parts of both reach for this T: what is not behind it has been counted.
+                ends = [k[len(k) - 1 - max(0, need - hits)] for k in (x, y)]
+                x, y = (k[np.searchsorted(k, min(ends), "right") :] for k in (x, y))
                 at = np.searchsorted(y, x)
-                common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                ok.append(common >= share * (len(x) + len(y) - common) - 1e-9)
-            yield b.loc[np.array(ok, dtype=bool), ["a", "b"]]
+                more = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(x) and len(y) else 0
+                ok.append(met + more >= need)
+            yield b.loc[np.array(ok, dtype=bool), ["x", "y"]]
 
     return run
 
 
-def near_pairs(sets: DataFrame, share: float, slots: int = 1 << 19, block: int = 4000) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes whose sets (node, shingles) have a Jaccard similarity of at least `share`."""
-    spark = sets.sparkSession
-    rare = spark.sparkContext.broadcast(rarity(sets, "shingles", slots))
-    signs = [f"b{i}" for i in range(SIGNATURE)]
-    fields = "s long, node long, meta long, blocks int, low int, high int, " + ", ".join(f"{c} long" for c in signs)
-    larger = sets.mapInPandas(_postings(rare, slots, share, block, False), fields)
-    smaller = sets.mapInPandas(_postings(rare, slots, share, block, True), fields)
-    # A long list is cut into blocks: probes stand in one block each, indexed entries in all of them.
-    mine = F.when(F.col("blocks") > 1, F.pmod(F.hash("node"), F.col("blocks"))).otherwise(0)
-    key = lambda band, part: F.xxhash64("s", band, part).alias("key")
-    probes = larger.select(key(F.col("high"), mine), F.col("node").alias("node_y"), F.col("meta").alias("meta_y"), *[F.col(c).alias(f"{c}_y") for c in signs])
-    index = smaller.select("s", "node", "meta", "blocks", *signs, F.explode(F.sequence("low", "high")).alias("band"))
-    index = index.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part")).select(key(F.col("band"), F.col("part")), "node", "meta", *signs)
-    size, size_y = F.shiftright("meta", 32), F.shiftright("meta_y", 32)
-    place, place_y = F.col("meta").bitwiseAND(0xFFFFFFFF), F.col("meta_y").bitwiseAND(0xFFFFFFFF)
-    need = F.ceil(share / (1 + share) * (size + size_y) - 1e-9)
-    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_y"))) for c in signs[1:]), F.bit_count(F.col("b0").bitwiseXOR(F.col("b0_y"))))
-    pairs = index.join(probes.hint("merge"), "key").where(
-        (size <= size_y) & (F.col("node") != F.col("node_y")) & (apart <= size + size_y - 2 * need) & (F.least(size - place, size_y - place_y) >= need)
-    )
-    pairs = pairs.select(F.least("node", "node_y").alias("a"), F.greatest("node", "node_y").alias("b")).distinct()
-    # Sizes estimated from a checkpoint are far too small: what follows from one is never left to be broadcast.
-    of = lambda k, c: sets.select(F.col("node").alias(k), F.array_sort("shingles").alias(c)).hint("merge")
-    return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInPandas(_probe(share), "a long, b long")
+def near_pairs(sets: DataFrame, share: float, block: int = 4000, hits: int = 3, most: int = BROADCAST_ROWS, make: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes whose sets (node, shingles) have a Jaccard similarity of at least `share`.
+
+    `make` turns the rows of `sets` into (node, shingles) where they are something else.
+    """
+    order = ordered(sets, kept(frequencies(make(sets))), most)
+    short = order(make(sets)).mapInPandas(_postings(share, hits), POSTINGS)
+    # A list longer than a block is cut into chunks, and every two chunks meet in a cell of their own.
+    chunks = F.ceil(F.pow(F.lit(2), F.shiftright("key", HASH_BITS) + 1) / block)
+    mine = F.when(chunks > 1, F.pmod(F.xxhash64("node"), chunks)).otherwise(0)
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda o: F.struct(
+        (F.least(mine, o) * (1 << 31) + F.greatest(mine, o)).alias("cell"), F.when(mine == o, 2).otherwise((mine > o).cast("int")).alias("side")))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("cell"), F.lit(2).alias("side")))
+    lists = short.select("*", F.inline(F.when(chunks > 1, cells).otherwise(whole)))
+    lists = lists.repartition("key", "cell").sortWithinPartitions("key", "cell", F.shiftright("sizes", 32), "node")
+    met = lists.mapInPandas(_merge(share, hits), "x long, y long, need long, hits long")
+    met = met.groupBy("x", "y", "need").agg(F.sum("hits").alias("hits")).where(F.col("hits") >= F.least(F.lit(hits), "need"))
+    met = kept(met)
+    asked = met.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+    keys = order(make(sets.join(asked.hint("merge"), "node", "left_semi")))
+    of = lambda node, k: keys.select(F.col("node").alias(node), F.col("keys").alias(k)).hint("merge")
+    found = met.join(of("x", "kx"), "x").join(of("y", "ky"), "y").mapInPandas(_probe(hits), "x long, y long")
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def groups(df: DataFrame, id_: str, text: str, width: int = 5, share: float = 0.8, least_words: int = 1) -> DataFrame:
     """Rows (id, root): the group of every text that takes part; a text without near copies is a group of its own."""
-    rows = df.where(F.col(text).isNotNull() & F.col(id_).isNotNull()).select(F.col(id_).alias("id"), F.col(text).alias("_text"))
-    rows = one_form(rows, "_text", "_form").select("id", F.regexp_extract_all("_form", F.lit(WORDS), F.lit(0)).alias("words"))
-    rows = rows.where(F.size("words") >= max(least_words, width))
-    rows = cut(rows.select("id", F.xxhash64("words").alias("node"), shingles(F.col("words"), width).alias("shingles")))
-    sets = cut(rows.select("node", "shingles").dropDuplicates(["node"]))
-    roots = components(near_pairs(sets, share), "a", "b")
-    return rows.select("id", "node").dropDuplicates(["id"]).join(roots.hint("merge"), "node", "left").select("id", F.coalesce("root", "node").alias("root"))
+    rows = df.where(F.col(text).isNotNull() & F.col(id_).isNotNull()).select(F.col(id_).cast("long").alias("id"), F.col(text).alias("text"))
+    least = max(least_words, width)
+    forms = rows.mapInPandas(_identities(least, True), "id long, h1 long, h2 long, form string")
+    texts = kept(forms.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.first("form").alias("form")))
+    make = lambda d: d.select("node", "form").mapInPandas(_shingles(width), "node long, shingles array<bigint>")
+    roots = components(near_pairs(texts, share, make=make), "a", "b")
+    members = rows.mapInPandas(_identities(least, False), "id long, h1 long, h2 long").dropDuplicates(["id"])
+    members = members.join(texts.select("h1", "h2", "node"), ["h1", "h2"]).select("id", "node")
+    return members.join(roots.hint("merge"), "node", "left").select("id", F.coalesce("root", "node").alias("root"))
 
 
 def group_pairs(grouped: DataFrame) -> DataFrame:
     """All pairs (id_a, id_b), id_a < id_b, of one group, as the result asks for; groups of one are left out first."""
+    grouped = cut(grouped)
     many = grouped.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("root")
-    rows = grouped.join(many, "root", "left_semi")
+    rows = grouped.join(many.hint("merge"), "root", "left_semi")
     a, b = rows.select("root", F.col("id").alias("id_a")), rows.select("root", F.col("id").alias("id_b"))
     return a.join(b.hint("merge"), "root").where(F.col("id_a") < F.col("id_b")).select("id_a", "id_b")

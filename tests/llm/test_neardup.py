@@ -62,10 +62,22 @@ def test_groups_equal_brute_force(spark):
 
 
 def test_frequent_shingles_meet_in_blocks(spark):
-    rows = corpus(9)
-    df = spark.createDataFrame(rows, "id long, body string").where("body IS NOT NULL")
+    rows = [r for r in corpus(9) if len((r[1] or "").split()) >= 3]
+    df = spark.createDataFrame(rows, "id long, body string")
     from pyspark.sql import functions as F
 
-    sets = df.select(F.col("id").alias("node"), neardup.shingles(F.split("body", " "), 3).alias("shingles")).where(F.size("shingles") > 0)
-    whole = {tuple(r) for r in neardup.near_pairs(sets, 0.5).collect()}
-    assert {tuple(r) for r in neardup.near_pairs(sets, 0.5, slots=64, block=5).collect()} == whole
+    runs = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(F.slice("w", i + 1, 3)))
+    sets = df.select(F.col("id").alias("node"), F.split("body", " ").alias("w")).select("node", F.array_distinct(runs).alias("shingles"))
+    known = {r.node: set(r.shingles) for r in sets.collect()}
+    whole = {(a, b) for a in known for b in known if a < b and len(known[a] & known[b]) >= 0.5 * len(known[a] | known[b])}
+    for hits in (1, 3, 6):
+        assert {tuple(r) for r in neardup.near_pairs(sets, 0.5, hits=hits).collect()} == whole
+    # lists in blocks of five; shared shingles joined instead of handed to all tasks
+    assert sorted(tuple(r) for r in neardup.near_pairs(sets, 0.5, block=5, most=0).collect()) == sorted(whole)
+
+
+def test_words_are_hashed_as_they_stand():
+    texts = ["a b\u00e9 c1", "", "b\u00e9!!a  x", "\U0001d400\U0001d401 a"]
+    hashes, count = neardup.word_hashes(texts)
+    assert count.tolist() == [3, 0, 3, 2]
+    assert hashes[0] == hashes[4] == hashes[7] and hashes[1] == hashes[3] and len(set(hashes.tolist())) == 5
