@@ -1,9 +1,9 @@
 """Problem 6: groups of texts that are near copies, by T-occurrence search over inverted lists.
 
 A text is the set of its distinct runs of `width` successive words. Two texts whose sets agree to `share` (Jaccard)
-must have T shingles in common, T following from the two sizes. One aggregation counts exactly in how many texts every
-shingle stands, and the counts are joined back: the shingles of a text are ordered from rare to frequent by one order
-for the whole table, and those that stand in one text only are dropped, for nobody can share them.
+must have T shingles in common, T following from the two sizes. One aggregation counts exactly how often every
+shingle stands in the table, and the counts are joined back: the shingles of a text are ordered from rare to frequent by one order
+for the whole table, and those that stand in one place only are dropped, for nobody can share them.
 
 The short lists of a text are its first n - T + `hits` ones, the rest are its long lists. Short lists are merged: they
 are shuffled by shingle, sorted by size, and all entries of sizes that fit meet in one pass per list. A list is cut
@@ -119,42 +119,54 @@ def _identities(least: int, with_form: bool):
     return run
 
 
-def _shingles(width: int):
-    """Rows (node, shingles) of rows (node, form)."""
+Flat = tuple[np.ndarray, np.ndarray, np.ndarray]
+"""Sets of a batch: their nodes, how many members stand there for each, and the members, one set after the other; a member may be repeated."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            forms, nodes = list(b["form"]), b["node"].to_numpy()
-            for part in _pieces(forms):
-                hashes, count = word_hashes(forms[part])
-                doc = np.repeat(np.arange(len(count)), count)
-                last = max(0, len(hashes) - width + 1)
-                runs = np.zeros(last, dtype=np.uint64)
-                for k in range(width):
-                    runs = _mix(runs * _U(3) + hashes[k : k + last])
-                whole = doc[:last] == doc[width - 1 :][:last]
-                runs, doc = runs[whole].view(np.int64), doc[:last][whole]
-                order = np.lexsort((runs, doc))
-                runs, doc = runs[order], doc[order]
-                new = np.ones(len(runs), dtype=bool)
-                new[1:] = (runs[1:] != runs[:-1]) | (doc[1:] != doc[:-1])
-                size = np.bincount(doc[new], minlength=len(count))
-                yield pd.DataFrame({"node": nodes[part], "shingles": np.split(runs[new], np.cumsum(size)[:-1])})
 
-    return run
+def of_arrays(b: pd.DataFrame) -> Flat:
+    """The sets of rows (node, shingles)."""
+    members = b["shingles"].to_list()
+    return b["node"].to_numpy(), np.fromiter(map(len, members), np.int64, len(members)), np.concatenate([np.zeros(0, np.int64), *members])
+
+
+def of_forms(width: int) -> Callable[[pd.DataFrame], Flat]:
+    """The sets of rows (node, form): the hashes of the runs of `width` successive words."""
+
+    def read(b: pd.DataFrame) -> Flat:
+        forms, sizes, members = list(b["form"]), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for part in _pieces(forms):
+            hashes, count = word_hashes(forms[part])
+            doc = np.repeat(np.arange(len(count)), count)
+            last = max(0, len(hashes) - width + 1)
+            runs = np.zeros(last, dtype=np.uint64)
+            for k in range(width):
+                runs = _mix(runs * _U(3) + hashes[k : k + last])
+            whole = doc[:last] == doc[width - 1 :][:last]
+            sizes.append(np.bincount(doc[:last][whole], minlength=len(count)))
+            members.append(runs[whole].view(np.int64))
+        return b["node"].to_numpy(), np.concatenate(sizes), np.concatenate(members)
 
+    return read
 
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _lists(sizes: np.ndarray, members: np.ndarray) -> list[np.ndarray]:
+    return np.split(members, np.cumsum(sizes)[:-1]) if len(sizes) else []
+
+
+def _counted(read):
     """How often each shingle stands in a batch; the rest of the counting is Spark's."""
-    for b in batches:
-        if len(b):
-            s, n = np.unique(np.concatenate(b["shingles"].to_list()), return_counts=True)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            s, n = np.unique(read(b)[2], return_counts=True)
             yield pd.DataFrame({"s": s, "n": n})
 
+    return run
+
 
-def frequencies(sets: DataFrame) -> DataFrame:
-    """Rows (s, n): the shingles that stand in more than one text, with their exact counts."""
-    return sets.select("shingles").mapInPandas(_counted, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") > 1)
+def frequencies(sets: DataFrame, read: Callable[[pd.DataFrame], Flat] = of_arrays) -> DataFrame:
+    """Rows (s, n): the shingles that stand in more than one place, with their exact counts."""
+    return sets.mapInPandas(_counted(read), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") > 1)
 
 
 def _keys(s: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -163,39 +175,59 @@ def _keys(s: np.ndarray, n: np.ndarray) -> np.ndarray:
     return (rare << HASH_BITS) | (s & ((1 << HASH_BITS) - 1))
 
 
-def ordered(sets: DataFrame, shared: DataFrame, most: int = BROADCAST_ROWS) -> Callable[[DataFrame], DataFrame]:
-    """A function from sets (node, shingles) to rows (node, n, keys): the size of each set and its shared shingles in order.
+def ordered(shared: DataFrame, read: Callable[[pd.DataFrame], Flat], most: int = BROADCAST_ROWS) -> Callable[[DataFrame, Callable, str], DataFrame]:
+    """A function (sets, use, fields) that hands sets in order to `use`, batch by batch, and gives its rows.
 
+    `use` gets the nodes, the sizes of their sets, the numbers of their shared shingles, and these from rare to frequent.
     The table of shared shingles (s, n) goes to all tasks if it is counted to have at most `most` rows; a larger one is joined.
     """
-    fields = "node long, n int, keys array<bigint>"
     if shared.count() > most:
         rare = F.least(F.floor(F.log2("n")), F.lit(31)).cast("long")
         key = F.shiftleft(rare, HASH_BITS).bitwiseOR(F.col("s").bitwiseAND((1 << HASH_BITS) - 1))
         by_key = shared.select("s", key.alias("key")).hint("merge")
 
-        def joined(part: DataFrame) -> DataFrame:
-            rows = part.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-            return rows.join(by_key, "s").groupBy("node", "n").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+        def as_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                node, n, s = read(b)
+                yield pd.DataFrame({"node": np.repeat(node, n), "s": s})
 
-        return joined
-    table = shared.toPandas().sort_values("s")
-    known = sets.sparkSession.sparkContext.broadcast((table["s"].to_numpy(), _keys(table["s"].to_numpy(), table["n"].to_numpy())))
+        def joined(part: DataFrame, use, fields: str) -> DataFrame:
+            def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for b in batches:
+                    keys = b["keys"].to_list()
+                    yield use(b["node"].to_numpy(), b["n"].to_numpy(), np.fromiter(map(len, keys), np.int64, len(keys)), np.concatenate([np.zeros(0, np.int64), *keys]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s, key = known.value
-        for b in batches:
-            if not len(b) or not len(s):
-                continue
-            n = b["shingles"].map(len).to_numpy()
-            flat = np.concatenate(b["shingles"].to_list())
-            at = np.minimum(np.searchsorted(s, flat), len(s) - 1)
-            is_shared = s[at] == flat
-            doc, keys = np.repeat(np.arange(len(b)), n)[is_shared], key[at[is_shared]]
-            keys = keys[np.lexsort((keys, doc))]
-            yield pd.DataFrame({"node": b["node"], "n": n.astype(np.int32), "keys": np.split(keys, np.cumsum(np.bincount(doc, minlength=len(b)))[:-1])})
+            rows = part.mapInPandas(as_rows, "node long, s long").join(by_key, "s", "left").groupBy("node")
+            rows = rows.agg(F.count_if(F.col("key").isNull()).alias("alone"), F.array_sort(F.collect_set("key")).alias("keys"))
+            return rows.select("node", (F.col("alone") + F.size("keys")).alias("n"), "keys").mapInPandas(run, fields)
 
-    return lambda part: part.select("node", "shingles").mapInPandas(run, fields)
+        return joined
+    table = shared.toPandas().sort_values("s")
+    keys = _keys(table["s"].to_numpy(), table["n"].to_numpy())
+    by_rank = np.argsort(keys)
+    rank = np.empty(len(keys), dtype=np.int64)
+    rank[by_rank] = np.arange(len(keys))
+    known = shared.sparkSession.sparkContext.broadcast((table["s"].to_numpy(), rank, keys[by_rank]))
+
+    def looked_up(part: DataFrame, use, fields: str) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            s, rank, key = known.value
+            for b in batches:
+                node, count, members = read(b)
+                if not len(members) or not len(s):
+                    continue
+                at = np.minimum(np.searchsorted(s, members), len(s) - 1)
+                is_shared = s[at] == members
+                of = np.repeat(np.arange(len(node)), count)
+                alone = np.bincount(of[~is_shared], minlength=len(node))
+                each = np.sort((of[is_shared] << 32) | rank[at[is_shared]])
+                each = each[np.diff(each, prepend=-1) != 0]
+                m = np.bincount(each >> 32, minlength=len(node))
+                yield use(node, alone + m, m, key[each & 0xFFFFFFFF])
+
+        return part.mapInPandas(run, fields)
+
+    return looked_up
 
 
 def _least(share: float, sizes):
@@ -215,28 +247,26 @@ POSTINGS = "key long, node long, sizes long, place int, b0 long, b1 long"
 def _postings(share: float, hits: int):
     """Rows (POSTINGS): the short lists of every set; sizes holds the size with and without the shingles that nobody shares."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            n, m = b["n"].to_numpy().astype(np.int64), b["keys"].map(len).to_numpy().astype(np.int64)
-            flat = np.concatenate(b["keys"].to_list()).astype(np.int64)
-            begin = np.cumsum(m) - m
-            doc = np.repeat(np.arange(len(b)), m)
-            bit = (flat >> 7) & 127
-            signs = np.zeros((2, len(b)), dtype=np.uint64)
-            for half in (0, 1):
-                mine = (bit >> 6) == half
-                np.bitwise_or.at(signs[half], doc[mine], _U(1) << (bit[mine] & 63).astype(np.uint64))
-            place = np.arange(len(flat)) - begin[doc] + (n - m)[doc]
-            use = place < _short(share, n, hits, False)[doc]
-            doc = doc[use]
-            yield pd.DataFrame({
-                "key": flat[use], "node": b["node"].to_numpy()[doc], "sizes": ((n << 32) | m)[doc], "place": place[use].astype(np.int32),
-                "b0": signs[0].view(np.int64)[doc], "b1": signs[1].view(np.int64)[doc],
-            })
+    def use(node: np.ndarray, n: np.ndarray, m: np.ndarray, keys: np.ndarray) -> pd.DataFrame:
+        of = np.repeat(np.arange(len(node)), m)
+        bit = (keys >> 7) & 127
+        signs = np.zeros((2, len(node)), dtype=np.uint64)
+        for half in (0, 1):
+            mine = (bit >> 6) == half
+            np.bitwise_or.at(signs[half], of[mine], _U(1) << (bit[mine] & 63).astype(np.uint64))
+        place = np.arange(len(keys)) + (n - np.cumsum(m))[of]
+        short = place < _short(share, n, hits, False)[of]
+        of = of[short]
+        return pd.DataFrame({
+            "key": keys[short], "node": node[of], "sizes": ((n << 32) | m)[of], "place": place[short].astype(np.int32),
+            "b0": signs[0].view(np.int64)[of], "b1": signs[1].view(np.int64)[of],
+        })
 
-    return run
+    return use
+
+
+def _key_lists(node: np.ndarray, n: np.ndarray, m: np.ndarray, keys: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"node": node, "keys": _lists(m, keys)})
 
 
 def _met(f: pd.DataFrame, share: float, hits: int) -> pd.DataFrame:
@@ -306,13 +336,13 @@ def _probe(hits: int):
     return run
 
 
-def near_pairs(sets: DataFrame, share: float, block: int = 4000, hits: int = 3, most: int = BROADCAST_ROWS, make: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+def near_pairs(sets: DataFrame, share: float, block: int = 4000, hits: int = 3, most: int = BROADCAST_ROWS, read: Callable[[pd.DataFrame], Flat] = of_arrays) -> DataFrame:
     """Pairs (a, b), a < b, of nodes whose sets (node, shingles) have a Jaccard similarity of at least `share`.
 
-    `make` turns the rows of `sets` into (node, shingles) where they are something else.
+    `read` takes the sets from a batch of rows, if these hold something else next to node.
     """
-    order = ordered(sets, kept(frequencies(make(sets))), most)
-    short = order(make(sets)).mapInPandas(_postings(share, hits), POSTINGS)
+    order = ordered(kept(frequencies(sets, read)), read, most)
+    short = order(sets, _postings(share, hits), POSTINGS)
     # A list longer than a block is cut into chunks, and every two chunks meet in a cell of their own.
     chunks = F.ceil(F.pow(F.lit(2), F.shiftright("key", HASH_BITS) + 1) / block)
     mine = F.when(chunks > 1, F.pmod(F.xxhash64("node"), chunks)).otherwise(0)
@@ -325,7 +355,7 @@ def near_pairs(sets: DataFrame, share: float, block: int = 4000, hits: int = 3,
     met = met.groupBy("x", "y", "need").agg(F.sum("hits").alias("hits")).where(F.col("hits") >= F.least(F.lit(hits), "need"))
     met = kept(met)
     asked = met.select(F.explode(F.array("x", "y")).alias("node")).distinct()
-    keys = order(make(sets.join(asked.hint("merge"), "node", "left_semi")))
+    keys = order(sets.join(asked.hint("merge"), "node", "left_semi"), _key_lists, "node long, keys array<bigint>")
     of = lambda node, k: keys.select(F.col("node").alias(node), F.col("keys").alias(k)).hint("merge")
     found = met.join(of("x", "kx"), "x").join(of("y", "ky"), "y").mapInPandas(_probe(hits), "x long, y long")
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
@@ -337,8 +367,7 @@ def groups(df: DataFrame, id_: str, text: str, width: int = 5, share: float = 0.
     least = max(least_words, width)
     forms = rows.mapInPandas(_identities(least, True), "id long, h1 long, h2 long, form string")
     texts = kept(forms.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.first("form").alias("form")))
-    make = lambda d: d.select("node", "form").mapInPandas(_shingles(width), "node long, shingles array<bigint>")
-    roots = components(near_pairs(texts, share, make=make), "a", "b")
+    roots = components(near_pairs(texts.select("node", "form"), share, read=of_forms(width)), "a", "b")
     members = rows.mapInPandas(_identities(least, False), "id long, h1 long, h2 long").dropDuplicates(["id"])
     members = members.join(texts.select("h1", "h2", "node"), ["h1", "h2"]).select("id", "node")
     return members.join(roots.hint("merge"), "node", "left").select("id", F.coalesce("root", "node").alias("root"))
