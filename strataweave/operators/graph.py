@@ -27,12 +27,18 @@ def entities_of(facts: DataFrame, of: DataFrame) -> DataFrame:
 def neighbors(facts: DataFrame, entities: DataFrame, frontier: DataFrame, exclude: DataFrame, most: int = 30) -> DataFrame:
     """Rows (group, id, rank): facts that touch an entity of frontier (group, entity), but those of exclude (group, id).
 
-    Order: least degree of the touching entity, most hits, newest, smallest id.
+    Order: least degree of the touching entity, most hits, newest, smallest id. The degree is the entity's own, so that
+    its facts stand in one order for every group: each entity is ranked once and hands on its first `most` facts and as
+    many more as a group may exclude, which leaves no fact out. A hub's facts are ranked before any group meets them.
     """
-    touching = endpoints(facts, "id", "hits", "recorded_at").join(frontier, "entity")
-    degrees = entities.select(F.col("id").alias("entity"), "degree")
-    found = touching.join(degrees, "entity").groupBy("group", "id").agg(F.min("degree").alias("deg"), F.max("hits").alias("hits"), F.max("recorded_at").alias("rec"))
-    found = found.join(exclude.select("group", "id"), ["group", "id"], "left_anti")
+    spare = exclude.groupBy("group").count().agg(F.max("count")).first()[0] or 0
+    touching = endpoints(facts, "id", "hits", "recorded_at").join(frontier.select("entity").distinct(), "entity", "left_semi")
+    own = Window.partitionBy("entity").orderBy(F.desc("hits"), F.desc("recorded_at"), "id")
+    first = touching.withColumn("place", F.row_number().over(own)).where(F.col("place") <= most + spare).drop("place")
+    first = first.join(entities.select(F.col("id").alias("entity"), "degree"), "entity")
+    found = first.join(frontier, "entity").groupBy("group", "id").agg(F.min("degree").alias("deg"), F.max("hits").alias("hits"), F.max("recorded_at").alias("rec"))
+    if spare:
+        found = found.join(exclude.select("group", "id"), ["group", "id"], "left_anti")
     order = Window.partitionBy("group").orderBy("deg", F.desc("hits"), F.desc("rec"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("group", "id", "rank")
 

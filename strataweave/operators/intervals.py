@@ -1,10 +1,12 @@
 """Coverage of overlapping, nested, touching and gapped validity intervals per key.
 
-A two-level merge. Level one merges intervals inside (key, time shard). Only keys that hold very many intervals have
-more than one shard; the shard borders are quantiles of their interval starts, so that a key holding a third of the
-table is spread evenly. Level two stitches, per huge key, what touches a shard border: the first and last stretch of
-each shard and the runs of shards that long intervals cover whole. Level two's input is bounded by the number of
-shards of the key, whatever the number of its intervals.
+A two-level merge over time shards, the same for keys of any size. Intervals that begin together are one from the
+start. Rows are range-partitioned by key and start, so that every partition is a shard of the same size, however many
+rows one key has; a key that holds a third of the table simply runs through a third of the shards. Level one merges the
+intervals of each (shard, key); what reaches beyond the shard is clipped and kept as one number, the shard's latest
+end. Level two walks the shards of each key that has more than one: what earlier shards carry into a shard swallows
+the stretches that begin before it ends, and the first stretch behind it closes the period that was open. At most two
+keys of a shard go on into others, so level two has no more rows than twice the number of shards, whatever the data.
 
 Defined results: null keys are dropped when `key_not_null` names them; a null start is replaced by the fallback; an
 interval whose end is not after its start is ignored; a null end is open and is written as -1. Repeated rows change
@@ -16,62 +18,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataweave.session import cut
+from strataweave.session import kept
 
 OPEN = 9223372036854775807
 """Internal end of an interval that has none."""
 
 
-def hot_borders(intervals: DataFrame, keys: list[str], huge: int, per_shard: int, most_keys: int, most_shards: int) -> DataFrame:
-    """One row (keys, borders) for each key with more than `huge` intervals.
-
-    At most `most_keys` rows of at most `most_shards` borders, so that it can be broadcast: the largest keys are
-    taken, and a key left out holds less than 1/most_keys of all intervals.
-    """
-    counts = intervals.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > huge).orderBy(F.desc("_n")).limit(most_keys)
-    sizes = F.broadcast(counts.select(*keys, F.least(F.lit(most_shards), F.ceil(F.col("_n") / per_shard)).cast("int").alias("_shards")))
-    steps = [i / 64 for i in range(1, 64)] if most_shards <= 64 else [i / most_shards for i in range(1, most_shards)]
-    quantiles = (
-        intervals.join(sizes, keys)
-        .groupBy(*keys)
-        .agg(F.percentile_approx("s", [float(x) for x in steps], 2000).alias("_q"), F.first("_shards").alias("_shards"))
-    )
-    every = F.expr(f"filter(_q, (x, i) -> pmod(i + 1, greatest(1, cast({len(steps) + 1} / _shards as int))) = 0)")
-    return quantiles.select(*keys, F.array_sort(F.array_distinct(every)).alias("borders")).where(F.size("borders") > 0)
+def same_keys(left: str, right: str, keys: list[str]) -> Column:
+    """The join condition under which all keys agree, nulls included."""
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
+    return on
 
 
-def _shard_of(point: Column) -> Column:
-    return F.when(F.col("borders").isNull(), 0).otherwise(F.size(F.filter("borders", lambda b: b <= point)))
+def in_shards(rows: DataFrame, keys: list[str], order: list[str], shards: int | None = None) -> DataFrame:
+    """rows with `shard`: equal parts of the table by (keys, order); shards of one key follow each other in that order."""
+    by = [F.col(c) for c in (*keys, *order)]
+    parts = rows.repartitionByRange(shards, *by) if shards else rows.repartitionByRange(*by)
+    return parts.withColumn("shard", F.spark_partition_id())
 
 
-def _merge(df: DataFrame, by: list[str]) -> DataFrame:
-    """The longest stretches (by, s, e) of intervals that overlap or touch, by one window per `by`."""
-    w = Window.partitionBy(*by).orderBy("s", "e")
-    before = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return (
-        df.withColumn("_new", F.when(before.isNull() | (F.col("s") > before), 1).otherwise(0))
-        .withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(*by, "_run")
-        .agg(F.min("s").alias("s"), F.max("e").alias("e"))
-        .drop("_run")
-    )
+def borders(summary: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of summary (keys, shard, ...) whose key stands in more than one shard: at most two rows per shard."""
+    own = Window.partitionBy(*keys)
+    many = (F.min("shard").over(own) != F.max("shard").over(own)).alias("_many")
+    return summary.select("*", many).where("_many").drop("_many")
 
 
 def coverage(
-    df: DataFrame,
-    keys: list[str],
-    start: str | Column,
-    end: str | Column,
-    start_fallback: str | Column | None = None,
-    key_not_null: list[str] | None = None,
-    huge: int = 200_000,
-    per_shard: int = 50_000,
-    most_keys: int = 2_000,
-    most_shards: int = 256,
+    df: DataFrame, keys: list[str], start: str | Column, end: str | Column, start_fallback: str | Column | None = None, key_not_null: list[str] | None = None, shards: int | None = None
 ) -> DataFrame:
     """Rows (keys, span, from_ms, to_ms): span `period` for each longest stretch without a hole, `gap` for each hole.
 
-    See the module's text for the method and for nulls, ties and empty input.
+    `shards` is the number of shards (`spark.sql.shuffle.partitions` if not given). See the module's text.
     """
     col = lambda c: F.col(c) if isinstance(c, str) else c
     s = col(start) if start_fallback is None else F.coalesce(col(start), col(start_fallback))
@@ -80,75 +60,36 @@ def coverage(
     for k in key_not_null or []:
         base = base.where(F.col(k).isNotNull())
     iv = base.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], s.cast("long").alias("s"), F.coalesce(col(end).cast("long"), F.lit(OPEN)).alias("e"))
-    iv = iv.where(F.col("s").isNotNull() & (F.col("e") > F.col("s")))
-
-    both = lambda d: d.select(
-        *names,
-        F.inline(
-            F.filter(
-                F.array(
-                    F.struct(F.lit("period").alias("span"), F.col("s").alias("from_ms"), F.col("e").alias("to_ms")),
-                    F.when(F.col("_next").isNotNull(), F.struct(F.lit("gap").alias("span"), F.col("e").alias("from_ms"), F.col("_next").alias("to_ms"))),
-                ),
-                lambda x: x.isNotNull(),
-            )
-        ),
-    )
-    ends = F.when(F.col("to_ms") == OPEN, -1).otherwise(F.col("to_ms"))
-    finish = lambda d: d.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], "span", "from_ms", ends.alias("to_ms"))
-    follow = lambda by: F.lead("s").over(Window.partitionBy(*by).orderBy("s"))
-
-    borders = cut(hot_borders(iv, names, huge, per_shard, most_keys, most_shards))
-    if borders.isEmpty():
-        return finish(both(_merge(iv, names).withColumn("_next", follow(names))))
-    same = [F.col(f"l.{n}").eqNullSafe(F.col(f"r.{n}")) for n in names]
-    on = same[0]
-    for c in same[1:]:
-        on = on & c
-    iv = iv.alias("l").join(F.broadcast(borders).alias("r"), on, "left").select("l.*", "r.borders")
-    done = _merge(iv.where(F.col("borders").isNull()), names).withColumn("_next", follow(names))
-    iv = iv.where(F.col("borders").isNotNull()).withColumn("_a", _shard_of(F.col("s"))).withColumn("_b", _shard_of(F.col("e") - 1))
-
-    # An interval leaves at most three pieces: its first shard, its last, and the run of whole shards between them.
-    low = lambda i: F.try_element_at("borders", i.cast("int"))  # noqa: E731  shard i begins at border i (1-based)
-    one = F.col("_a") == F.col("_b")
-    pieces = F.array(
-        F.struct(F.col("_a").alias("shard"), F.col("s").alias("s"), F.when(one, F.col("e")).otherwise(low(F.col("_a") + 1)).alias("e"), F.lit(False).alias("whole")),
-        F.when(~one, F.struct(F.col("_b").alias("shard"), low(F.greatest(F.col("_b"), F.lit(1))).alias("s"), F.col("e").alias("e"), F.lit(False).alias("whole"))),
-        F.when(F.col("_b") - F.col("_a") > 1, F.struct((F.col("_a") + 1).alias("shard"), low(F.col("_a") + 1).alias("s"), low(F.greatest(F.col("_b"), F.lit(1))).alias("e"), F.lit(True).alias("whole"))),
-    )
-    split = iv.select(*names, F.inline(F.filter(pieces, lambda p: p.isNotNull())))
-    by = [*names, "shard"]
-    local = _merge(split.where(~F.col("whole")).select(*by, "s", "e"), by).withColumn("_next", follow(by))
-    local = cut(local.withColumn("_first", F.lag("s").over(Window.partitionBy(*by).orderBy("s")).isNull()))
-    # Whole-shard runs: one per (key, first shard), the longest; merged they tell which shards are covered whole.
-    runs = cut(split.where("whole").groupBy(*names, "s").agg(F.max("e").alias("e")))
-    edge = local.where(F.col("_first") | F.col("_next").isNull())
-    level2 = runs.select(*names, "s", "e", F.lit(-1).alias("shard"), F.lit(False).alias("_leads")).unionByName(
-        edge.select(*names, "s", "e", "shard", F.col("_next").isNotNull().alias("_leads"))
+    iv = iv.where(F.col("s").isNotNull() & (F.col("e") > F.col("s"))).groupBy(*names, "s").agg(F.max("e").alias("e"))
+
+    # Level one: the stretches of each (shard, key), and the start of the next one in the shard.
+    by = ["shard", *names]
+    w = Window.partitionBy(*by).orderBy("s")
+    before = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    runs = in_shards(iv, names, ["s"], shards).withColumn("_new", F.when(before.isNull() | (F.col("s") > before), 1).otherwise(0))
+    runs = runs.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    local = runs.groupBy(*by, "_run").agg(F.min("s").alias("s"), F.max("e").alias("e")).withColumn("_next", F.lead("s").over(w)).drop("_run")
+    local = kept(local)
+
+    # Level two: what is carried into each shard of a key that has several.
+    w2 = Window.partitionBy(*names).orderBy("shard")
+    ends = borders(local.groupBy(*by).agg(F.max("e").alias("hi")), names)
+    carried = kept(ends.withColumn("carry", F.max("hi").over(w2.rowsBetween(Window.unboundedPreceding, -1))))
+    at = lambda d, o: d.alias("l").join(F.broadcast(o).alias("r"), (F.col("l.shard") == F.col("r.shard")) & same_keys("l", "r", names), "left")
+    is_new = F.col("carry").isNull() | (F.col("s") > F.col("carry"))
+    touched = at(local, carried).select("l.*", "carry", F.col("hi").isNotNull().alias("_many"))
+    stitch = touched.where("_many").groupBy(*by, "carry").agg(F.min(F.when(is_new, F.col("s"))).alias("begin"), F.max(F.when(~is_new, F.col("e"))).alias("swallowed"), F.max("e").alias("hi"))
+    opens = F.when(F.col("begin").isNotNull(), F.struct(F.col("begin").alias("begin"), F.greatest("carry", "swallowed").alias("end")))
+    follow = F.first(opens, ignorenulls=True).over(w2.rowsBetween(1, Window.unboundedFollowing))
+    stitch = stitch.select(*by, "carry", follow.alias("follow"), F.max("hi").over(Window.partitionBy(*names)).alias("last"))
+    whole = at(local, stitch).where(is_new).select(
+        *[F.col(f"l.{n}").alias(n) for n in names],
+        "s",
+        F.when(F.col("_next").isNotNull() | F.col("last").isNull(), F.col("e")).otherwise(F.coalesce("follow.end", "last")).alias("e"),
+        F.coalesce("_next", "follow.begin").alias("_next"),
     )
-    w2 = Window.partitionBy(*names).orderBy("s", "e")
-    before = F.max("e").over(w2.rowsBetween(Window.unboundedPreceding, -1))
-    stitched = (
-        level2.withColumn("_new", F.when(before.isNull() | (F.col("s") > before), 1).otherwise(0))
-        .withColumn("_run", F.sum("_new").over(w2.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(*names, "_run")
-        # inner: within its own shard the stretch is followed by another, whose gap level one has already listed
-        .agg(F.min("s").alias("s"), F.max("e").alias("e"), F.max_by(F.struct("_leads", "shard"), F.struct("e", "s")).alias("tail"))
+    spans = F.array(
+        F.struct(F.lit("period").alias("span"), F.col("s").alias("from_ms"), F.when(F.col("e") == OPEN, -1).otherwise(F.col("e")).alias("to_ms")),
+        F.when(F.col("_next").isNotNull(), F.struct(F.lit("gap").alias("span"), F.col("e").alias("from_ms"), F.col("_next").alias("to_ms"))),
     )
-    stitched = stitched.withColumn("_next", follow(names))
-    # Stretches that neither begin nor end their shard, and the gaps inside a shard, stand unless a run covers the shard.
-    covered = _merge(runs, names).select(*[F.col(n).alias(f"c{n}") for n in names], F.col("s").alias("cs"), F.col("e").alias("ce"))
-    oncov = F.col(names[0]).eqNullSafe(F.col(f"c{names[0]}"))
-    for n in names[1:]:
-        oncov = oncov & F.col(n).eqNullSafe(F.col(f"c{n}"))
-    free = local.join(covered, oncov & (F.col("cs") <= F.col("s")) & (F.col("ce") >= F.col("e")), "left_anti")
-
-    period = lambda d: d.select(*names, F.lit("period").alias("span"), F.col("s").alias("from_ms"), F.col("e").alias("to_ms"))
-    gap = lambda d: d.where(F.col("_next").isNotNull()).select(*names, F.lit("gap").alias("span"), F.col("e").alias("from_ms"), F.col("_next").alias("to_ms"))
-    out = both(done)
-    out = out.unionByName(period(free.where(~F.col("_first") & F.col("_next").isNotNull())))
-    out = out.unionByName(gap(free))
-    out = out.unionByName(period(stitched))
-    out = out.unionByName(gap(stitched.where(~F.col("tail._leads"))))
-    return finish(out)
+    return whole.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], F.inline(F.filter(spans, lambda x: x.isNotNull())))

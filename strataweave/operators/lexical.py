@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataweave.session import cut
+from strataweave.session import cut, kept
 
 # Words without retrieval signal, English and Spanish.
 STOP = (
@@ -59,15 +59,18 @@ def bm25(queries: DataFrame, docs: DataFrame, id_: str, text: str, allowed: Data
     only filters what is returned: a query meets the hits of its own scopes alone. Ties go to the smaller id; scores are rounded to nine decimals before ranking.
     """
     terms = queries.select("query_id", F.inline(query_terms(F.col("text"))))
-    stats = F.broadcast(docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(tokens(F.col(text)))).alias("avgdl")))
     by_scope = ["scope_id"] if allowed is not None and "scope_id" in allowed.columns else []
-    post = postings(docs, id_, text, *by_scope)
+    # The index is written once and read for its words, its lengths and its hits.
+    post = kept(postings(docs, id_, text, *by_scope))
+    sizes = docs.agg(F.count("*").alias("n_docs"), F.count(text).alias("n_texts"))
+    stats = F.broadcast(post.agg(F.sum("tf").alias("n_toks")).crossJoin(sizes).select("n_docs", F.try_divide("n_toks", "n_texts").alias("avgdl")))  # one row
     asked = terms.select("term", "prefix").distinct()
     words = post.select("tok").distinct()
-    # A prefix term and a word that begins with it agree in their first two characters: an equi-join, then a check.
-    key = lambda c: F.substring(c, 1, 2)
-    same = F.when(F.col("prefix"), F.col("tok").startswith(F.col("term"))).otherwise(F.col("tok") == F.col("term"))
-    match = words.withColumn("k", key("tok")).join(asked.withColumn("k", key("term")), "k").where(same).select("term", "prefix", "tok")
+    # A prefix term has three characters or more and agrees in them with its words: an equi-join, then a check.
+    key = lambda c: F.substring(c, 1, 3)
+    begun = words.withColumn("k", key("tok")).join(asked.where("prefix").withColumn("k", key("term")), "k").where(F.col("tok").startswith(F.col("term")))
+    whole = asked.where(~F.col("prefix")).join(words, F.col("tok") == F.col("term"))
+    match = begun.select("term", "prefix", "tok").unionByName(whole.select("term", "prefix", "tok"))
     hits = cut(post.join(match, "tok").groupBy("term", "prefix", "doc", "dl", *by_scope).agg(F.sum("tf").alias("tf")))
     spread = hits.groupBy("term", "prefix").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))

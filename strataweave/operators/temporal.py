@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataweave.session import kept
+
 GLOBAL_SCOPE = 1
 
 
@@ -36,3 +38,17 @@ def resolved(facts: DataFrame, entities: DataFrame, episodes: DataFrame) -> Data
 def in_caller_order(facts: DataFrame, wanted: DataFrame) -> DataFrame:
     """The facts of wanted (id, rank) with their rank, for a caller that keeps an order; unknown ids are left out."""
     return facts.join(wanted, "id")
+
+
+def ranked(rows: DataFrame, *order: Column, rank: str = "rank") -> DataFrame:
+    """rows with their place, from 1, in one order of the whole table: the order must tell all rows apart.
+
+    Rows are range-partitioned by the order, ranked within their part, and moved on by the sizes of the parts before;
+    there are as few of these as partitions.
+    """
+    parts = kept(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = F.broadcast(sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before")))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return parts.withColumn(rank, place).join(offsets, "_part").withColumn(rank, F.col(rank) + F.col("_before")).drop("_part", "_before")

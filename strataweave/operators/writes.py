@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataweave.functions import secrets, text
-from strataweave.operators.intervals import hot_borders
-from strataweave.session import cut
+from strataweave.operators.intervals import borders, in_shards, same_keys
+from strataweave.session import kept
 
 # Relations of which a subject holds one value at a time.
 SINGLE_VALUED = "uses prefers is has_status runs_on lives_in assigned_to version named defaults_to targets".split()
@@ -90,75 +90,57 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(done(live), columns=columns)
 
 
-def _null_safe(left: str, right: str, columns: list[str]) -> Column:
-    on = F.lit(True)
-    for c in columns:
-        on = on & F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
-    return on
-
-
-def _runs(rows: DataFrame, borders: DataFrame | None) -> DataFrame:
+def _runs(rows: DataFrame, shards: int | None) -> DataFrame:
     """Rows (key, hash, id, begin, valid_to, recorded_at, confidence, born, next): successive equal facts of a key as one.
 
-    next holds (begin, born, id) of the run that follows.
-
-    Keys with very many rows are cut into time shards (borders); runs are found per shard, and what a shard begins with
-    is joined to the run that an earlier shard ends with, over one summary row per shard.
+    next holds (begin, born, id) of the run that follows. Rows are cut into time shards of equal size, and runs are found
+    per shard; what a shard begins with is joined to the run that an earlier shard ends with over a table that has at
+    most two rows per shard.
     """
-    by = [*_KEY, "shard"]
-    if borders is None:
-        rows = rows.withColumn("shard", F.lit(0))
-    else:
-        shard = F.when(F.col("borders").isNull(), 0).otherwise(F.size(F.filter("borders", lambda x: x <= F.col("ts"))))
-        rows = rows.alias("l").join(F.broadcast(borders).alias("r"), _null_safe("l", "r", _KEY), "left").select("l.*", shard.alias("shard"))
+    by = ["shard", *_KEY]
     w = Window.partitionBy(*by).orderBy("ts", "id")
-    new = (~F.lag("hash").over(w).eqNullSafe(F.col("hash"))).cast("int")
-    runs = rows.withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = in_shards(rows, _KEY, ["ts", "id"], shards).withColumn("new", (~F.lag("hash").over(w).eqNullSafe(F.col("hash"))).cast("int"))
+    runs = runs.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     first = lambda c: F.min_by(c, F.struct("ts", "id")).alias(c)
-    refreshed = [F.max("ts").alias("recorded_at"), F.max("confidence").alias("confidence"), F.min("ts").alias("born")]
-    runs = runs.groupBy(*by, "run").agg(first("hash"), first("id"), first("begin"), first("valid_to"), *refreshed)
+    runs = runs.groupBy(*by, "run").agg(first("hash"), first("id"), first("begin"), first("valid_to"), F.max("ts").alias("recorded_at"), F.max("confidence").alias("confidence"), F.min("ts").alias("born"))
     follower = F.struct("begin", "born", "id")
-    follow = F.lead(follower).over(Window.partitionBy(*by).orderBy("run"))
-    if borders is None:
-        return runs.withColumn("next", follow).drop("shard", "run")
-    runs = cut(runs)
-    ends = runs.groupBy(*by).agg(F.max_by("hash", "run").alias("last"), F.max("run").alias("last_run"), F.min_by("hash", "run").alias("head"))
+    runs = kept(runs.withColumn("next", F.lead(follower).over(Window.partitionBy(*by).orderBy("run"))))
+    ends = runs.groupBy(*by).agg(
+        F.max("run").alias("n"), F.min_by("hash", "run").alias("head"), F.max_by("hash", "run").alias("tail"),
+        F.min_by(F.struct(follower.alias("own"), "next", "recorded_at", "confidence"), "run").alias("one"),
+    )
     over = Window.partitionBy(*_KEY).orderBy("shard")
-    ends = ends.withColumn("goes_on", F.coalesce(F.lag("last").over(over) == F.col("head"), F.lit(False)))
-    # A shard that goes on and has one run only passes on the run that reaches it: its run belongs to the last shard that did not.
-    origin = F.last(F.when(~F.col("goes_on") | (F.col("last_run") > 1), F.struct("shard", "last_run")), ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))
-    ends = ends.withColumn("origin", F.when(F.col("goes_on"), origin))
-    joined = runs.alias("l").join(ends.select(*by, "origin").alias("r"), _null_safe("l", "r", by)).select("l.*", "origin")
-    carried = (F.col("run") == 1) & F.col("origin").isNotNull()
-    joined = joined.withColumn("at", F.when(carried, F.struct(F.col("origin.shard").alias("shard"), F.col("origin.last_run").alias("run"))).otherwise(F.struct("shard", "run")))
-    order = F.struct("born", "id")
-    whole = joined.groupBy(*_KEY, "at").agg(
-        F.min_by("hash", order).alias("hash"), F.min_by("id", order).alias("id"), F.min_by("begin", order).alias("begin"), F.min_by("valid_to", order).alias("valid_to"),
-        F.max("recorded_at").alias("recorded_at"), F.max("confidence").alias("confidence"), F.min("born").alias("born"),
+    ends = borders(ends, _KEY).withColumn("goes_on", F.coalesce(F.lag("tail").over(over) == F.col("head"), F.lit(False)))
+    # A shard that goes on and has one run only passes on the run that reaches it.
+    origin = F.last(F.when(~F.col("goes_on") | (F.col("n") > 1), F.col("shard")), ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))
+    own = F.when(~F.col("goes_on"), F.col("one.own")).otherwise(F.col("one.next"))
+    ends = kept(ends.withColumns({"origin": F.when(F.col("goes_on"), origin), "beyond": F.first(own, ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing))}))
+    added = ends.where("goes_on").groupBy(*_KEY, F.col("origin").alias("shard")).agg(F.max("one.recorded_at").alias("more_rec"), F.max("one.confidence").alias("more_conf"))
+    side = lambda l, r: (F.col(f"{l}.shard") == F.col(f"{r}.shard")) & same_keys(l, r, _KEY)
+    ends = ends.alias("e").join(F.broadcast(added).alias("a"), side("e", "a"), "left").select("e.*", "more_rec", "more_conf")
+    out = runs.alias("l").join(F.broadcast(ends).alias("e"), side("l", "e"), "left").where(~F.coalesce(F.col("goes_on") & (F.col("run") == 1), F.lit(False)))
+    is_last = F.col("run") == F.col("n")
+    return out.select(
+        *[F.col(f"l.{c}").alias(c) for c in _KEY], "hash", "id", "begin", "valid_to", "born",
+        F.greatest("recorded_at", F.when(is_last, F.col("more_rec"))).alias("recorded_at"), F.greatest("confidence", F.when(is_last, F.col("more_conf"))).alias("confidence"),
+        F.coalesce("next", F.when(is_last, F.col("beyond"))).alias("next"),
     )
-    whole = cut(whole.withColumn("shard", F.col("at.shard")).withColumn("run", F.col("at.run")))
-    heads = whole.groupBy(*by).agg(F.min_by(follower, "run").alias("head"))
-    heads = heads.select(*by, F.lead("head").over(over).alias("beyond"))
-    whole = whole.withColumn("next", follow).alias("l").join(heads.alias("r"), _null_safe("l", "r", by)).select("l.*", "beyond")
-    return whole.withColumn("next", F.coalesce("next", "beyond")).drop("at", "shard", "run", "beyond")
 
 
-def replay(inserts: DataFrame, huge: int = 200_000, per_shard: int = 50_000) -> DataFrame:
+def replay(inserts: DataFrame, shards: int | None = None) -> DataFrame:
     """The facts (REPLAYED) that inserting `inserts` in the order of (ts, id) leaves, closed ones included.
 
     inserts: scope_id, src, rel, hash, id, ts, valid_from, valid_to, confidence, over (whether the fact supersedes).
-    A fact equal to a live one only refreshes it. Keys whose rows all supersede, or none does, go by window functions,
-    in time shards where a key has more than `huge` rows; the rest, where one row's effect hangs on all before it, is
-    folded in one pass over rows sorted by key, holding the live facts of one key only. A null src supersedes nothing
+    A fact equal to a live one only refreshes it. Keys whose rows all supersede go by window functions in time shards
+    (`shards` of them, `spark.sql.shuffle.partitions` if not given), keys of which none does by aggregation; the rest,
+    where one row's effect hangs on all before it, is folded in one pass over rows sorted by key, holding the live facts of one key only. A null src supersedes nothing
     and is closed by nothing. Repeated (ts, id) are not expected; no rows give no facts.
     """
     kinds = inserts.groupBy(*_KEY).agg(F.bool_and("over").alias("every"), F.bool_or("over").alias("some"))
-    rows = inserts.alias("i").join(kinds.alias("k"), _null_safe("i", "k", _KEY)).select("i.*", "every", "some")
+    rows = inserts.alias("i").join(kinds.alias("k"), same_keys("i", "k", _KEY)).select("i.*", "every", "some")
     rows = rows.withColumn("begin", F.coalesce("valid_from", "ts"))
 
-    single = rows.where("every")
-    borders = cut(hot_borders(single.select(*_KEY, F.col("ts").alias("s")), _KEY, huge, per_shard, 2_000, 256))
-    runs = _runs(single, None if borders.isEmpty() else borders)
+    runs = _runs(rows.where("every").select(*_KEY, "hash", "id", "ts", "begin", "valid_to", "confidence"), shards)
     out = [*_KEY, "hash", "id", F.col("begin").alias("valid_from")]
     replaced = runs.select(*out, F.coalesce("valid_to", "next.begin").alias("valid_to"), "recorded_at", "confidence", F.col("next.born").alias("invalidated_at"), F.col("next.id").alias("invalidated_by"))
 

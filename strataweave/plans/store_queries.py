@@ -23,8 +23,7 @@ def scan_resolved(spark: SparkSession, root: str) -> DataFrame:
 def fetch_in_order(spark: SparkSession, root: str) -> DataFrame:
     """Facts asked for by id, in the caller's order (here: ids from the largest down)."""
     f = facts(spark, root)
-    order = Window.orderBy(F.desc("id"))
-    wanted = f.where(F.col("id") % EACH == 0).select("id", F.row_number().over(order).alias("rank"))
+    wanted = temporal.ranked(f.where(F.col("id") % EACH == 0).select("id"), F.desc("id"))
     return temporal.in_caller_order(f, wanted).select("rank", "id", "rel", "statement")
 
 

@@ -50,5 +50,10 @@ def test_huge_keys_are_sharded_with_the_same_result(spark, seed):
         s = rnd.randrange(3000)
         length = rnd.choice([0, 1, 2, 3, 5, -4, 40, 300 if seed % 2 else 4])
         rows.append((1 if i % 3 else rnd.randrange(2, 9), rnd.choice("ab"), s if rnd.random() < 0.9 else None, s + length if rnd.random() < (0.99 if seed else 1) else None, s))
-    assert run(spark, rows, huge=50, per_shard=20) == brute(rows)
-    assert run(spark, rows, huge=50, per_shard=4, most_shards=100) == brute(rows)
+    for shards in (1, 3, 40):
+        assert run(spark, rows, shards=shards) == brute(rows)
+
+
+def test_more_keys_than_shards_and_one_key_in_all_shards(spark):
+    rows = [(k, "a", i * 10, i * 10 + (k % 12), 0) for k in range(2500) for i in range(3)] + [(9999, "b", i * 3, i * 3 + i % 5, 0) for i in range(6000)] + [(9999, "b", 100, 900, 0)] * 500
+    assert run(spark, rows, shards=16) == brute(rows)

@@ -38,7 +38,7 @@ def test_replay_equals_one_by_one(spark):
             rows.append((rnd.randrange(2), src, rel, rnd.choice("xyz"), i, ts, rnd.choice([None, ts - 5, ts]), rnd.choice([None, None, ts + 3]), rnd.choice([0.5, 1.0]), over))
         got = [tuple(r) for r in writes.replay(spark.createDataFrame(rows, SCHEMA)).collect()]
         assert len(got) == len(set(got)) and set(got) == one_by_one(rows)
-        sharded = [tuple(r) for r in writes.replay(spark.createDataFrame(rows, SCHEMA), huge=20, per_shard=4).collect()]
+        sharded = [tuple(r) for r in writes.replay(spark.createDataFrame(rows, SCHEMA), shards=30).collect()]
         assert sorted(map(str, sharded)) == sorted(map(str, got))
     assert writes.replay(spark.createDataFrame([], SCHEMA)).count() == 0
 
