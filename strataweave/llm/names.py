@@ -1,12 +1,19 @@
 """Problem 2: spellings of one person or organisation linked by noisy-channel attribution.
 
 Names are read in one character form (look-alikes and accents folded) as a person (given name, initials, surname) or
-an organisation (words without its legal form). Equal readings are one spelling, counted with a prior from how often
-it stands and how connected its nodes are. Spellings that a writer may have meant each other by meet on blocking keys
-(a surname with one letter left out, an organisation with one word left out, joined and initial forms), aggregated to
-distinct spellings first, so that a name that holds a third of all rows is one row. For each meeting pair the channel
-gives the likelihood of the typo, nickname, initial, abbreviation, drop or reordering; every spelling is attached to
-the spelling with the largest posterior, if the channel allows any. Attachments form groups.
+an organisation (words without its legal form); two words that may be either are read as both. Equal readings are one
+spelling, ranked by a prior from how often it stands and how connected its nodes are; full spellings are the candidate
+canonical forms. Spellings that a writer may have meant each other by meet on blocking keys (a given name's initial and
+the surname with one letter left out, an organisation with one word left out, joined and initial forms). A key has two
+sides, what was typed and what was meant: initials meet full names and not each other, and so on, so that a frequent
+surname does not make all its bearers meet. Keys are aggregated to distinct spellings first, so that a name that holds
+a third of all rows is one row. For each meeting pair the channel gives the likelihood of the typo, nickname, initial,
+abbreviation, drop or reordering.
+
+Every spelling competes with itself: it may mean what it says. A typo is believed only if the word it must have been
+stands in so many different names, and its own word in so few others, that the channel outweighs the prior of the word
+itself; two frequent surnames one letter apart stay apart. Each spelling is attached to the meaning with the largest
+posterior. Attachments form groups.
 
 Defined results: null and empty names, and names that are neither a person's nor an organisation's (with digits,
 slashes or underscores), take no part, nor do rows without an id or a scope; a null degree counts as none; repeated ids count once; an empty table gives an empty result.
@@ -27,7 +34,7 @@ from pyspark.sql import functions as F
 from strataweave.llm.forms import table_form
 from strataweave.llm.personal import GIVEN
 from strataweave.operators.components import components
-from strataweave.session import cut
+from strataweave.session import kept
 
 # Short and pet forms, each with the given names it may stand for.
 NICKNAMES = {
@@ -50,6 +57,8 @@ NICKNAMES = {
     )
 }
 LEGAL = re.compile(r"(?:[,\s]+(?:group plc|plc|ltd|limited|inc|incorporated|llc|llp|gmbh|ag|s\.? ?l|s\.? ?a|corp|corporation|co|company|bv|oy|ab|sarl|lda)\.?)+$")
+NEW_WORD = 0.02
+"""Prior of a word that stands in no other name, counted in names: how often a name is both new and nearly another's."""
 FULL = r"^([ox]\||p\|[^|]{2,}\|)"  # readings that a spelling can be attached to
 TITLE = re.compile(r"^(?:(?:dr|dra|ms|mr|mrs|miss|prof|sr|sra|herr|frau|monsieur|madame|mme|senhor|senhora)\.? )+")
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -152,31 +161,39 @@ def _two(a: str, b: str) -> set[str]:
     return {"w:" + " ".join(sorted((k, b))) for k in _less(a)} | {"w:" + " ".join(sorted((a, k))) for k in _less(b)}
 
 
-def keys(form: str) -> set[str]:
-    """Blocking keys: two spellings that the channel can link share at least one."""
+def _initials(given: str) -> set[str]:
+    """First letters of the names that a given name may stand for."""
+    return {given[0]} | {full[0] for full in _NICK.get(given, ())}
+
+
+def keys(form: str, role: str = "") -> set[str]:
+    """Blocking keys of a spelling as it was typed (role `typed`) or meant (`meant`), both if no role is given.
+
+    If the channel can turn c into v, keys(v, "typed") and keys(c, "meant") have one in common.
+    """
     kind, *rest = form.split("|")
+    both, typed, meant = set(), set(), set()
     if kind == "p":
         given, _, surname = rest
         parts = {surname, surname.split("-")[0]}
-        out = {f"s:{k}" for part in parts for k in _less(part)}
         if len(given) > 1:
-            out |= {f"u:{k}" for k in _less(given[0] + surname) | _less(given + surname)}
-            return out.union(*(_two(given, part) for part in parts))
-        return out | {f"i:{given} {k}" for part in parts for k in _less(part)}
-    if kind == "x":
+            both = {f"s:{i} {k}" for part in parts for k in _less(part) for i in _initials(given)}.union(*(_two(given, part) for part in parts))
+            meant = {f"u:{k}" for k in _less(given[0] + surname) | _less(given + surname)} | {f"i:{given[0]} {k}" for part in parts for k in _less(part)}
+        else:
+            typed = {f"i:{given} {k}" for part in parts for k in _less(part)}
+    elif kind == "x":
         a, b = rest[0].split()
-        out = _two(a, b) | {f"i:{a[0]} {k}" for k in _less(b)} | {f"h:{b} {a[:3]}", f"h:{a} {b[:3]}"}
-        return out | {f"u:{k}" for k in _less(a[0] + b) | _less(a + b)} | {f"j:{a}{b}", f"a:{a[0]}{b[0]}"}
-    if kind == "u":
-        return {f"u:{k}" for k in _less(rest[0])} | {f"j:{rest[0]}"}
-    if kind == "a":
-        return {f"a:{rest[0]}"}
-    if kind == "o":
+        both = _two(a, b) | {f"h:{b} {a[:3]}", f"h:{a} {b[:3]}"} | {f"s:{i} {k}" for i in _initials(a) for k in _less(b)} | {f"s:{i} {k}" for i in _initials(b) for k in _less(a)} | {f"j:{a}{b}"}
+        meant = {f"u:{k}" for k in _less(a[0] + b) | _less(a + b)} | {f"a:{a[0]}{b[0]}"} | {f"i:{a[0]} {k}" for k in _less(b)}
+    elif kind == "u":
+        typed = {f"u:{k}" for k in _less(rest[0])}
+    elif kind == "a":
+        typed = {f"a:{rest[0]}"}
+    elif kind == "o":
         words = rest[0].split()
-        out = {"w:" + " ".join(sorted(words[:i] + words[i + 1 :])) for i in range(len(words))}
-        out |= {f"u:{k}" for k in _less("".join(words))}
-        return out | {"w:" + " ".join(sorted(words)), "j:" + "".join(words), "a:" + "".join(w[0] for w in words)}
-    return set()
+        both = {"w:" + " ".join(sorted(words[:i] + words[i + 1 :])) for i in range(len(words))} | {"w:" + " ".join(sorted(words)), "j:" + "".join(words)}
+        meant = {f"u:{k}" for k in _less("".join(words))} | {"a:" + "".join(w[0] for w in words)}
+    return both | (typed if role != "meant" else set()) | (meant if role != "typed" else set())
 
 
 def _readings(form: str, other: str) -> list[str]:
@@ -190,33 +207,43 @@ def _readings(form: str, other: str) -> list[str]:
     return [f"o|{a} {b}", f"p|{a}||{b}"] + [f"p|{b}||{a}"] * swapped
 
 
+TYPO = -2.5
+
+
 def channel(variant: str, canonical: str) -> float | None:
     """Log likelihood that a writer who means `canonical` types `variant`; null when the channel does not allow it."""
-    likes = [_likelihood(v, c) for v in _readings(variant, canonical) for c in _readings(canonical, variant)]
-    return max((x for x in likes if x is not None), default=None)
+    return explain(variant, canonical)[0]
+
 
+def explain(variant: str, canonical: str) -> tuple[float | None, str | None, str | None]:
+    """The likelihood, and, where it takes a typo, the word as typed and as meant."""
+    ways = [_likelihood(v, c) for v in _readings(variant, canonical) for c in _readings(canonical, variant)]
+    return max((w for w in ways if w is not None), key=lambda w: w[0], default=(None, None, None))
 
-def _likelihood(variant: str, canonical: str) -> float | None:
+
+def _likelihood(variant: str, canonical: str) -> tuple[float, str | None, str | None] | None:
     vk, *v = variant.split("|")
     ck, *c = canonical.split("|")
+    plain = lambda cost: (cost, None, None)
     if ck == "p" and len(c[0]) > 1:
         given, marks, surname = c
         if vk == "u":
             forms = (given[0] + surname, given + surname)
-            return -1.5 if v[0] in forms else -4.0 if any(one_edit(v[0], f) for f in forms) else None
+            return plain(-1.5) if v[0] in forms else plain(-4.0) if any(one_edit(v[0], f) for f in forms) else None
         if vk != "p":
             return None
         g, m, s = v
+        cost, typed, meant = 0.0, None, None
         if g == given:
-            cost = 0.0
+            pass
         elif len(g) == 1:
             if g != given[0]:
                 return None
             cost = -1.2
         elif given in _NICK.get(g, ()) or _NICK.get(g, {1}) & _NICK.get(given, {2}):
             cost = -1.0
-        elif one_edit(g, given) and len(g) > 2 and len(given) > 3 and not (g in _KNOWN and given in _KNOWN):
-            cost = -2.5
+        elif one_edit(g, given) and len(g) > 2 and len(given) > 3:
+            cost, typed, meant = TYPO, g, given
         else:
             return None
         if m and marks and not (m.startswith(marks) or marks.startswith(m)):
@@ -226,35 +253,35 @@ def _likelihood(variant: str, canonical: str) -> float | None:
         elif s.split("-")[0] == surname or surname.split("-")[0] == s:
             cost -= 1.5
         elif one_edit(s, surname) and len(s) > 4:
-            cost -= 2.5
+            cost, typed, meant = cost + TYPO, s, surname
         else:
             return None
-        return cost if cost > -4.6 else None
+        return (cost, typed, meant) if cost > -4.6 else None
     if ck == "o":
         words = c[0].split()
         if vk == "a":
-            return -2.0 if v[0] == "".join(w[0] for w in words) else None
+            return plain(-2.0) if v[0] == "".join(w[0] for w in words) else None
         if vk == "u":
-            return -0.5 if v[0] == "".join(words) else -3.0 if one_edit(v[0], "".join(words)) else None
+            return plain(-0.5) if v[0] == "".join(words) else plain(-3.0) if one_edit(v[0], "".join(words)) else None
         if vk != "o":
             return None
         mine = v[0].split()
         if sorted(mine) == sorted(words):
-            return -0.2
+            return plain(-0.2)
         left, right = list(mine), list(words)
         for w in mine:
             if w in right:
                 left.remove(w)
                 right.remove(w)
         if not left and len(right) == 1 and mine == words[:-1]:
-            return -1.5
+            return plain(-1.5)
         if len(left) == len(right) == 1:
             if len(left[0]) >= 3 and right[0].startswith(left[0]):
-                return -1.5
+                return plain(-1.5)
             if one_edit(left[0], right[0]) and len(right[0]) > 3:
-                return -2.5
+                return TYPO, left[0], right[0]
         if len(left) <= 2 and "".join(mine) == "".join(words):
-            return -1.0
+            return plain(-1.0)
     return None
 
 
@@ -275,12 +302,25 @@ def _read(known: tuple[str, ...]):
     return run
 
 
-def _keys(forms: pd.Series) -> pd.Series:
-    return forms.map(lambda f: sorted(keys(f)))
+def _keyed(role: str):
+    def run(forms: pd.Series) -> pd.Series:
+        return forms.map(lambda f: sorted(keys(f, role)))
+
+    return F.pandas_udf(run, "array<string>")
+
 
+def _explained(variant: pd.Series, canonical: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([explain(v, c) for v, c in zip(variant, canonical)], columns=["like", "typed", "meant"]).astype({"like": "float64", "typed": object, "meant": object})
 
-def _channel(variant: pd.Series, canonical: pd.Series) -> pd.Series:
-    return pd.Series([channel(v, c) for v, c in zip(variant, canonical)], dtype="float64")
+
+def _contexts(forms: pd.Series) -> pd.Series:
+    """Each full word of a spelling with what stands beside it: the initials of the other words."""
+    out = []
+    for f in forms:
+        kind, *rest = f.split("|")
+        words = [w for part in rest for w in part.split()] if kind in "pxo" else []
+        out.append([(w, "".join(sorted(o[0] for o in words[:i] + words[i + 1 :]))) for i, w in enumerate(words) if len(w) > 1])
+    return pd.Series(out)
 
 
 def spellings(df: DataFrame, scope: str, id_: str, name: str, degree: str, known: list[str]) -> DataFrame:
@@ -294,15 +334,28 @@ def distinct_spellings(read: DataFrame) -> DataFrame:
     return read.groupBy("scope", "form").agg(F.count("*").alias("n"), F.sum("weight").alias("w"), F.min("id").alias("node"))
 
 
+def supports(forms: DataFrame) -> DataFrame:
+    """Rows (word, d): in how many different names, told apart by scope and initials, a word stands."""
+    contexts = F.pandas_udf(_contexts, "array<struct<word:string,beside:string>>")
+    return forms.select("scope", F.inline(contexts("form"))).distinct().groupBy("word").agg(F.count("*").alias("d"))
+
+
 def attach(forms: DataFrame) -> DataFrame:
-    """Rows (scope, variant, canonical, posterior, node, root): every spelling with the spelling it is attached to."""
-    blocking, likelihood = F.pandas_udf(_keys, "array<string>"), F.pandas_udf(_channel, "double")
-    keyed = forms.select("scope", "form", "node", "n", "w", F.explode(blocking("form")).alias("key"))
+    """Rows (scope, variant, canonical, posterior, node, root): the spellings that mean another one, with that one."""
+    likelihood = F.pandas_udf(_explained, "like double, typed string, meant string")
     can = F.col("form").rlike(FULL)
-    c = keyed.where(can).select("scope", "key", F.col("form").alias("canonical"), F.col("node").alias("root"), F.col("n").alias("cn"), F.col("w").alias("cw"))
-    v = keyed.select("scope", "key", F.col("form").alias("variant"), "node")
+    c = forms.where(can).select("scope", F.explode(_keyed("meant")("form")).alias("key"), F.col("form").alias("canonical"), F.col("node").alias("root"), F.col("n").alias("cn"), F.col("w").alias("cw"))
+    v = forms.select("scope", F.explode(_keyed("typed")("form")).alias("key"), F.col("form").alias("variant"), "node")
     met = v.join(c.hint("merge"), ["scope", "key"]).where(F.col("variant") != F.col("canonical")).drop("key").dropDuplicates(["scope", "variant", "canonical"])
-    scored = met.withColumn("like", likelihood("variant", "canonical")).where(F.col("like").isNotNull())
+    scored = kept(met.select("*", likelihood("variant", "canonical").alias("x")).select("*", "x.*").drop("x").where(F.col("like").isNotNull()))
+    # A typo competes with the word that was typed: how many other names hold it, against how many hold the word that was meant.
+    words = supports(forms)
+    of = lambda name, d: words.select(F.col("word").alias(name), F.col("d").alias(d)).hint("merge")
+    typos = scored.where(F.col("typed").isNotNull()).join(of("typed", "dv"), "typed", "left").join(of("meant", "dc"), "meant", "left")
+    itself = F.log(F.greatest(F.coalesce("dv", F.lit(1)) - 1, F.lit(0)) + NEW_WORD)
+    believed = typos.where(F.log(F.coalesce("dc", F.lit(1))) + TYPO > itself)
+    columns = ["scope", "variant", "canonical", "node", "root", "cn", "cw", "like"]
+    scored = scored.where(F.col("typed").isNull()).select(*columns).unionByName(believed.select(*columns))
     posterior = F.col("like") + F.log(F.col("cn")) + 0.05 * F.col("cw")
     best = scored.withColumn("posterior", posterior).groupBy("scope", "variant", "node").agg(F.max_by(F.struct("canonical", "root", "posterior"), F.struct("posterior", "canonical")).alias("b"))
     return best.select("scope", "variant", "node", "b.*")
@@ -313,8 +366,8 @@ def groups(df: DataFrame, scope: str, id_: str, name: str, degree: str, known: l
 
     `extra` may hold further known links (a, b) between ids of one scope.
     """
-    read = cut(spellings(df, scope, id_, name, degree, known).dropDuplicates(["id"]))
-    forms = cut(distinct_spellings(read))
+    read = kept(spellings(df, scope, id_, name, degree, known).dropDuplicates(["id"]))
+    forms = kept(distinct_spellings(read))
     # Members are named by their spelling: copies of one name never meet before the result.
     members = read.join(forms.select("scope", "form", "node").hint("merge"), ["scope", "form"]).select("id", "node")
     links = attach(forms).select(F.col("node").alias("a"), F.col("root").alias("b"))
@@ -326,7 +379,7 @@ def groups(df: DataFrame, scope: str, id_: str, name: str, degree: str, known: l
 
 def same_entity(df: DataFrame, scope: str, id_: str, name: str, degree: str, known: list[str], extra: DataFrame | None = None) -> DataFrame:
     """Pairs (id_a, id_b), id_a < id_b, of one scope whose names stand for the same person or organisation."""
-    grouped = cut(groups(df, scope, id_, name, degree, known, extra))
+    grouped = kept(groups(df, scope, id_, name, degree, known, extra))
     many = grouped.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("root")
     grouped = grouped.join(many, "root", "left_semi")
     other = grouped.select(F.col("id").alias("id_2"), "root")

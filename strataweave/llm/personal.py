@@ -1,10 +1,12 @@
 """Problem 3: personal information in free text, found by anchor expansion and replaced by typed placeholders.
 
-An Aho-Corasick automaton finds the anchors in one pass: at-signs and their spellings, identifier cues, titles, street
-words, given names and words that introduce a person. From each anchor a deterministic local parser expands to the
-left and right and validates what it finds: the parts of an address, the shape of an identity number, the national or
-international form of a phone number, the style of a name. Numbers that begin like a phone number are anchors too.
-Where findings overlap, the stronger type stands: email, identity number, phone, address, name.
+An Aho-Corasick automaton finds all anchors in one pass: at-signs and their spellings, schemes, identifier and phone
+cues, titles, street words, starts of digit groups, initials, signature dashes, given names and words that introduce a
+person. From each anchor a deterministic local parser expands to the left and right and validates what it finds: the
+parts of an address, the shape and check digits of an identity, account or card number, the national or international
+form of a phone number, the style of a name. A number whose check digits do not hold counts only where a cue or a
+contact line says what it is. Where findings overlap, the stronger type stands: email, identity number, phone,
+address, name.
 
 Given names are a short fixed list together with all names learned from the entities of kind person: the first
 `GIVEN_LIMIT` of them are anchors of the automaton, the rest are looked up word by word, with the same findings.
@@ -16,6 +18,7 @@ drops them; an empty table gives an empty result; texts are read whole. Further
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
@@ -32,24 +35,32 @@ TYPES = ("email", "id_number", "phone", "address", "name")
 
 # Words that mark personal information, as lower-case text.
 AT_SIGNS = ["@", "[at]", "(at)", "{at}", " arroba ", " at ", " klammeraffe "]
+SCHEMES = ["mailto:", "tel:", "sip:", "whatsapp:"]
 ID_CUES = (
-    "social security|id number|id no|identity number|national insurance|passport|driving licence|tax number|tax id|"
-    "identidad|documento|pasaporte|seguridad social|dni|nie|nif|contribuinte|cpf|passaporte|cartão de cidadão|"
-    "sécurité sociale|passeport|carte d'identité|avec le numéro|steuernummer|steuer-id|ausweisnummer|personalausweis|reisepass|sozialversicherungsnummer|\"id\"|id:"
+    "social security|ssn|id number|id no|identity number|national insurance|passport|driving licence|driver's license|tax number|tax id|account number|card number|iban|"
+    "identidad|documento|pasaporte|seguridad social|dni|nie|nif|número de cuenta|tarjeta|contribuinte|cpf|passaporte|cartão de cidadão|cartão|conta n|"
+    "sécurité sociale|passeport|carte d'identité|avec le numéro|numéro de compte|carte n|steuernummer|steuer-id|ausweisnummer|personalausweis|reisepass|sozialversicherungsnummer|kontonummer|kartennummer|\"id\"|id:"
+).split("|")
+PHONE_CUES = (
+    "call |text |phone|tel|mobile|cell|fax|ring |reach me|llama|llame|móvil|teléfono|appelez|téléphone|portable|ligue|telefone|telemóvel|celular|wählen|anrufen|rufen|handy|mobil|bitte| al | le | para | nach "
 ).split("|")
-PHONE_CUES = "call |text |phone|tel|mobile|llama|llame|teléfono|appelez|téléphone|ligue|telefone|wählen|anrufen|rufen|bitte".split("|")
 TITLES = "dr. dra. ms. mr. mrs. prof. sra. sr. herr frau monsieur madame mme senhor senhora señor señora mlle".split()
 BEFORE_NAME = (
-    "ask for|according to|pregunta por|según|segundo|selon|laut|demandez|e chame|escribir a|falar com|vous pouvez joindre|you can reach|opened by|plan lists|"
-    "están|ficam|im bereitschaftsplan stehen|du pont, voir|wählen und nach|der prüfung ist|cc:|\"name\": \"|abierta por|ouverte par|abrió|aberta por"
+    "ask for|contact|speak to|speak with|talk to|talk with|according to|my name is|you can reach|opened by|cc:|\"name\":|regards,|pregunta por|pregunte por|hable con|contacta con|contacte a|me llamo|mi nombre es|según|escribir a|abierta por|"
+    "demandez|contactez|parler à|parlez à|je m'appelle|selon|ouverte par|pergunte por|fale com|falar com|contate|chame|meu nome é|chamo-me|segundo|aberta por|fragen nach|fragen sie nach|sprechen mit|kontaktieren|ich heiße|mein name ist|laut"
 ).split("|")
 NUMBER_IS_NO_PHONE = "run tanda rodada passage lauf version versión versão commit cambio stand alteração ticket aviso chamado meldung lote build".split()
 GIVEN = (
     "daniel susan victoria gregory rebecca william robert margaret jennifer katherine patricia samuel oliver thomas elizabeth edward michael dolores nora peter john "
     "maría josé andrés tomás lucía guillermo mercedes rocío ramón inés pilar ignacio francisco "
     "élodie mathieu benoît hélène frédéric guillaume margaux solène thibault zoé friederike matthias jürgen günther wolfgang anneliese ute sebastian johannes katharina "
-    "antônio fernanda beatriz rogério sebastião tânia luísa joão eduardo conceição"
+    "antônio fernanda beatriz rogério sebastião tânia luísa joão eduardo conceição "
+    "james mary linda david barbara richard joseph sarah charles karen christopher nancy matthew anthony emma olivia sophia henry alice george "
+    "carlos carmen juan ana luis elena javier isabel sergio raquel pierre claire jean camille antoine julien nathalie philippe "
+    "hans klaus petra stefan monika thorsten sabine pedro miguel inês tiago rita paulo catarina bruno "
+    "ahmed mohammed fatima omar aisha kwame ngozi chinedu yuki hiroshi wei mei priya raj arjun anjali olga ivan dmitri svetlana"
 ).split()
+# Words that may follow a full stop, as after `plan B.`, or a name, and are no part of one.
 AFTER_NAME = set(
     "at and for signed the by has was passport en y la el de después firmó unter und für hat zu et comme à a e com como pelo assinou avec voir fragen o os que after until should le les des du "
     "debe doit soll deve opción option".split()
@@ -76,18 +87,66 @@ ADDRESS = [
     re.compile(rf"\b(?:(?:Am|Im|An der|Auf dem) {_CAP}|[A-ZÄÖÜ][a-zäöüß-]+(?:str\.|straße|strasse|weg|gasse|allee|platz|ring|damm)) \d{{1,4}}[a-z]?(?!\w)(?:, (?:\d{{5}} )?{_TOWN})?"),
     re.compile(rf"(?i:rua|av\.|avenida|travessa|largo|praça|estrada) (?:(?:de|do|da|dos|das) )?{_CAP}(?: {_CAP})*, \d{{1,4}}(?!\d)(?:, (?i:apto\.?|andar) \w{{1,4}})?(?:, (?:\d{{4}}-\d{{3}} )?{_TOWN})?"),
 ]
-ID_START = re.compile(r"(?<![\w./#+-])(?=\d|[A-Z]{2}[ \d]|[XYZ]-?\d)")
-STRONG_ID = re.compile(
-    r"(?<![\w./#+-])(?:QQ ?\d\d ?\d\d ?\d\d ?[A-D]|[XYZ]-?\d{7}-?[A-Z]|\d{2}\.\d{3}\.\d{3}-[A-Z]|\d{8}-?[A-Z]|\d{2}/\d{8}/\d{2}|\d{3}\.\d{3}\.\d{3}-\d{2}|\d{3}/\d{3}/\d{5}|9\d{2}([- ])\d{2}\1\d{4}|"
-    r"[12] ?\d{2} ?\d{2} ?\d{2} ?\d{3} ?\d{3}(?: ?\d{2})?|\d{2} \d{6}[A-Z] \d{3}|\d{2}[A-Z]{2}\d{5}|\d{2} \d{3} \d{3} \d{3}|\d{8} \d [A-Z]{2}\d|[A-Z]{2}\d{7}|X\d{8})(?![\w-]|\.\d)"
-)
-LOOSE_ID = re.compile(r"[A-Z]{0,3}\d(?:[ ./-]?[A-Z\d]+)*[A-Z\d]|[A-Z]{1,3} ?\d[\d ./-]{3,}[A-Z]?")
-PHONE = re.compile(r"(?<![\w./#=:@-])(?:\(?\+|\(\d{1,4}\) ?|00)?\(?\d[\d ().\-/   ]{5,22}\d(?![\w])")
+_END = r"(?![\w-]|\.\d)"
+
+
+def _luhn(d: str) -> bool:
+    twice = [int(c) * 2 for c in d[-2::-2]]
+    return (sum(int(c) for c in d[::-2]) + sum(t - 9 * (t > 9) for t in twice)) % 10 == 0
+
+
+def _weighed(d: str, weights, mod: int = 11) -> int:
+    return sum(int(c) * w for c, w in zip(d, weights)) % mod
+
+
+def _cpf(d: str) -> bool:
+    return len(set(d)) > 1 and _weighed(d + "0", range(10, 1, -1)) * 10 % 11 % 10 == int(d[9]) and _weighed(d, range(11, 1, -1)) * 10 % 11 % 10 == int(d[10])
+
+
+def _iban(d: str) -> bool:
+    return int("".join(str(int(c, 36)) for c in d[4:] + d[:4])) % 97 == 1
+
+
+def _steuer_id(d: str) -> bool:
+    p = 10
+    for c in d[:10]:
+        p = ((int(c) + p) % 10 or 10) * 2 % 11
+    return d[0] != "0" and (11 - p) % 10 == int(d[10])
+
+
+_DNI = "TRWAGMYFPDXBNJZSQVHLCKE"
+# Identity, account and card numbers by their public shapes, each with the test of its check digits or ranges (on letters and digits only).
+IDS = [
+    (re.compile(rf"(?:\d{{8}}|\d{{2}}\.\d{{3}}\.\d{{3}})-?[A-Z]{_END}"), lambda d: d[8] == _DNI[int(d[:8]) % 23]),
+    (re.compile(rf"[XYZ]-?\d{{7}}-?[A-Z]{_END}"), lambda d: d[8] == _DNI[int(str("XYZ".index(d[0])) + d[1:8]) % 23]),
+    (re.compile(rf"[12] ?\d{{2}} ?\d{{2}} ?\d{{2}} ?\d{{3}} ?\d{{3}} ?\d{{2}}{_END}"), lambda d: 97 - int(d[:13]) % 97 == int(d[13:])),
+    (re.compile(rf"\d{{3}}\.\d{{3}}\.\d{{3}}-\d{{2}}{_END}"), _cpf),
+    (re.compile(rf"\d{{2}} ?\d{{3}} ?\d{{3}} ?\d{{3}}{_END}"), _steuer_id),
+    (re.compile(rf"(?!000|666)\d{{3}}([- ])(?!00)\d{{2}}\1(?!0000)\d{{4}}{_END}"), lambda d: True),
+    (re.compile(rf"(?!BG|GB|NK|KN|TN|NT|ZZ)[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z] ?\d\d ?\d\d ?\d\d ?[A-D]{_END}"), lambda d: True),
+    (re.compile(rf"[A-Z]{{2}}\d{{2}}(?: ?[A-Z\d]{{4}}){{3,7}}(?: ?[A-Z\d]{{1,3}})?{_END}"), _iban),
+    (re.compile(rf"[3-6]\d{{3}}([ -]?)\d{{4}}\1\d{{4}}\1\d{{1,7}}{_END}|3[47]\d{{2}}([ -]?)\d{{6}}\2\d{{5}}{_END}"), _luhn),
+    (re.compile(rf"\d{{8}} ?\d ?[A-Z]{{2}}\d{_END}|\d{{2}} ?\d{{6}} ?[A-Z] ?\d{{3}}{_END}|\d{{2}}/\d{{8}}/\d{{2}}{_END}|\d{{3}}/\d{{3}}/\d{{5}}{_END}"), lambda d: True),
+]
+LOOSE_ID = re.compile(r"(?:[A-Z]{1,3}-?)?\d(?:[ ./-]?[A-Z\d]+)+|[A-Z]{1,3} ?\d[\d ./-]{3,}[A-Z]?")
+BEFORE_GROUP = "\n\t (;\"'<>,:/[{=\u00a0\u202f"
+PHONE = re.compile(r"(?<![\w./#=@-])(?:\(?\+|\(\d{1,4}\) ?|00)?\(?\d[\d ().\-/   ]{5,22}\d(?![\w])")
 EMAIL_RIGHT = re.compile(r"\s?((?:[a-z0-9-]+)(?:\s?(?:\.|\[dot\]|\(dot\)|\{dot\}|\sdot\s|\spunto\s|\spoint\s|\sponto\s|\spunkt\s)\s?[a-z0-9-]+)*\s?(?:\.|\[dot\]|\(dot\)|\{dot\}|\sdot\s|\spunto\s|\spoint\s|\sponto\s|\spunkt\s)\s?[a-z]{2,})", re.I)
 EMAIL_LEFT = re.compile(r"([\w.+-]+)\s?$")
 WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|['’\u0300-\u036f])*(?:-[^\W\d_](?:[^\W\d_]|['’\u0300-\u036f])*)*")
-SIGNATURE = re.compile(r"(?:^|[\s/])-- ?\n+([^\n]{3,60})\n")
-INITIAL_NAME = re.compile(r"(?<![\w.])((?:[A-ZÀ-Þ]\. ?){1,2}[A-ZÀ-Þ][a-zà-ÿ]{3,}(?:-[A-ZÀ-Þ][a-zà-ÿ]+)*|(?:[A-ZÀ-Þ]\. ?){1,2}[A-ZÀ-Þ]{4,}(?:-[A-ZÀ-Þ]+)*)(?!\w)")
+SIGNATURE = re.compile(r"-- ?\n+([^\n]{3,60})(?:\n|$)")
+INITIAL_NAME = re.compile(r"((?:[A-ZÀ-Þ]\. ?){1,2}[A-ZÀ-Þ][a-zà-ÿ]{3,}(?:-[A-ZÀ-Þ][a-zà-ÿ]+)*|(?:[A-ZÀ-Þ]\. ?){1,2}[A-ZÀ-Þ]{4,}(?:-[A-ZÀ-Þ]+)*)(?!\w)")
+_HONOURED = re.compile(r"\s?(?:(?:Dr|Dra|Ms|Mr|Mrs|Sr|Sra|M|Prof)\. |Herr |Frau |Monsieur |Madame |Mme )*")
+_CAPITALS = re.compile(r"(?<![\w./#+-])[A-Z]{1,3}[ -]?$")
+# Words of names of organisations, places and things.
+NO_PERSON = set(
+    "ltd inc llc gmbh corp company group bank services systems software labs team support university institute studio works house street road city "
+    "equipo banco grupo universidad ciudad équipe banque groupe université ville gruppe stadt universität equipe universidade cidade".split()
+)
+INITIALS = "abcdefghijklmnopqrstuvwxyzáàâãéêèíóôõúüçñëöäÿøåæœ"
+SURNAME_FIRST = re.compile(r"([A-ZÀ-Þ][^\W\d_]{3,}(?:-[A-ZÀ-Þ][^\W\d_]+)*), [A-ZÀ-Þ]\.(?! ?[A-ZÀ-Þ][^\W\d_]{3,})")
+_LEFT_WORD = re.compile(rf"({WORD.pattern})$")
+_CAP_WORDS = re.compile(r"[A-ZÀ-Þ][^\W\d_]+(?:['’-][^\W\d_]+)*(?: (?:(?:de|da|dos|von|van|del|la|al|el|bin) )?[A-ZÀ-Þ][^\W\d_]+(?:['’-][^\W\d_]+)*){1,2}")
 
 
 def _phone_like(raw: str, cued: bool) -> bool:
@@ -123,7 +182,11 @@ class Finder:
         self.anchors = ahocorasick.Automaton()
         kinds: dict[str, list[str]] = {}
         streets = [(f"street{i}", words) for i, words in enumerate(STREETS)]
-        for kind, keys in (("at", AT_SIGNS), ("id", ID_CUES), ("title", TITLES), ("who", BEFORE_NAME), ("given", self.given - self.words), ("ends", STREET_ENDS), *streets):
+        groups = [c + d for c in BEFORE_GROUP for d in "0123456789+"] + ["(+", "(0"]
+        shapes = [c + d for c in "abcdefghijklmnopqrstuvwxyz" for d in "0123456789"]
+        initials = [c + x + "." for c in BEFORE_GROUP for x in INITIALS]
+        more = (("scheme", SCHEMES), ("phone", PHONE_CUES), ("group", groups), ("shape", shapes), ("initial", initials), ("comma", [f", {x}." for x in INITIALS]), ("dashes", ["--"]))
+        for kind, keys in (*more, ("at", AT_SIGNS), ("id", ID_CUES), ("title", TITLES), ("who", BEFORE_NAME), ("given", self.given - self.words), ("ends", STREET_ENDS), *streets):
             for k in keys:
                 kinds.setdefault(k, []).append(kind)
         for k, v in kinds.items():
@@ -148,9 +211,9 @@ class Finder:
         if len(low) != len(text):
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         hits: dict[str, list[tuple[int, int]]] = {}
-        for end, (n, kinds) in self.anchors.iter(low):
+        for end, (n, kinds) in self.anchors.iter("\n" + low):  # a text begins like a line
             for k in kinds:
-                hits.setdefault(k, []).append((end + 1 - n, end + 1))
+                hits.setdefault(k, []).append((end - n, end))
         if self.words and (more := [m.span() for m in RUN.finditer(low) if m[0] in self.words]):
             hits["given"] = sorted(hits.get("given", []) + more, key=lambda h: (h[1], h[0]))
         found: list[tuple[int, int, str]] = []
@@ -166,17 +229,27 @@ class Finder:
             spelled = low[b:e] == " at " or low[b:e] == " arroba "
             if left and right and (not spelled or re.search(r"\b(?:dot|punto|ponto|point|punkt)\b", right[0].lower()) or "[" in right[0]):
                 take(left.start(1), right.end(1), "email")
-        for start in ID_START.finditer(text):
-            if (m := STRONG_ID.match(text, start.start())) and not self._after(low, m.start(), NUMBER_IS_NO_PHONE):
-                take(m.start(), m.end(), "id_number")
+        starts = sorted({self._number_start(text, e - 1) for _, e in hits.get("group", ())} | {self._number_start(text, e - 1) for _, e in hits.get("shape", ())})
+        for start in starts:
+            if start >= 0 and not taken[start] and not self._after(low, start, NUMBER_IS_NO_PHONE):
+                for shape, holds in IDS:
+                    if (m := shape.match(text, start)) and holds(re.sub(r"\W", "", m[0])):
+                        take(m.start(), m.end(), "id_number")
+                        break
         for b, e in hits.get("id", ()):
-            if b and low[b - 1].isalnum():
+            if (b > 0 and low[b - 1].isalnum()) or (low[e - 1].isalpha() and low[e : e + 1].isalpha() and low[e] not in "ºª"):
                 continue
             stop = re.search(r"[,;\n]|(?<=[^\W\d_])\. ", text[e : e + 70])
             area = text[e : e + (stop.start() if stop else 70)]
             if (m := LOOSE_ID.search(area)) and sum(c.isdigit() for c in m[0]) >= 5 and area[: m.start()].count(" ") <= 6:
                 take(e + m.start(), e + m.end(), "id_number")
-        for m in PHONE.finditer(text):
+        cues, schemes = hits.get("phone", ()), {e for _, e in hits.get("scheme", ())}
+        near = {e + k for _, e in cues for k in range(15)}  # places shortly behind a phone cue
+        for at in sorted({e - 1 for _, e in hits.get("group", ())}):
+            b = at - (at > 0 and text[at - 1] == "(")
+            inner = b > 1 and text[b - 1] == " " and text[b - 2].isdigit()  # a further group of a number
+            if taken[at] or inner or (b and text[b - 1] in ":=" and b not in schemes) or not (m := PHONE.match(text, b)):
+                continue
             b, e = m.span()
             raw = text[b:e]
             while raw.count("(") > raw.count(")") and raw.startswith("("):
@@ -185,27 +258,38 @@ class Finder:
                 e, raw = e - 1, raw[:-1]
             if self._after(low, b, NUMBER_IS_NO_PHONE):
                 continue
-            before = low[max(0, b - 14) : b]
-            cued = b == 0 or before.rstrip(" ").endswith(("\n", ";", '"', "(")) or any(c in before for c in PHONE_CUES) or before.endswith((" al ", " le ", " para ", " nach "))
+            cued = b == 0 or b in schemes or b in near or low[max(0, b - 14) : b].rstrip(" ").endswith(("\n", ";", '"', "("))
             if _phone_like(raw.strip(), cued):
                 take(b, e, "phone")
                 if (n := re.compile(r"; ?").match(text, e)) and (i := LOOSE_ID.match(text, n.end())):  # a contact row: name; phone; number
                     take(i.start(), i.end(), "id_number")
         for i, parser in enumerate(ADDRESS):
-            if self._street(text, low, hits, i):
-                for m in parser.finditer(text):
-                    take(m.start(), m.end(), "address")
+            for b, e in sorted(self._streets(text, low, hits, i)):
+                if not taken[b]:
+                    for m in parser.finditer(text, max(0, b - 60), min(len(text), e + 160)):
+                        if m.start() <= b < m.end():
+                            take(m.start(), m.end(), "address")
         self._names(text, low, hits, take, taken)
         return sorted(found)
 
     @staticmethod
-    def _street(text: str, low: str, hits: dict, i: int) -> bool:
-        """Whether a street word of convention i stands in the text as a word, or ends one for German names."""
+    def _number_start(text: str, at: int) -> int:
+        """Where the number begins whose first digit is at `at`: up to three capitals before it belong to it; -1 inside a word, path or number."""
+        if m := _CAPITALS.search(text, max(0, at - 5), at):
+            return m.start()
+        return -1 if at < 0 or (at and (text[at - 1].isalnum() or text[at - 1] in "_./#+-")) or not text[at].isdigit() else at
+
+    @staticmethod
+    def _streets(text: str, low: str, hits: dict, i: int) -> set[tuple[int, int]]:
+        """The street words of convention i that stand in the text as words, or end one for German names."""
+        found = set()
         for b, e in hits.get(f"street{i}", ()):
             bounded = (b == 0 or not low[b - 1].isalnum()) and (e == len(low) or not low[e].isalnum() or low[e - 1] in " /")
             if bounded and (i != 3 or text[b].isupper()):
-                return True
-        return i == 3 and any(b and low[b - 1].isalpha() and (e == len(low) or not low[e].isalnum()) for b, e in hits.get("ends", ()))
+                found.add((b, e))
+        if i == 3:
+            found |= {(b, e) for b, e in hits.get("ends", ()) if b > 0 and low[b - 1].isalpha() and (e == len(low) or not low[e].isalnum())}
+        return found
 
     @staticmethod
     def _after(low: str, b: int, words: list[str]) -> bool:
@@ -214,7 +298,7 @@ class Finder:
 
     def _names(self, text: str, low: str, hits: dict, take, taken: bytearray) -> None:
         for b, e in hits.get("given", ()):
-            if (b and (low[b - 1].isalnum() or low[b - 1] in "-_./@+'")) or (e < len(low) and (low[e].isalnum() or low[e] in "_@/")) or taken[b]:
+            if (b > 0 and (low[b - 1].isalnum() or low[b - 1] in "-_./@+'" or unicodedata.combining(low[b - 1]))) or (e < len(low) and (low[e].isalnum() or low[e] in "_@/")) or taken[b]:
                 continue
             take(*self._around(text, low, b, e), "name")
         for b, e in hits.get("title", ()):
@@ -225,23 +309,28 @@ class Finder:
                 at += m.end()
             if (m := re.compile(rf" ((?:[A-ZÀ-Þ]\. ?)*{WORD.pattern})").match(text, at)) and m[1][0].isupper() and m[1].lower() not in AFTER_NAME and len(m[1]) > 2:
                 take(m.start(1), m.end(1), "name")
-        for m in INITIAL_NAME.finditer(text):
-            if not taken[m.start()] and m[1].split(".")[-1].strip().lower() not in AFTER_NAME and not self._sentence_end(text, m.start(1), m[1]):
+        for _, e in hits.get("initial", ()):
+            b = e - 2
+            if not taken[b] and (m := INITIAL_NAME.match(text, b)) and not self._sentence_end(m[1]):
                 take(m.start(1), m.end(1), "name")
+        for b, e in hits.get("comma", ()):
+            if (w := _LEFT_WORD.search(text, max(0, b - 40), b)) and (m := SURNAME_FIRST.match(text, w.start())) and m.end() == e and w[1].lower() not in AFTER_NAME:
+                take(m.start(), e - 1, "name")
         for b, e in hits.get("who", ()):
-            if b and low[b - 1].isalnum():
+            if b > 0 and low[b - 1].isalnum():
                 continue
             self._after_cue(text, low, e, take, taken)
-        for m in SIGNATURE.finditer(text) if "--" in text else ():
-            name = re.sub(r"^(?:(?:Dr|Dra|Ms|Mr|Mrs|Sr|Sra|M|Prof)\.|Herr|Frau|Monsieur|Madame|Mme)(?: (?:Dr|Prof)\.)? ", "", m[1].strip())
-            b = m.start(1) + m[1].index(name)
-            if re.fullmatch(r"[^\d@<>{}]+", name) and 1 <= len(name.split()) <= 4:
-                take(b, b + len(name), "name")
+        for b, _ in hits.get("dashes", ()):
+            if (b <= 0 or text[b - 1].isspace() or text[b - 1] == "/") and (m := SIGNATURE.match(text, max(0, b))):
+                name = re.sub(r"^(?:(?:Dr|Dra|Ms|Mr|Mrs|Sr|Sra|M|Prof)\.|Herr|Frau|Monsieur|Madame|Mme)(?: (?:Dr|Prof)\.)? ", "", m[1].strip())
+                b = m.start(1) + m[1].index(name)
+                if re.fullmatch(r"[^\d@<>{}]+", name) and 1 <= len(name.split()) <= 4:
+                    take(b, b + len(name), "name")
 
     @staticmethod
-    def _sentence_end(text: str, b: int, name: str) -> bool:
-        """An initial that ends a sentence, as in `plan B. The`."""
-        return name.split()[-1].lower() in {"the", "nach", "para", "las", "los", "pour", "nous", "hier", "ayer", "keep", "from", "yesterday", "please", "according", "según", "selon", "segundo", "queda", "recuerda", "resultó", "acordamos", "gestern", "bitte", "fürs", "kurz", "stand", "lembre", "ontem", "como", "wenn", "yesterday", "invoice", "tell", "forward"}
+    def _sentence_end(name: str) -> bool:
+        """An initial that ends a sentence, as in `plan B. The`: a word follows that begins sentences."""
+        return name.split(".")[-1].strip().lower() in AFTER_NAME
 
     def _around(self, text: str, low: str, b: int, e: int) -> tuple[int, int]:
         """The whole name around a given name."""
@@ -268,12 +357,12 @@ class Finder:
         return b, at
 
     def _after_cue(self, text: str, low: str, e: int, take, taken: bytearray) -> None:
-        m = re.compile(rf"\s?(?:(?:Dr|Dra|Ms|Mr|Mrs|Sr|Sra|M|Prof)\. |Herr |Frau |Monsieur |Madame |Mme )*((?:[A-ZÀ-Þ]\. ?)+{WORD.pattern}|[A-ZÀ-Þ]{WORD.pattern}(?:, [A-ZÀ-Þ]\.)?)").match(text, e)
-        if m and not any(taken[m.start(1) : m.end(1)]):
-            name = m[1]
-            first = re.split(r"[ .,]", name)[0].lower()
-            if first not in AFTER_NAME and (", " in name or re.match(r"[A-ZÀ-Þ]\.", name)):
-                take(m.start(1), m.end(1) - (name.endswith(".") and ", " in name), "name")
+        m = _HONOURED.match(text, e)
+        at = m.end() if m else e
+        if (n := re.compile(rf"(?:[A-ZÀ-Þ]\. ?)+{WORD.pattern}").match(text, at)) or (n := _CAP_WORDS.match(text, at)):
+            words = re.split(r"[ .]+", n[0])
+            if not taken[n.start()] and not any(w.lower() in AFTER_NAME for w in words) and not any(w.lower() in NO_PERSON for w in words) and not re.match(r"[ -]?v?\d|[/_@]", text[n.end() : n.end() + 3]):
+                take(n.start(), n.end(), "name")
 
 
 def key_of(piece: str) -> str:

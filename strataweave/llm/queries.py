@@ -38,10 +38,8 @@ def p1_segments(spark: SparkSession, root: str) -> DataFrame:
 
 def _names(spark: SparkSession, root: str) -> tuple:
     entities = once(read(spark, root, "entities", "id", "scope_id", "name", "norm", "kind", "degree"), "id")
-    aliases = read(spark, root, "aliases", "entity_id", "scope_id", "norm").distinct()
-    known = aliases.join(entities.select("scope_id", "norm", "id"), ["scope_id", "norm"]).where("id != entity_id")
     given = personal.learn_given(entities, "name", "kind")
-    return entities, "scope_id", "id", "name", "degree", given, known.select(F.col("id").alias("a"), F.col("entity_id").alias("b"))
+    return entities, "scope_id", "id", "name", "degree", given
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
