@@ -1,10 +1,13 @@
 """Problem 5: one consistent form for text that looks the same but is stored with different characters.
 
 Two parts. `table_form` maps one text by character rules. `canonical` is the operator: the words of the whole table
-make vocabulary tries (spread over buckets by a hash of the word's look), every word with unusual characters walks
-the trie of its bucket with a weighted edit automaton in which look-alikes and ignorable characters cost nothing, and
-takes the spelling it ends at: Latin before other scripts, then the most frequent, then the smallest. Words that
-match nothing, and everything between words, go by the table. Letter case, words and visible accents are kept.
+make one vocabulary trie, cut below its first letters into parts that are spread over buckets; every word with unusual
+characters walks the part it begins in with a weighted edit automaton in which look-alikes and ignorable characters
+cost nothing, and takes the spelling it ends at: the cheapest, Latin before other scripts, then the most frequent, then
+the smallest. A word of another script that stands in the vocabulary as such keeps its letters where the table would
+make Latin ones of them. Only words that match nothing, and what stands between words, go by the table. Letter case,
+words and visible accents are kept at the usual budget of 0; a larger one lets words take a spelling that differs behind
+its first letters.
 
 Defined results: a null text has a null form, an empty text an empty one; repeated rows are kept; an empty table gives
 an empty result; very long texts are read whole. Further columns of the input are kept as they are.
@@ -21,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.session import cut
+from strataweave.session import kept
 
 # Letters of other alphabets drawn like a Latin letter (pairs "other letter, Latin letter").
 SAME_SHAPE = dict(
@@ -36,6 +39,9 @@ SAME_SHAPE = dict(
 HYPHENS = "‐‑‒–−﹘﹣－⁃"
 PLAIN_TAGS = ("<wide>", "<narrow>", "<font>", "<noBreak>", "<isolated>", "<initial>", "<medial>", "<final>")
 
+FIRST_LETTERS = 4
+BROADCAST_WORDS = 200_000
+
 # A text without any of these is its own form. Java and Python read the pattern alike.
 ODD_CLASS = r"[^\x00-ž]|[\xa0\xadĲĳĿŀŉ]"
 _ODD = re.compile(ODD_CLASS)
@@ -89,24 +95,42 @@ class Trie:
             node = node.setdefault(ch, {})
         node[""] = (word, count)
 
-    def walk(self, word: str, budget: int = 0) -> list[tuple[int, str, int]]:
-        """(cost, spelling, count) of the spellings within `budget` edits; look-alikes and ignorables are free."""
-        states: dict[int, tuple[dict, int]] = {id(self.root): (self.root, 0)}
+    def walk(self, word: str, budget: float = 0) -> list[tuple[float, str, int]]:
+        """(cost, spelling, count) of the spellings within `budget`: look-alikes and ignorables cost nothing, another case or
+        an accent more or less half a point, another, missing or further letter one point."""
+        states = _skips({id(self.root): (self.root, 0)}, budget)
         for folded in unicodedata.normalize("NFD", word).translate(_TABLE):
-            after: dict[int, tuple[dict, int]] = {}
+            after: dict[int, tuple[dict, float]] = {}
             for node, cost in states.values():
-                steps = [(child, cost + (ch.translate(_TABLE) != folded)) for ch, child in node.items() if ch]
+                steps = [(child, cost + _swap(ch.translate(_TABLE), folded)) for ch, child in node.items() if ch]
                 if budget:
-                    steps.append((node, cost + 1))
+                    steps.append((node, cost + _weight(folded)))
                 for child, total in steps:
                     if total <= budget and total < after.get(id(child), (None, budget + 1))[1]:
                         after[id(child)] = (child, total)
-            states = after
-        found = []
-        while states:
-            found += [(cost, *node[""]) for node, cost in states.values() if "" in node]
-            states = {id(child): (child, cost + 1) for node, cost in states.values() if cost < budget for ch, child in node.items() if ch}
-        return found
+            states = _skips(after, budget)
+        return [(cost, *node[""]) for node, cost in states.values() if "" in node]
+
+
+def _weight(ch: str) -> float:
+    """Cost of a character that one of two spellings lacks."""
+    return 0.5 if unicodedata.combining(ch[:1] or "x") else 1 if ch else 0
+
+
+def _swap(a: str, b: str) -> float:
+    return 0 if a == b else 0.5 if a.lower() == b.lower() or (unicodedata.combining(a[:1] or "x") and unicodedata.combining(b)) else 1
+
+
+def _skips(states: dict[int, tuple[dict, float]], budget: float) -> dict[int, tuple[dict, float]]:
+    """The states with those that are reached by characters of the trie alone."""
+    open_ = list(states.values()) if budget else []
+    while open_:
+        node, cost = open_.pop()
+        for ch, child in node.items():
+            if ch and (total := cost + _weight(ch.translate(_TABLE))) <= budget and total < states.get(id(child), (None, budget + 1))[1]:
+                states[id(child)] = (child, total)
+                open_.append((child, total))
+    return states
 
 
 def choose(found: list[tuple[int, str, int]]) -> str | None:
@@ -137,19 +161,22 @@ def _one_script(word: str) -> bool:
     return len({unicodedata.name(c, "?").split()[0] for c in word if c.isalpha()}) == 1 and not any(unicodedata.decomposition(c).startswith("<") for c in word)
 
 
-def _match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by bucket, spellings before the words that look for one."""
-    at, trie = None, Trie()
-    for b in batches:
-        out = []
-        for bucket, word, look, odd, own, count in zip(b["bucket"], b["word"], b["look"], b["odd"], b["own"], b["count"]):
-            if bucket != at:
-                at, trie = bucket, Trie()
-            if own:
-                trie.add(word, count)
-            if odd:
-                out.append((word, choose(trie.walk(word)) or look))
-        yield pd.DataFrame(out, columns=["word", "form"])
+def _match(budget: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by bucket, spellings before the words that look for one."""
+        at, trie = None, Trie()
+        for b in batches:
+            out = []
+            for bucket, word, look, odd, own, count in zip(b["bucket"], b["word"], b["look"], b["odd"], b["own"], b["count"]):
+                if bucket != at:
+                    at, trie = bucket, Trie()
+                if own:
+                    trie.add(word, count)
+                if odd:
+                    out.append((word, choose(trie.walk(word, budget)) or look))
+            yield pd.DataFrame(out, columns=["word", "form"])
+
+    return run
 
 
 def vocabulary(texts: DataFrame, column: str) -> DataFrame:
@@ -170,7 +197,7 @@ def _rebuild(text: pd.Series, words: pd.Series, forms: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def canonical(df: DataFrame, key: list[str], text: str, out: str = "form", buckets: int = 4096) -> DataFrame:
+def canonical(df: DataFrame, key: list[str], text: str, out: str = "form", buckets: int = 4096, budget: float = 0) -> DataFrame:
     """df with the column `out`: the text in its canonical form. `key` names the columns that tell the rows apart."""
     rebuild = F.pandas_udf(_rebuild, "string")
     base = df.where(F.col(text).isNotNull())
@@ -179,20 +206,22 @@ def canonical(df: DataFrame, key: list[str], text: str, out: str = "form", bucke
     odd_rows = base.where(odd_text).select(row.alias("_row"), F.col(text).alias("_text"))
     row_type = odd_rows.schema["_row"].dataType.simpleString()
     words = odd_rows.select(F.to_json(F.struct("_row")).alias("_row"), "_text").mapInPandas(_odd_words, "_row string, word string, look string, own boolean")
-    words = cut(words)
+    words = kept(words)
     odd = words.groupBy("word", "look", "own").agg(F.count("*").alias("count"))
-    # Only spellings that share an initial look with some unusual word can be met on a walk; the rest stays out of the tries.
-    bucket = F.pmod(F.xxhash64("look"), F.lit(buckets)).alias("bucket")
+    # Only spellings that share their first letters with some unusual word can be met on a walk; the rest stays out of the tries.
+    bucket = F.pmod(F.xxhash64(F.substring("look", 1, FIRST_LETTERS)), F.lit(buckets)).alias("bucket")
     latin = vocabulary(base, text)
     wanted = odd.select(bucket).distinct()
-    latin = latin.select("word", F.col("word").alias("look"), F.lit(False).alias("odd"), F.lit(True).alias("own"), "count").withColumn("bucket", bucket).join(F.broadcast(wanted), "bucket", "left_semi")
+    latin = latin.select("word", F.col("word").alias("look"), F.lit(False).alias("odd"), F.lit(True).alias("own"), "count").withColumn("bucket", bucket).join(F.broadcast(wanted), "bucket", "left_semi")  # no more rows than buckets
     odd = odd.select("word", "look", F.lit(True).alias("odd"), "own", "count").withColumn("bucket", bucket)
     seekers = odd.withColumn("own", F.lit(False))
     spellings = odd.where("own").withColumn("odd", F.lit(False))
     cols = ["bucket", "word", "look", "odd", "own", "count"]
     entries = latin.select(*cols).unionByName(spellings.select(*cols)).unionByName(seekers.select(*cols))
-    mapping = entries.repartition("bucket").sortWithinPartitions("bucket", "odd").mapInPandas(_match, "word string, form string")
-    found = words.select("_row", "word").join(mapping.hint("merge"), "word").groupBy("_row").agg(F.collect_list("word").alias("_words"), F.collect_list("form").alias("_forms"))
+    mapping = kept(entries.repartition("bucket").sortWithinPartitions("bucket", "odd").mapInPandas(_match(budget), "word string, form string"))
+    # A word that stands in very many texts is no problem while the mapping is small enough to go to every task.
+    mapping = F.broadcast(mapping) if mapping.count() <= BROADCAST_WORDS else mapping.hint("merge")
+    found = words.select("_row", "word").join(mapping, "word").groupBy("_row").agg(F.collect_list("word").alias("_words"), F.collect_list("form").alias("_forms"))
     found = found.select(F.from_json("_row", f"_row {row_type}").getField("_row").alias("_row"), "_words", "_forms")
     plain = df.where(F.col(text).isNull() | ~odd_text).withColumn(out, F.col(text))
     changed = base.where(odd_text).withColumn("_row", row).join(found.hint("merge"), "_row", "left").withColumn(out, rebuild(F.col(text), F.col("_words"), F.col("_forms")))
@@ -210,9 +239,9 @@ def alike(df: DataFrame, within: list[str], id_: str, text: str) -> DataFrame:
     two = lambda c: (F.xxhash64(c), F.xxhash64(F.lit(1), c))
     hashes = [h.alias(n) for n, h in zip(("class", "form", "raw", "text"), (*two(F.col("_form")), *two(F.col(text))))]
     rows = forms.select(*within, F.col(id_).alias("id"), *hashes, is_odd(F.col(text)).alias("odd"))
-    rows = cut(rows.dropDuplicates([*within, "id"]))
+    rows = kept(rows.dropDuplicates([*within, "id"]))
     classes = rows.where("odd").select(*within, "class").distinct()
-    rows = cut(rows.join(classes, [*within, "class"], "left_semi").drop("odd"))
+    rows = kept(rows.join(classes, [*within, "class"], "left_semi").drop("odd"))
     variants = rows.groupBy(*within, "class", "form", "raw", "text").agg(F.count("*").alias("n"))
     on = [*within, "class", "form"]
     other = variants.select(*on, F.col("raw").alias("raw_b"), F.col("text").alias("text_b"))
@@ -221,3 +250,11 @@ def alike(df: DataFrame, within: list[str], id_: str, text: str) -> DataFrame:
     b = rows.select(*on, F.col("raw").alias("raw_b"), F.col("text").alias("text_b"), F.col("id").alias("id_2"))
     both = pairs.select(*on, "raw", "text", "raw_b", "text_b").join(a.hint("merge"), [*on, "raw", "text"]).join(b.hint("merge"), [*on, "raw_b", "text_b"])
     return both.select(*within, F.least("id_1", "id_2").alias("id_a"), F.greatest("id_1", "id_2").alias("id_b"))
+
+
+def classes(df: DataFrame, within: list[str], id_: str, text: str) -> DataFrame:
+    """Rows (within, id, class_id, members): the class of every row that looks like others, named by its smallest id, and its size."""
+    texts = df.where(F.col(text).isNotNull() & F.col(id_).isNotNull()).select(*within, F.col(id_).alias("id"), text)
+    rows = kept(canonical(texts, [*within, "id"], text, "_form").select(*within, "id", F.xxhash64("_form").alias("h1"), F.xxhash64(F.lit(1), "_form").alias("h2")).dropDuplicates([*within, "id"]))
+    sizes = rows.groupBy(*within, "h1", "h2").agg(F.min("id").alias("class_id"), F.count("*").alias("members")).where(F.col("members") > 1)
+    return rows.join(sizes.hint("merge"), [*within, "h1", "h2"]).select(*within, "id", "class_id", "members")

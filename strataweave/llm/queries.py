@@ -89,6 +89,11 @@ def p5_forms(spark: SparkSession, root: str) -> DataFrame:
     return forms.canonical(texts, ["tab", "id"], "text").select("tab", "id", "form")
 
 
+def p5_classes(spark: SparkSession, root: str) -> DataFrame:
+    """The class of every norm and body that reads like others of its scope: its smallest id and how many there are."""
+    return forms.classes(_looks(spark, root), ["tab", "scope_id"], "id", "text").select("tab", "id", "class_id", "members")
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     """All pairs of episodes in one group of near copies: three-word runs, 60 %, bodies of 15 words or more."""
     return neardup.group_pairs(p6_groups(spark, root))
@@ -129,7 +134,7 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {
     q.__name__: q
-    for q in (p1_found, p1_segments, p2_found, p2_groups, p3_found, p3_redacted, p5_found, p5_forms, p6_found, p6_groups, p7_bins, p7_fill, p8_found, p9_found)
+    for q in (p1_found, p1_segments, p2_found, p2_groups, p3_found, p3_redacted, p5_found, p5_forms, p5_classes, p6_found, p6_groups, p7_bins, p7_fill, p8_found, p9_found)
 }
 
 _FROM = "".join(forms.SAME_SHAPE) + "".join(chr(0xFF01 + i) for i in range(94)) + forms.HYPHENS.replace("－", "")
@@ -150,6 +155,11 @@ ORACLES: dict[str, str] = {
 WITH t AS (SELECT DISTINCT 'entities' AS tab, id, scope_id, norm AS text FROM entities UNION SELECT DISTINCT 'episodes', id, scope_id, body FROM episodes),
 u AS (SELECT *, {_sql_form('text')} AS form FROM t)
 SELECT a.tab, a.id AS id_a, b.id AS id_b FROM u a JOIN u b ON a.tab = b.tab AND a.scope_id = b.scope_id AND a.form = b.form AND a.text <> b.text AND a.id < b.id""",
+    "p5_classes": f"""
+WITH t AS (SELECT DISTINCT 'entities' AS tab, id, scope_id, norm AS text FROM entities UNION SELECT DISTINCT 'episodes', id, scope_id, body FROM episodes),
+u AS (SELECT tab, id, scope_id, {_sql_form('text')} AS form FROM t WHERE text IS NOT NULL),
+c AS (SELECT tab, id, min(id) OVER w AS class_id, count(*) OVER w AS members FROM u WINDOW w AS (PARTITION BY tab, scope_id, form))
+SELECT tab, id, class_id, members FROM c WHERE members > 1""",
     "p6_found": f"""
 WITH RECURSIVE w AS (SELECT id, regexp_extract_all(lower({_sql_form('body')}), '[\\p{{L}}\\p{{N}}]+') AS w FROM (SELECT DISTINCT id, body FROM episodes)),
 s AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 15),

@@ -33,6 +33,9 @@ def test_trie_walk():
     assert forms.choose(trie.walk("ﬁle")) == "file"
     assert forms.choose(trie.walk("cop")) == "сор"
     assert trie.walk("cave") == [] and {w for _, w, _ in trie.walk("cave", budget=1)} == {"cafe"}
+    assert trie.walk("cafe", budget=0.5) and {w for _, w, _ in trie.walk("cafe", budget=0.5)} == {"cafe", "café"}
+    assert {w for _, w, _ in trie.walk("fle", budget=1)} == {"file"} and {w for _, w, _ in trie.walk("FILE", budget=2)} == {"file"}
+    assert {w for _, w, _ in trie.walk("files", budget=1)} == {"file"} and forms.choose(trie.walk("ﬁlе", budget=2)) == "file"
     assert forms.choose([(0, "сор", 9), (0, "cop", 1)]) == "cop"
 
 
@@ -61,3 +64,19 @@ def test_canonical_keeps_rows_and_columns(spark):
     rows = [(1, "thе сafé", 1), (2, None, 2), (3, "", 3), (4, "the café", 4), (4, "the café", 4), (5, "белуга б", 5), (6, "x" * 100_000 + " ｙ", 6)]
     got = {(r.id, r.form) for r in forms.canonical(spark.createDataFrame(rows, "id long, text string, words int"), ["id"], "text").collect()}
     assert got == {(1, "the café"), (2, None), (3, ""), (4, "the café"), (5, "белуга б"), (6, "x" * 100_000 + " y")}
+
+
+def test_the_trie_decides_where_the_table_would_err(spark):
+    """A word of another script keeps its letters while nobody writes it in Latin ones; a budget joins accents behind the first letters."""
+    rows = [(1, "сор на горе", 1), (2, "coр", 1), (3, "resumé", 1), (4, "resume resume", 1), (5, "rеsumé", 1)]
+    df = spark.createDataFrame(rows, "id long, text string, words int")
+    got = {r.id: r.form for r in forms.canonical(df, ["id"], "text").collect()}
+    assert got[1].startswith("сор") and forms.table_form("сор") == "cop" and got[2] == "сор" and got[3] == got[5] == "resumé"
+    loose = {r.id: r.form for r in forms.canonical(df, ["id"], "text", budget=0.5).collect()}
+    assert loose[5] in ("resume", "resumé") and loose[1] == got[1]
+
+
+def test_classes_count_members(spark):
+    rows = [("x", 0, i, t) for i, t in enumerate(["the café", "thе cafe\u0301", "the café", "other", None])]
+    df = spark.createDataFrame(rows, "tab string, scope_id int, id long, text string")
+    assert sorted(tuple(r) for r in forms.classes(df, ["tab", "scope_id"], "id", "text").collect()) == [("x", 0, i, 0, 3) for i in range(3)]

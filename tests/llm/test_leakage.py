@@ -40,6 +40,8 @@ def test_planted_passages_are_found(spark):
         assert len(got) == len(set(got)) and set(got) == want
         blocks = {tuple(r) for r in leakage.leaks(d, "doc_id", "text", i, "item_id", "text", block=150).collect()}
         assert blocks == want
+        small = {tuple(r) for r in leakage.leaks(d, "doc_id", "text", i, "item_id", "text", shard=200).collect()}
+        assert small == want
         assert leakage.leaks(d.limit(0), "doc_id", "text", i, "item_id", "text").count() == 0
         assert leakage.leaks(d, "doc_id", "text", i.limit(0), "item_id", "text").count() == 0
 
@@ -49,7 +51,7 @@ def test_phrase_hits_equal_brute_force():
     docs = [[rnd.choice("abcdef") for _ in range(rnd.randrange(0, 40))] for _ in range(30)]
     items = [(i, [rnd.choice("abcdef") for _ in range(15)]) for i in range(4)]
     probes = leakage.Probes(items)
-    index = leakage.ShardIndex(docs, probes.terms)
+    index = leakage.ShardIndex.of_documents(docs, probes.terms)
     p, item, q = index.phrase_hits(probes)
     got = sorted(zip(p.tolist(), item.tolist(), q.tolist()))
     want = sorted(
