@@ -177,7 +177,8 @@ def keys(form: str, role: str = "") -> set[str]:
         given, _, surname = rest
         parts = {surname, surname.split("-")[0]}
         if len(given) > 1:
-            both = {f"s:{i} {k}" for part in parts for k in _less(part) for i in _initials(given)}.union(*(_two(given, part) for part in parts))
+            both = {f"s:{i} {k}" for part in parts for k in _less(part) for i in _initials(given)}
+            both |= {"w:" + " ".join(sorted((k, part))) for part in parts for k in (given, given[1:], given[0] + given[2:])}  # the initial itself may be mistyped
             meant = {f"u:{k}" for k in _less(given[0] + surname) | _less(given + surname)} | {f"i:{given[0]} {k}" for part in parts for k in _less(part)}
         else:
             typed = {f"i:{given} {k}" for part in parts for k in _less(part)}
