@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strataweave.functions.text import BLANKS, DAY
 from strataweave.operators import graph, lexical, vectors
 from strataweave.operators.temporal import live
-from strataweave.session import cut
+from strataweave.session import cut, kept
 
 K = 60
 WEIGHTS = {"bm25": 1.0, "vector": 0.7, "graph": 0.5}
@@ -107,3 +107,22 @@ def recall(queries: DataFrame, facts: DataFrame, entities: DataFrame, now_ts: in
     rows = fused.drop("rank").join(facts.select("id", "statement", "confidence", "recorded_at", "hits"), "id")
     pool = rows.select("query_id", "id", "statement", adjusted(F.col("score"), F.col("confidence"), F.col("recorded_at"), F.col("hits"), now_ts).alias("score"))
     return diversify(pool.withColumn("q", vectors.hashed_embedding(F.col("statement"))), limit)
+
+
+def recall_all(
+    queries: DataFrame, facts: DataFrame, entities: DataFrame, episodes: DataFrame, refs: DataFrame, now_ts: int, limit: int = 12, hops: int = 1, when: Column | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(picks, notes, files): the recalled facts, the episodes that words or vectors find, and the files of the facts' episodes.
+
+    picks: query_id, id, score, pick. notes: query_id, id, rank, newest first. files: query_id, episode_id and the
+    columns of refs (episode_id, path, lang, line_from, line_to), each file once per query.
+    """
+    picks = kept(recall(queries, facts, entities, now_ts, limit, hops, when))
+    allowed = queries.select("query_id", F.explode(F.array_distinct(F.array("scope_id", F.lit(1).cast("long")))).alias("scope_id"))
+    words = lexical.bm25(queries, episodes, "id", "body", allowed, most=limit)
+    index = episodes.select("id", "scope_id", vectors.hashed_embedding(F.col("body")).alias("q"))
+    scopes = F.array_distinct(F.array("scope_id", F.lit(1).cast("long"))).alias("scopes")
+    near = vectors.nearest(queries.select("query_id", scopes, vectors.hashed_embedding(F.col("text")).alias("q")), index, k=limit)
+    notes = fuse_episodes(words, near, episodes, limit)
+    of = picks.join(facts.select("id", "episode_id"), "id").where("episode_id IS NOT NULL").select("query_id", "episode_id").distinct()
+    return picks, notes, of.join(refs, "episode_id")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Fixed values of the kept text: `[closed]`, `[in-progress task]`, `goal: `, `(status: closed)`.
 def current(events: DataFrame) -> DataFrame:
     """Rows (scope_id, goal, state, files, opened_at, updated_at, closed) from events (scope_id, ts, action, state, goal, files, note).
 

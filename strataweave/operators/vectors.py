@@ -48,7 +48,9 @@ def _search(queries: DataFrame, vectors: DataFrame, block: int, dim: int | None,
         part = [r for r in part if len(r.q) == width]
         ids = np.array([r.query_id for r in part], dtype=np.int64)
         matrix = np.array([list(r.q) for r in part], dtype=np.float32).reshape(len(part), width)
-        sees = {r.query_id: set(r.scopes) for r in part} if scoped else None
+        sees: dict[frozenset, list[int]] | None = {} if scoped else None  # the queries that see the same scopes
+        for i, r in enumerate(part if scoped else ()):
+            sees.setdefault(frozenset(r.scopes), []).append(i)
         shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix, sees))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
@@ -58,8 +60,8 @@ def _search(queries: DataFrame, vectors: DataFrame, block: int, dim: int | None,
                 scope = b["scope_id"].to_numpy() if sees else None
                 dots = m @ np.stack(b["q"].to_numpy()).astype(np.float32).T  # exact: sums of products of small integers
                 if sees:
-                    for i, query in enumerate(asked):
-                        dots[i, ~np.isin(scope, list(sees[query]))] = -np.inf
+                    for scopes, mine in sees.items():
+                        dots[np.ix_(mine, ~np.isin(scope, list(scopes)))] = -np.inf
                 for lo in range(0, dots.shape[1], 20_000):
                     d, o = dots[:, lo : lo + 20_000], own[lo : lo + 20_000]
                     row, col = pick(d, o)
@@ -80,8 +82,12 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 60, block: int = 40
     """
 
     def best(d: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keep = np.lexsort((np.broadcast_to(ids, d.shape), -d), axis=1)[:, :k]
-        return np.repeat(np.arange(len(d)), keep.shape[1]), keep.ravel()
+        least = np.partition(d, -k, axis=1)[:, -k] if d.shape[1] > k else np.full(len(d), -np.inf)
+        row, col = np.nonzero(d >= least[:, None])  # the k best and what ties with the last of them
+        order = np.lexsort((ids[col], -d[row, col], row))
+        row, col = row[order], col[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        return row[place < k], col[place < k]
 
     order = Window.partitionBy("query_id").orderBy(F.desc("dot"), "id")
     hits = _search(queries, vectors, block, dim, best).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -101,6 +107,29 @@ def relative_floor(hits: DataFrame) -> DataFrame:
     return hits.withColumn("_top", top).where(F.col("cos") >= F.greatest(F.lit(FLOOR_LEAST), FLOOR_SHARE * F.col("_top"))).drop("_top")
 
 
+def read(vectors: DataFrame, ids: DataFrame) -> DataFrame:
+    """The vectors (id, q) of ids (id); unknown ids have no row."""
+    return vectors.join(ids.select("id").distinct(), "id", "left_semi").select("id", "q")
+
+
+def worst_cosine(probes: DataFrame) -> DataFrame:
+    """One row (probes, worst): the least cosine between the two vectors (a, b) of a probe; a zero vector counts 0, no probes give null."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    length = F.sqrt(dot(F.col("a"), F.col("a")) * dot(F.col("b"), F.col("b")))
+    return probes.agg(F.count("*").alias("probes"), F.min(F.when(length > 0, dot(F.col("a"), F.col("b")) / length).otherwise(0.0)).alias("worst"))
+
+
+def reindex(texts: DataFrame, model: str, embed=None) -> DataFrame:
+    """Rows (kind, ref_id, q, model): every text (kind, ref_id, text) embedded anew and stamped with the model and dimension it comes from."""
+    q = (embed or hashed_embedding)(F.col("text"))
+    return texts.select("kind", "ref_id", q.alias("q")).withColumn("model", F.concat(F.lit(f"{model}:"), F.size("q").cast("string")))
+
+
+def of_model(index: DataFrame, model: str, dim: int) -> DataFrame:
+    """The vectors of an index that come from this model and dimension; those of another are never compared."""
+    return index.where((F.col("model") == f"{model}:{dim}") & (F.size("q") == dim))
+
+
 def explain(queries: DataFrame, vectors: DataFrame, block: int = 512) -> DataFrame:
     """Rows (query_id, match, id, cos, floor, kept): every vector that a query (query_id, q, scopes, match) sees, whether kept or not.
 

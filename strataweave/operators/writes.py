@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataweave.functions import secrets, text
+from strataweave.operators import vectors
 from strataweave.operators.intervals import borders, in_shards, same_keys
 from strataweave.session import kept
 
@@ -44,6 +45,13 @@ def resolve_entities(names: DataFrame, entities: DataFrame, aliases: DataFrame)
     return out.withColumn("entity_id", F.coalesce("_alias", "_own")).drop("_alias", "_own")
 
 
+def upsert_aliases(aliases: DataFrame, changes: DataFrame) -> DataFrame:
+    """aliases (entity_id, scope_id, norm) with those of changes (entity_id, scope_id, norm, seq) in their place; of several the last by (seq, entity_id)."""
+    last = changes.where("norm <> ''").groupBy("scope_id", "norm").agg(F.max_by("entity_id", F.struct("seq", "entity_id")).alias("entity_id"))
+    kept_ = aliases.select("entity_id", "scope_id", "norm").join(last.select("scope_id", "norm"), ["scope_id", "norm"], "left_anti")
+    return kept_.unionByName(last)
+
+
 def new_entities(names: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
     """Rows (scope_id, norm, name, kind) to insert: unknown names once, with the first name and the first kind not null."""
     unknown = resolve_entities(names, entities, aliases).where(F.col("entity_id").isNull() & (F.col("norm") != ""))
@@ -160,9 +168,46 @@ def derive_facts(episodes: DataFrame) -> DataFrame:
     return named.select(F.col("id").alias("episode_id"), "scope_id", F.get("e", F.lit(0)).alias("src"), text.relation_of_kind(F.col("kind")).alias("rel"), F.get("e", F.lit(1)).alias("dst"), F.col("body").alias("statement"))
 
 
+def remember(notes: DataFrame, given: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What storing notes (note_id, scope_id, kind, body, recorded_at, derive) leaves to write: (episodes, facts).
+
+    given: note_id, seq, src, rel, dst, statement, valid_from, valid_to, confidence, supersede; existing: id, scope_id, hash.
+    A note whose identity its scope knows, from `existing` or from an earlier note by (recorded_at, note_id), adds no
+    episode, but its facts are written all the same and belong to the known episode. Facts that were given win; a note
+    without any states one itself if `derive` says so, and such a fact never supersedes. Blank notes are left out.
+
+    episodes: id (the note's), scope_id, kind, body, hash, recorded_at. facts: note_id, episode_id, scope_id, seq,
+    src, rel, dst, statement, valid_from, valid_to, confidence, recorded_at, over, derived.
+    """
+    rows = notes.withColumn("body", F.regexp_replace("body", f"^{text.BLANKS}+|{text.BLANKS}+$", "")).where("body <> ''")
+    rows = kept(rows.withColumn("hash", text.identity(text.normalize_text(F.col("body")))))
+    first = rows.groupBy("scope_id", "hash").agg(F.min_by("note_id", F.struct("recorded_at", "note_id")).alias("first"))
+    known = existing.groupBy("scope_id", "hash").agg(F.min("id").alias("known"))
+    keys = kept(first.join(known, ["scope_id", "hash"], "left"))
+    new = rows.join(keys.where("known IS NULL").select(F.col("first").alias("note_id")), "note_id", "left_semi")
+    episodes = new.select(F.col("note_id").alias("id"), "scope_id", "kind", "body", "hash", "recorded_at")
+    of = rows.join(keys, ["scope_id", "hash"]).select("note_id", "scope_id", F.coalesce("known", "first").alias("episode_id"), "recorded_at")
+    told = given.join(of, "note_id").select(
+        "note_id", "episode_id", "scope_id", "seq", "src", "rel", "dst", "statement", "valid_from", "valid_to", "confidence", "recorded_at",
+        supersedes(F.col("rel"), F.col("src"), F.col("supersede")).alias("over"), F.lit(False).alias("derived"),
+    )
+    silent = rows.where("derive").join(given.select("note_id").distinct(), "note_id", "left_anti").withColumn("id", F.col("note_id"))
+    own = derive_facts(silent).withColumnRenamed("episode_id", "note_id").drop("scope_id").join(of, "note_id")
+    none = F.lit(None).cast("long")
+    own = own.select(
+        "note_id", "episode_id", "scope_id", F.lit(0).cast("long").alias("seq"), "src", "rel", "dst", "statement", none.alias("valid_from"), none.alias("valid_to"),
+        F.lit(1.0).alias("confidence"), "recorded_at", F.lit(False).alias("over"), F.lit(True).alias("derived"),
+    )
+    return episodes, told.unionByName(own)
+
+
 def forget(facts: DataFrame, ids: DataFrame, now_ts: int) -> DataFrame:
-    """facts with those of ids (id) retracted at now_ts; facts already retracted stay as they are."""
-    named = facts.join(ids.select("id", F.lit(True).alias("_named")).distinct(), "id", "left")
+    """facts with those of ids (id) retracted at now_ts; facts already retracted stay as they are.
+
+    Where ids have a scope_id, a fact is retracted only by a row of its own scope.
+    """
+    on = ["id", "scope_id"] if "scope_id" in ids.columns else ["id"]
+    named = facts.join(ids.select(*on, F.lit(True).alias("_named")).distinct(), on, "left")
     now = F.lit(now_ts).cast("long")
     hit = F.col("_named").isNotNull() & F.col("invalidated_at").isNull()
     return named.withColumns({"valid_to": F.when(hit, F.coalesce("valid_to", now)).otherwise(F.col("valid_to")), "invalidated_at": F.when(hit, now).otherwise(F.col("invalidated_at"))}).drop("_named")
@@ -201,3 +246,40 @@ def file_references(texts: DataFrame, id_: str, column: str) -> DataFrame:
     paths = F.array_distinct(F.regexp_extract_all(column, F.lit(r"(?:^|[\s`(\"'])((?:[\w.-]+/)+[\w-]+\.[A-Za-z0-9]{1,10})"), F.lit(1)))
     rows = texts.select(F.col(id_).alias("episode_id"), F.explode(paths).alias("path"))
     return rows.withColumn("lang", text.language_of_path(F.col("path")))
+
+
+def file_ranges(texts: DataFrame, id_: str, column: str) -> DataFrame:
+    """Rows (episode_id, path, lang, line_from, line_to): the files that a text names, each path once per text.
+
+    Lines may follow the path, as in `src/a.py:12-40` or `src/a.py:12`; of several mentions the first line counts, those without lines last.
+    """
+    named = F.regexp_extract_all(column, F.lit(r"(?:^|[\s`(\"'])((?:[\w.-]+/)+[\w-]+\.[A-Za-z0-9]{1,10}(?::\d{1,9}(?:[-–]\d{1,9})?)?)"), F.lit(1))
+    rows = texts.select(F.col(id_).alias("episode_id"), F.explode(F.array_distinct(named)).alias("m"))
+    part = lambda i: F.when(F.col("m").contains(":"), F.nullif(F.regexp_extract("m", r":(\d+)(?:[-–](\d+))?$", i), F.lit("")).cast("long"))
+    rows = rows.select("episode_id", F.substring_index("m", ":", 1).alias("path"), part(1).alias("line_from"), F.coalesce(part(2), part(1)).alias("line_to"))
+    order = F.struct(F.col("line_from").isNull(), "line_from", "line_to")
+    one = rows.groupBy("episode_id", "path").agg(F.min_by(F.struct("line_from", "line_to"), order).alias("l"))
+    return one.select("episode_id", "path", text.language_of_path(F.col("path")).alias("lang"), "l.*")
+
+
+def consolidate(facts: DataFrame, pending_: DataFrame, now_ts: int, most: int = 200, embed=None) -> tuple[DataFrame, DataFrame]:
+    """(facts, done): the facts after a pass over the queue, and the ids of the pending episodes (id) that it took, at most `most`, first come first.
+
+    An empty queue changes nothing. Near-duplicate live facts of a scope are merged into the newer one, which takes over
+    the hits of those that go; see `vectors.merge_equal_and_near`.
+    """
+    done = kept(pending_.select("id").orderBy("id").limit(most))
+    if done.isEmpty():
+        return facts, done
+    live = facts.where("invalidated_at IS NULL")
+    index = kept(live.select("id", "scope_id", "recorded_at", "hits", (embed or vectors.hashed_embedding)(F.col("statement")).alias("q")))
+    merged = kept(vectors.merge_equal_and_near(index, now_ts))
+    gained = merged.groupBy(F.col("keep").alias("id")).agg(F.sum("hits").alias("_more"))
+    lost = merged.select(F.col("gone").alias("id"), F.col("keep").alias("_by"))
+    out = facts.join(gained, "id", "left").join(lost, "id", "left")
+    gone = F.col("_by").isNotNull()
+    now = F.lit(now_ts).cast("long")
+    return out.withColumns({
+        "hits": F.col("hits") + F.coalesce("_more", F.lit(0)), "invalidated_at": F.when(gone, now).otherwise(F.col("invalidated_at")),
+        "invalidated_by": F.when(gone, F.col("_by")).otherwise(F.col("invalidated_by")), "valid_to": F.when(gone, F.coalesce("valid_to", now)).otherwise(F.col("valid_to")),
+    }).drop("_more", "_by"), done

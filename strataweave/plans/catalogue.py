@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strataweave.plans import interval_queries, search_queries, store_queries, stream_queries, text_queries, write_queries
+from strataweave.plans import interval_queries, memory_queries, search_queries, store_queries, stream_queries, text_queries, write_queries
 
-MODULES = [interval_queries, store_queries, text_queries, write_queries, search_queries, stream_queries]
+MODULES = [interval_queries, store_queries, text_queries, write_queries, search_queries, memory_queries, stream_queries]
 FLAGSHIP = "recalled"
 
 

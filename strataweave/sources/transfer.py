@@ -11,10 +11,15 @@ EPISODE = "id LONG, source STRING, kind STRING, text STRING, meta STRING, hash S
 FACT = "id LONG, src STRING, rel STRING, dst STRING, statement STRING, confidence DOUBLE, valid_from LONG, valid_to LONG, recorded_at LONG, invalidated_at LONG, episode_id LONG"
 
 
-def export_lines(scopes: DataFrame, episodes: DataFrame, facts: DataFrame) -> DataFrame:
-    """Rows (scope_key, part, id, json): one line per episode and fact, retracted ones included.
+FILE = "episode_id LONG, path STRING, lang STRING, line_from LONG, line_to LONG"
+VERSION = 1
 
-    `facts` are resolved (src_name, dst_name). One line per record instead of one document per scope, so that a scope
+
+def export_lines(scopes: DataFrame, episodes: DataFrame, facts: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Rows (scope_key, part, id, json): one line per episode, file and fact, retracted ones included, and one envelope per scope.
+
+    `facts` are resolved (src_name, dst_name), `files` (episode_id, path, lang, line_from, line_to) may be left out, and the
+    envelopes (version, scope, label, root) with them. One line per record instead of one document per scope, so that a scope
     that holds a third of the store is written by many tasks.
     """
     key = scopes.select(F.col("id").alias("scope_id"), F.col("key").alias("scope_key"))
@@ -26,12 +31,25 @@ def export_lines(scopes: DataFrame, episodes: DataFrame, facts: DataFrame) -> Da
         "scope_key", F.lit("fact").alias("part"), "id",
         F.to_json(F.struct("id", F.col("src_name").alias("src"), "rel", F.col("dst_name").alias("dst"), "statement", "confidence", "valid_from", "valid_to", "recorded_at", "invalidated_at", "episode_id")).alias("json"),
     )
-    return e.unionByName(f)
+    if files is None:
+        return e.unionByName(f)
+    r = files.join(episodes.join(key, "scope_id").select(F.col("id").alias("episode_id"), "scope_key"), "episode_id").select(
+        "scope_key", F.lit("file").alias("part"), F.col("episode_id").alias("id"), F.to_json(F.struct("episode_id", "path", "lang", "line_from", "line_to")).alias("json")
+    )
+    head = scopes.select(F.col("key").alias("scope_key"), F.lit("envelope").alias("part"), "id", F.to_json(F.struct(F.lit(VERSION).alias("version"), F.col("key").alias("scope"), "label", "root")).alias("json"))
+    return e.unionByName(f).unionByName(r).unionByName(head)
+
+
+def in_order(lines: DataFrame) -> DataFrame:
+    """The lines in the order of an export: by scope, envelope first, then episodes, facts, and files by episode; any number of tasks write them."""
+    kind = F.array_position(F.array(*[F.lit(p) for p in ("envelope", "episode", "fact", "file")]), F.col("part"))
+    by = ["scope_key", kind, "id", "json"]
+    return lines.repartitionByRange(*by).sortWithinPartitions(*by)
 
 
 def write_export(lines: DataFrame, path: str) -> None:
-    """Lines as JSON files, one folder per scope and part."""
-    lines.write.partitionBy("scope_key", "part").mode("overwrite").json(path)
+    """Lines as JSON files, one folder per scope and part, in the order of ids."""
+    in_order(lines).write.partitionBy("scope_key", "part").mode("overwrite").json(path)
 
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:
@@ -65,3 +83,12 @@ def import_facts(lines: DataFrame, episode_ids: DataFrame) -> DataFrame:
     f = lines.where("part = 'fact'").select("scope_key", F.from_json("json", FACT).alias("f")).select("scope_key", "f.*").where("invalidated_at IS NULL")
     ids = episode_ids.select(F.col("old_id").alias("episode_id"), F.col("id").alias("_new"))
     return f.join(ids, "episode_id", "left").withColumn("episode_id", F.col("_new")).drop("_new")
+
+
+def import_files(lines: DataFrame, episode_ids: DataFrame) -> DataFrame:
+    """The files of the lines attached to the episodes that `episode_ids` says they belong to now; each path once per new episode, known ones keep their own."""
+    r = lines.where("part = 'file'").select("scope_key", F.from_json("json", FILE).alias("r")).select("scope_key", "r.*")
+    new = episode_ids.where("NOT known").select(F.col("old_id").alias("episode_id"), F.col("id").alias("_new"))
+    rows = r.join(new, "episode_id").select("scope_key", F.col("_new").alias("episode_id"), "path", "lang", "line_from", "line_to")
+    one = rows.groupBy("scope_key", "episode_id", "path").agg(F.min_by(F.struct("lang", "line_from", "line_to"), F.struct(F.col("line_from").isNull(), "line_from", "line_to")).alias("l"))
+    return one.select("scope_key", "episode_id", "path", "l.*")

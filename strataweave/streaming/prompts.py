@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from strataweave.functions import secrets, text
 
+# Where agents put the prompt.
 PROMPT_FIELDS = ("prompt", "user_prompt", "message", "text", "input")
 
 
@@ -62,3 +63,30 @@ def current_values(facts: DataFrame) -> DataFrame:
 def drain(queue: DataFrame, consolidate, checkpoint: str) -> StreamingQuery:
     """Hands each micro-batch of pending episodes to `consolidate(batch, batch_id)`; the checkpoint remembers what is done."""
     return queue.writeStream.foreachBatch(consolidate).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def answer_then_keep(batch: DataFrame, facts: DataFrame, entities: DataFrame, now_ts: int, limit: int = 6, globs: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(picks, kept) of a micro-batch of prompts (id, scope_id, body), for use inside foreachBatch.
+
+    Recall comes before the store, so that no prompt is answered with itself: `facts` are those before the batch. Prompts
+    too short to keep are answered, acknowledgements, commands and empty ones are not. picks: query_id, id, score, pick.
+    """
+    from strataweave.operators import fusion
+
+    reason = F.coalesce(text.skip_reason(F.col("body")), F.lit(""))
+    asked = batch.where(reason.isin("", "too short")).select(F.col("id").alias("query_id"), F.col("body").alias("text"), "scope_id")
+    return fusion.recall(asked, facts, entities, now_ts, limit), kept_prompts(batch, globs=globs)
+
+
+def on_session_end(store: DataFrame, now_ts: int, most: int = 200):
+    """A function (batch, batch_id) for `drain`: hands the pending episodes of each batch to the consolidation of `store` facts and counts them."""
+    from strataweave.operators import writes
+
+    report: list[tuple[int, DataFrame, int]] = []
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        facts, done = writes.consolidate(store, batch, now_ts, most)
+        report.append((batch_id, facts, done.count()))
+
+    run.report = report
+    return run
