@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strataweave.functions import registered, text
 from strataweave.operators import fusion, graph, lexical, render, tasks, temporal, vectors, writes
 from strataweave.plans import search_queries, text_queries, write_queries
-from strataweave.plans.common import EACH, NOW, entities, episodes, facts, inputs, scopes, sql_normalize, sql_tokens, sql_trim, sql_ymd, with_
+from strataweave.plans.common import EACH, NOW, SQL_NOTES, entities, episodes, facts, inputs, scopes, sql_normalize, sql_tokens, sql_trim, sql_ymd, with_
 from strataweave.sources import transcripts, transfer
 from strataweave.tables import read
 
@@ -223,4 +223,20 @@ UNION ALL SELECT DISTINCT s.key, 'file', k.first, md5(r.path), CAST(NULL AS BIGI
 (SELECT count(*) FROM f) + (SELECT count(*) FROM e) AS vectors""",
     "sql_functions": with_("n e") + f"""SELECT 'entities' AS tab, id, md5({sql_normalize('name')}) AS digest, {sql_tokens('name')} AS tokens, {text_queries._sql_salience('name')} AS salient FROM n
 UNION ALL SELECT 'episodes', id, md5({sql_normalize('body')}), {sql_tokens('body')}, {_SALIENT} FROM e""",
+    "packed_memories": with_("f n e", search_queries._FUSED + f""",
+b AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS pick FROM u QUALIFY pick <= 12),
+{SQL_NOTES},
+en AS (WITH {search_queries._bm25('e', 'body', 'true', 12)} SELECT query_id, id, rank FROM hits),
+rr AS (WITH {_RANGES} SELECT * FROM r),
+pt AS (SELECT episode_id, string_agg(chr(10) || '    `' || path || '`' || CASE WHEN line_from IS NULL THEN '' WHEN line_to <> line_from THEN ':' || line_from || '–' || line_to ELSE ':' || line_from END, '' ORDER BY coalesce(line_from, 0), path) AS marks FROM rr GROUP BY episode_id),
+hd AS (SELECT q.qid AS query_id, '## Memory — ' || s.label || chr(10) AS head FROM q JOIN scopes s ON s.id = q.scope_id),
+li AS (SELECT b.query_id, b.pick, '- ' || trim(f.statement) || o.note || coalesce(pt.marks, '') || chr(10) AS line, hd.head FROM b JOIN f ON f.id = b.id JOIN o ON o.id = b.id JOIN hd ON hd.query_id = b.query_id LEFT JOIN pt ON pt.episode_id = f.episode_id),
+co AS (SELECT *, {sql_tokens('head')} + sum({sql_tokens('line')}) OVER (PARTITION BY query_id ORDER BY pick ROWS UNBOUNDED PRECEDING) AS used, count(*) OVER (PARTITION BY query_id) AS total FROM li),
+sh AS (SELECT query_id, string_agg(line, '' ORDER BY pick) AS lines, max(used) AS used, any_value(total) - count(*) AS left_out FROM co WHERE pick = 1 OR used <= 300 GROUP BY query_id),
+nt AS (SELECT en.query_id, en.rank, '- (' || {sql_ymd('e.recorded_at')} || ') ' || trim(e.body) || chr(10) AS note FROM en JOIN e ON e.id = en.id),
+nc AS (SELECT nt.query_id, nt.rank, nt.note, coalesce(sh.used, {sql_tokens('hd.head')}) + sum({sql_tokens('nt.note')}) OVER (PARTITION BY nt.query_id ORDER BY nt.rank ROWS UNBOUNDED PRECEDING) AS used
+  FROM nt JOIN hd ON hd.query_id = nt.query_id LEFT JOIN sh ON sh.query_id = nt.query_id),
+ra AS (SELECT query_id, chr(10) || '### Raw notes' || chr(10) || coalesce(string_agg(note, '' ORDER BY rank) FILTER (used <= 300), '') AS raw FROM nc GROUP BY query_id)""")
+    + """SELECT hd.query_id, CASE WHEN sh.query_id IS NULL AND ra.query_id IS NULL THEN '' ELSE hd.head || coalesce(sh.lines || CASE WHEN left_out > 0 THEN '- … ' || left_out || ' more memories not shown (raise the budget or narrow the query)' || chr(10) ELSE '' END, '')
+|| coalesce(ra.raw, '') END AS text FROM hd LEFT JOIN sh ON sh.query_id = hd.query_id LEFT JOIN ra ON ra.query_id = hd.query_id""",
 }

@@ -259,4 +259,17 @@ FROM sh JOIN (SELECT query_id, count(*) AS n FROM li GROUP BY query_id) t ON t.q
     "adjusted_scores": with_("f") + f"""SELECT id, round((0.7 + 0.3 * greatest(0, least(1, confidence))) * (0.85 + 0.15 * exp(-(greatest(0, {NOW} - recorded_at) / 86400000.0) / 90)) * (1 + 0.05 * ln(1 + hits)), 9) AS factor FROM f""",
     "statement_overlap": with_("f", f"o AS (SELECT a.id, a.invalidated_by, {_WORDS.format('a.statement')} AS x, {_WORDS.format('b.statement')} AS y FROM f a JOIN f b ON b.id = a.invalidated_by)")
     + "SELECT id, invalidated_by, round(CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0 ELSE 2.0 * len(list_intersect(x, y)) / (len(x) + len(y)) END, 9) AS overlap FROM o",
+    # One pick after the other: `held` is the pool of a query in order, with what is still open and how near each is to the picks.
+    "diversified": with_("f n", _FUSED + f""",
+t AS (SELECT query_id, id, score FROM u QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 48),
+x AS (SELECT t.query_id, t.id, t.score, CASE WHEN max(t.score) OVER v - min(t.score) OVER v > 1.2e-7 THEN (t.score - min(t.score) OVER v) / (max(t.score) OVER v - min(t.score) OVER v) ELSE 1.0::DOUBLE END AS rel,
+  {_WORDS.format('f.statement')} AS words FROM t JOIN f ON f.id = t.id WINDOW v AS (PARTITION BY t.query_id)),
+pool AS (SELECT query_id, 0 AS step, list({{'id': id, 'rel': rel::DOUBLE, 'words': words, 'near': 0.0::DOUBLE, 'open': true, 'pick': 0}} ORDER BY score DESC, id) AS held FROM x GROUP BY query_id)""").replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, r AS (SELECT query_id, step, held FROM pool UNION ALL
+SELECT query_id, step + 1, list_transform(held, lambda h, j: {'id': h.id, 'rel': h.rel, 'words': h.words, 'near': CASE WHEN h.open AND j <> i THEN greatest(h.near, d[j]) ELSE h.near END, 'open': h.open AND j <> i AND d[j] < 0.82::DOUBLE, 'pick': CASE WHEN j = i THEN step + 1 ELSE h.pick END})
+FROM (SELECT query_id, step, held, i, list_transform(held, lambda h: CASE WHEN len(h.words) = 0 OR len(held[i].words) = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(h.words, held[i].words)) / (len(h.words) + len(held[i].words)) END) AS d
+  FROM (SELECT query_id, step, held, list_position(w, list_max(w)) AS i FROM (SELECT query_id, step, held, list_transform(held, lambda h: CASE WHEN h.open THEN 0.72::DOUBLE * h.rel - (1 - 0.72::DOUBLE) * h.near ELSE -1e9 END) AS w
+    FROM r WHERE step < 12 AND len(list_filter(held, lambda h: h.open)) > 0)))),
+last AS (SELECT query_id, unnest(arg_max(held, step)) AS h FROM r GROUP BY query_id)
+SELECT query_id, h.id AS id, h.pick AS pick FROM last WHERE h.pick > 0""",
 }

@@ -171,4 +171,9 @@ FROM r JOIN h USING (scope_id), budgets b GROUP BY r.scope_id, b.budget_id""",
     + """SELECT s.key AS scope_key, (SELECT count(*) FROM k WHERE k.scope_id = s.id) AS episodes, (SELECT count(*) FROM f WHERE f.scope_id = s.id AND f.invalidated_at IS NULL) AS facts,
 (SELECT count(*) FROM f JOIN e ON e.id = f.episode_id WHERE f.scope_id = s.id AND f.invalidated_at IS NULL) AS anchored
 FROM scopes s WHERE EXISTS (SELECT 1 FROM e WHERE e.scope_id = s.id) OR EXISTS (SELECT 1 FROM f WHERE f.scope_id = s.id)""",
+    "exported_lines": with_("f e n") + """SELECT s.key AS scope_key, 'episode' AS part, e.id, CAST(json_merge_patch('{}', to_json({'id': e.id, 'source': e.source, 'kind': e.kind, 'text': e.body, 'meta': e.meta,
+'hash': lower(hex(e.hash)), 'head': e.head, 'recorded_at': e.recorded_at})) AS VARCHAR) AS json FROM e JOIN scopes s ON s.id = e.scope_id
+UNION ALL SELECT s.key, 'fact', f.id, CAST(json_merge_patch('{}', to_json({'id': f.id, 'src': a.name, 'rel': f.rel, 'dst': b.name, 'statement': f.statement, 'confidence': f.confidence, 'valid_from': f.valid_from,
+'valid_to': f.valid_to, 'recorded_at': f.recorded_at, 'invalidated_at': f.invalidated_at, 'episode_id': f.episode_id})) AS VARCHAR)
+FROM f JOIN scopes s ON s.id = f.scope_id LEFT JOIN n a ON a.id = f.src LEFT JOIN n b ON b.id = f.dst""",
 }

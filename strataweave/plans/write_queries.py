@@ -165,4 +165,19 @@ m AS (SELECT id, count(*) AS k FROM s GROUP BY id)""")
     "orphans_after_prune": with_("f n", f"g AS (SELECT * FROM f WHERE NOT (coalesce(invalidated_at, {NOW}) < {NOW - 90 * text.DAY} AND hits = 0))")
     + "SELECT id FROM n WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.src = n.id) AND NOT EXISTS (SELECT 1 FROM g WHERE g.dst = n.id)",
     "episodes_pending": with_("f e") + "SELECT id, recorded_at FROM e WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.episode_id = e.id)",
+    # One fact after the other: `live` holds the facts that are open in each key after its k-th row, as a map from hash to fact.
+    "replayed_inputs": with_("i e", f"""k AS (SELECT e.scope_id, {sql_normalize('i.src')} AS src, i.rel, i.input_id AS id, epoch_ms(i.received_at) AS ts, i.valid_from, i.valid_to, i.confidence,
+  substr(sha256(encode(i.rel || chr(0) || coalesce({sql_normalize('i.src')}, '') || chr(0) || coalesce({sql_normalize('i.dst')}, '') || chr(0) || {sql_normalize('i.statement')} || chr(0))), 1, 32) AS hash,
+  i.src IS NOT NULL AND coalesce(i.supersede, lower(i.rel) IN ({_SINGLE})) AS over FROM i JOIN e ON e.id = i.episode_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY scope_id, src, rel ORDER BY ts, id) AS step FROM k),
+z AS (SELECT scope_id, src, rel, step, hash, id, ts, coalesce(valid_from, ts) AS begin, valid_to, confidence, over FROM o)""").replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, w AS (SELECT scope_id, src, rel, step, [{'hash': hash, 'id': id, 'begin': begin, 'valid_to': valid_to, 'rec': ts, 'conf': confidence, 'inv': CAST(NULL AS BIGINT), 'by': CAST(NULL AS BIGINT)}] AS held FROM z WHERE step = 1
+UNION ALL SELECT z.scope_id, z.src, z.rel, z.step,
+CASE WHEN len(list_filter(w.held, lambda h: h.inv IS NULL AND h.hash = z.hash)) > 0
+  THEN list_transform(w.held, lambda h: CASE WHEN h.inv IS NULL AND h.hash = z.hash THEN {'hash': h.hash, 'id': h.id, 'begin': h.begin, 'valid_to': h.valid_to, 'rec': greatest(h.rec, z.ts), 'conf': greatest(h.conf, z.confidence), 'inv': h.inv, 'by': h.by} ELSE h END)
+  ELSE list_append(CASE WHEN z.over THEN list_transform(w.held, lambda h: CASE WHEN h.inv IS NULL THEN {'hash': h.hash, 'id': h.id, 'begin': h.begin, 'valid_to': coalesce(h.valid_to, z.begin), 'rec': h.rec, 'conf': h.conf, 'inv': z.ts, 'by': z.id} ELSE h END) ELSE w.held END,
+    {'hash': z.hash, 'id': z.id, 'begin': z.begin, 'valid_to': z.valid_to, 'rec': z.ts, 'conf': z.confidence, 'inv': CAST(NULL AS BIGINT), 'by': CAST(NULL AS BIGINT)}) END
+FROM w JOIN z ON z.scope_id = w.scope_id AND z.src IS NOT DISTINCT FROM w.src AND z.rel = w.rel AND z.step = w.step + 1),
+l AS (SELECT scope_id, src, rel, unnest(arg_max(held, step)) AS h FROM w GROUP BY scope_id, src, rel)
+SELECT scope_id, src, rel, h.hash AS hash, h.id AS id, h.begin AS valid_from, h.valid_to AS valid_to, h.rec AS recorded_at, h.conf AS confidence, h.inv AS invalidated_at, h.by AS invalidated_by FROM l""",
 }
