@@ -5,23 +5,28 @@ many rows as the capacity, whatever the number of documents. For each capacity o
 with the longest length left, find by a bitset subset-sum dynamic programme over the lengths left the fullest feasible
 combination, and use that pattern for as many containers as the counts allow. Every pattern uses up a length, so
 there are few patterns. The documents are then dealt to the patterns' places by their rank within their length, which
-is counted in two levels (within salted parts, then by the parts' offsets), so that no length is gathered in one task.
+is counted in two levels (within parts of a length, as many as its count asks for, then by the parts' offsets), so that
+no length is gathered in one task.
 
 A document longer than the capacity is divided: as many full containers as it fills, and its rest as one more item.
 
 Defined results: null texts and rows without an id are left out; a text without tokens needs no room and stands in container 0; capacities
 that are null or below one are left out; a repeated id is packed as often as it stands; empty tables give an empty
-result. Texts are read whole; a text of more than SLICE characters is counted in slices that end at line ends where it
-has any. Further columns are not read.
+result. Texts are read whole. A long text is handed to the tokenizer in slices, cut only at single blanks between two
+visible characters: a token of PATTERN can begin there, but none can reach across, so the counts are the same; other
+patterns get whole texts. Further columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +36,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the published split pattern of this public byte-level vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SLICE = 200_000
+_BORDER = re.compile(r"(?<=\S) (?=\S)")
+BROADCAST_ROWS = 1_000_000
 _ENCODERS: dict[tuple[str, str], object] = {}
 
 
@@ -45,21 +52,22 @@ def encoder(path: str, pattern: str):
     return _ENCODERS[path, pattern]
 
 
-def _slices(text: str) -> Iterator[str]:
+def _slices(text: str, pattern: str) -> Iterator[str]:
     at = 0
-    while len(text) - at > SLICE:
-        end = text.rfind("\n", at + 1, at + SLICE) + 1 or at + SLICE
-        yield text[at:end]
-        at = end
+    while pattern == PATTERN and len(text) - at > SLICE and (border := _BORDER.search(text, at + SLICE)):
+        yield text[at : border.start()]
+        at = border.start()
     yield text[at:]
 
 
 def token_counts(docs: DataFrame, doc_id: str, text: str, path: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
-    """Rows (doc_id, tokens)."""
+    """Rows (doc_id, tokens), by the tokenizer whose file the driver has at `path`; the file is handed to all executors."""
+    docs.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
 
     def count(texts: pd.Series) -> pd.Series:
-        enc = encoder(path, pattern)
-        return pd.Series([sum(len(enc.encode_ordinary(s)) for s in _slices(t)) for t in texts], dtype=np.int64)
+        enc = encoder(SparkFiles.get(name), pattern)
+        return pd.Series([sum(len(enc.encode_ordinary(s)) for s in _slices(t, pattern)) for t in texts], dtype=np.int64)
 
     rows = docs.where(F.col(text).isNotNull() & F.col(doc_id).isNotNull())
     return rows.select(F.col(doc_id).alias("doc_id"), F.pandas_udf(count, "long")(F.col(text)).alias("tokens"))
@@ -109,7 +117,7 @@ def patterns(capacity: int, counts: dict[int, int]) -> list[tuple[dict[int, int]
         out.append((use, times))
 
 
-PLACES = "budget_id int, length int, from_rank long, per_bin int, first_bin long"
+PLACES = "budget_id int, length int, from_rank long, to_rank long, per_bin int, first_bin long"
 
 
 def _solve(group: pd.DataFrame) -> pd.DataFrame:
@@ -118,24 +126,23 @@ def _solve(group: pd.DataFrame) -> pd.DataFrame:
     rows, next_bin = [], 1
     for use, times in patterns(capacity, dict(zip(group["length"].tolist(), group["n"].tolist()))):
         for length, n in use.items():
-            rows.append((int(group["budget_id"].iloc[0]), length, rank.get(length, 0), n, next_bin))
-            rank[length] = rank.get(length, 0) + n * times
+            low = rank.get(length, 0)
+            rank[length] = low + n * times
+            rows.append((int(group["budget_id"].iloc[0]), length, low, rank[length], n, next_bin))
         next_bin += times
-    return pd.DataFrame(rows, columns=["budget_id", "length", "from_rank", "per_bin", "first_bin"])
+    return pd.DataFrame(rows, columns=["budget_id", "length", "from_rank", "to_rank", "per_bin", "first_bin"])
 
 
-def _bin(rank: pd.Series, starts: pd.Series, per_bin: pd.Series, first_bin: pd.Series) -> pd.Series:
-    out = np.empty(len(rank), dtype=np.int64)
-    for i, (r, s, n, b) in enumerate(zip(rank, starts, per_bin, first_bin)):
-        k = int(np.searchsorted(s, r, side="right")) - 1
-        out[i] = b[k] + (r - s[k]) // n[k]
-    return pd.Series(out)
+def _bounded(table: DataFrame) -> DataFrame:
+    """The table to be broadcast if it is counted to be small, else to be joined by a shuffle."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table.hint("merge")
 
 
-def pack(sizes: DataFrame, budgets: DataFrame, salts: int = 64) -> DataFrame:
+def pack(sizes: DataFrame, budgets: DataFrame, per_part: int = 100_000) -> DataFrame:
     """Rows (budget_id, bin_no, doc_id, part_no, tokens): every document, or part of one, in its container.
 
-    sizes: (doc_id, tokens); budgets: (budget_id, capacity), a small table whose capacities bound all broadcasts here.
+    sizes: (doc_id, tokens); budgets: (budget_id, capacity), a stated small list; its capacities bound how many lengths and
+    patterns there are, and these tables are counted before they are broadcast.
     """
     sizes = cut(sizes)
     caps = budgets.where("capacity >= 1").select(F.col("budget_id").cast("int").alias("budget_id"), F.col("capacity").cast("int").alias("capacity")).distinct()
@@ -152,18 +159,19 @@ def pack(sizes: DataFrame, budgets: DataFrame, salts: int = 64) -> DataFrame:
 
     some = items.where("length > 0")
     counts = cut(some.groupBy("budget_id", "capacity", "length").agg(F.count("*").alias("n")))
-    places = counts.groupBy("budget_id").applyInPandas(_solve, PLACES)
-    by_length = places.groupBy("budget_id", "length").agg(F.array_sort(F.collect_list(F.struct("from_rank", "per_bin", "first_bin"))).alias("p"))
-    by_length = cut(by_length.select("budget_id", "length", *[F.col(f"p.{c}").alias(c) for c in ("from_rank", "per_bin", "first_bin")]))
+    places = cut(counts.groupBy("budget_id").applyInPandas(_solve, PLACES))
 
-    salted = some.withColumn("salt", F.pmod(F.xxhash64("doc_id", "part_no"), F.lit(salts)))
+    parts_of = counts.select("budget_id", "length", F.ceil(F.col("n") / per_part).alias("many"))
+    salted = some.join(_bounded(parts_of), ["budget_id", "length"]).withColumn("salt", F.pmod(F.xxhash64("doc_id", "part_no"), F.col("many")))
     key = ["budget_id", "length", "salt"]
     ranked = salted.withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy("doc_id", "part_no")) - 1)
     offsets = salted.groupBy(*key).agg(F.count("*").alias("m"))
     before = F.sum("m").over(Window.partitionBy("budget_id", "length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     offsets = offsets.select(*key, F.coalesce(before, F.lit(0)).alias("o"))
-    placed = ranked.join(offsets, key).join(F.broadcast(by_length), ["budget_id", "length"])
-    bin_no = F.pandas_udf(_bin, "long")((F.col("r") + F.col("o")).cast("long"), "from_rank", "per_bin", "first_bin")
+    placed = ranked.join(offsets, key).withColumn("rank", F.col("r") + F.col("o"))
+    # A range join within each length: the pattern whose places take the rank in.
+    placed = placed.join(_bounded(places), ["budget_id", "length"]).where((F.col("rank") >= F.col("from_rank")) & (F.col("rank") < F.col("to_rank")))
+    bin_no = F.col("first_bin") + F.floor((F.col("rank") - F.col("from_rank")) / F.col("per_bin"))
     placed = placed.select("budget_id", bin_no.alias("bin_no"), "doc_id", "part_no", F.col("length").alias("tokens"))
     empty = items.where("length = 0").select("budget_id", F.lit(0).cast("long").alias("bin_no"), "doc_id", "part_no", F.col("length").alias("tokens"))
     return placed.unionByName(empty)

@@ -132,9 +132,15 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return reading.levels(docs, "doc_id", "text", "source", read(spark, root, "ratings", "doc_id", "grade"))
 
 
+def p9_agreement(spark: SparkSession, root: str) -> DataFrame:
+    """How often the levels of held-out documents are the raters', by source."""
+    docs = read(spark, root, "documents", "doc_id", "text", "source")
+    return reading.agreement(docs, "doc_id", "text", "source", read(spark, root, "ratings", "doc_id", "grade"))
+
+
 QUERIES = {
     q.__name__: q
-    for q in (p1_found, p1_segments, p2_found, p2_groups, p3_found, p3_redacted, p5_found, p5_forms, p5_classes, p6_found, p6_groups, p7_bins, p7_fill, p8_found, p9_found)
+    for q in (p1_found, p1_segments, p2_found, p2_groups, p3_found, p3_redacted, p5_found, p5_forms, p5_classes, p6_found, p6_groups, p7_bins, p7_fill, p8_found, p9_found, p9_agreement)
 }
 
 _FROM = "".join(forms.SAME_SHAPE) + "".join(chr(0xFF01 + i) for i in range(94)) + forms.HYPHENS.replace("－", "")

@@ -145,21 +145,14 @@ def cut_points(score: np.ndarray, grade: np.ndarray, grades: np.ndarray) -> list
 
 
 class Levels:
-    """A fitted model with its calibration."""
+    """A fitted model with its calibration from held-out scores (null where none could be held out)."""
 
-    def __init__(self, rated: pd.DataFrame, folds: int = 4) -> None:
-        x = np.stack(rated["features"].to_numpy()).astype(float)
-        y = rated["grade"].to_numpy(dtype=float)
-        fold = rated["fold"].to_numpy() % folds
+    def __init__(self, rated: pd.DataFrame) -> None:
+        x, y, held = np.stack(rated["features"].to_numpy()).astype(float), rated["grade"].to_numpy(dtype=float), rated["held"].to_numpy(dtype=float)
         self.model = Boosted().fit(x, y)
-        held = np.full(len(y), np.nan)
-        for k in range(folds):
-            if (fold == k).any() and (fold != k).sum() >= 20:
-                held[fold == k] = Boosted().fit(x[fold != k], y[fold != k]).predict(x[fold == k])
         known = ~np.isnan(held)
         self.grades = np.unique(np.round(y)).astype(int)
         self.borders = cut_points(held[known], y[known], self.grades) if known.sum() >= 20 else [(a + b) / 2 for a, b in zip(self.grades, self.grades[1:])]
-        self.agreement = float((self.level(held[known]) == np.round(y[known])).mean()) if known.any() else float("nan")
 
     def level(self, score: np.ndarray) -> np.ndarray:
         return self.grades[np.searchsorted(self.borders, score)]
@@ -169,6 +162,20 @@ class Levels:
         return self.level(self.model.predict(x))
 
 
+FOLDS = 4
+
+
+def _hold_out(group: pd.DataFrame) -> pd.DataFrame:
+    """Scores of the documents of one fold by trees that were grown on the others."""
+    k = group["k"].iloc[0]
+    out, rest = group[group["fold"] == k], group[group["fold"] != k]
+    score = np.full(len(out), np.nan)
+    if len(out) and len(rest) >= 20:
+        of = lambda g: np.stack(g["features"].to_numpy()).astype(float)
+        score = Boosted().fit(of(rest), rest["grade"].to_numpy(dtype=float)).predict(of(out))
+    return pd.DataFrame({"doc_id": out["doc_id"], "held": score})
+
+
 def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = [(i, *describe(t)) for i, t in zip(b["doc_id"], b["text"])]
@@ -187,14 +194,46 @@ def rated_sample(ratings: DataFrame, most_rated: int = 6000) -> DataFrame:
     return rated.orderBy(F.xxhash64("doc_id")).limit(most_rated)
 
 
+def rated_rows(described: DataFrame, sources: DataFrame, rated: DataFrame) -> DataFrame:
+    """Rows (doc_id, features, grade, source, fold, held) of the rated sample; `sources` has (doc_id, source).
+
+    All documents of a source are in one fold; the folds are fitted by tasks of their own.
+    """
+    fold = F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(FOLDS)).cast("int").alias("fold")
+    few = F.broadcast(rated)  # at most `most_rated` rows
+    rows = sources.join(few, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "grade", "source", fold)
+    rows = cut(described.select("doc_id", "features").join(F.broadcast(rows), "doc_id").dropDuplicates(["doc_id"]))
+    each = rows.select("doc_id", "features", "grade", "fold", F.explode(F.array([F.lit(k) for k in range(FOLDS)])).alias("k"))
+    held = each.repartition(FOLDS, "k").groupBy("k").applyInPandas(_hold_out, "doc_id long, held double")
+    return rows.join(held.hint("merge"), "doc_id")
+
+
 def fit(described: DataFrame, sources: DataFrame, rated: DataFrame) -> Levels | None:
     """The model from the rated sample; `sources` has (doc_id, source)."""
-    fold = F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(1_000_003)).alias("fold")
-    rows = sources.join(F.broadcast(rated), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "grade", fold)
-    rows = described.join(F.broadcast(rows), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
+    rows = rated_rows(described, sources, rated).select("doc_id", "features", "grade", "held").orderBy("doc_id").toPandas()
     return Levels(rows) if len(rows) else None
 
 
+def agreement(docs: DataFrame, doc_id: str, text: str, source: str, ratings: DataFrame) -> DataFrame:
+    """Rows (source, rated, right, share): how many held-out documents of each source of the rated sample get the raters' level.
+
+    A document's score comes from trees that saw no document of its source; the cut points between levels are those of all
+    held-out scores. Sources that could not be held out have no row.
+    """
+    spark = docs.sparkSession
+    rated = cut(rated_sample(ratings))
+    some = docs.join(F.broadcast(rated.select(F.col("doc_id").alias(doc_id))), doc_id, "left_semi")
+    sources = some.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"))
+    rows = rated_rows(cut(features(some, doc_id, text)), sources, rated).select("doc_id", "features", "grade", "source", "held").orderBy("doc_id").toPandas()
+    out = "source string, rated long, right long, share double"
+    if not len(rows):
+        return spark.createDataFrame([], out)
+    model, known = Levels(rows), rows[rows["held"].notna()]
+    right = model.level(known["held"].to_numpy()) == np.round(known["grade"].to_numpy())
+    each = spark.createDataFrame(pd.DataFrame({"source": known["source"].astype(object).where(known["source"].notna(), None), "right": right.astype(bool)}), "source string, right boolean")
+    return each.groupBy("source").agg(F.count("*").alias("rated"), F.count_if("right").alias("right"), F.avg(F.col("right").cast("double")).alias("share"))
+
+
 def levels(docs: DataFrame, doc_id: str, text: str, source: str, ratings: DataFrame, least_words: int = 60) -> DataFrame:
     """Rows (doc_id, level) for every document with enough prose. See the module's text."""
     spark = docs.sparkSession

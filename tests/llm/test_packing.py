@@ -22,7 +22,7 @@ def test_pack_places_everything_once_within_capacity(spark):
     sizes = [(i, rnd.choice([0, 5, 5, 5, 5, rnd.randrange(1, 90), rnd.randrange(100, 350)])) for i in range(400)]
     df = spark.createDataFrame(sizes, "doc_id long, tokens long")
     budgets = spark.createDataFrame([(1, 100, "a"), (2, 64, "b"), (3, None, "c"), (4, 0, "d")], "budget_id int, capacity int, label string")
-    got = packing.pack(df, budgets, salts=4).collect()
+    got = packing.pack(df, budgets, per_part=4).collect()
     for budget, capacity in ((1, 100), (2, 64)):
         rows = [r for r in got if r.budget_id == budget]
         whole = {}
@@ -58,3 +58,23 @@ def test_token_counts(spark, tmp_path):
     rows = [(1, "abc d"), (2, ""), (3, None), (4, "x\n" * 150_000), (None, "abc")]
     got = {r.doc_id: r.tokens for r in packing.token_counts(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", str(vocabulary)).collect()}
     assert got == {1: 5, 2: 0, 4: 300_000}
+
+
+def test_long_texts_are_cut_where_no_token_reaches_across():
+    import os
+    import random
+
+    import pytest
+
+    if not os.path.exists(packing.TOKENIZER):
+        pytest.skip("the vocabulary is not here")
+    enc, rnd = packing.encoder(packing.TOKENIZER, packing.PATTERN), random.Random(3)
+    kept, packing.SLICE = packing.SLICE, 40
+    try:
+        for _ in range(300):
+            text = "".join(rnd.choice(["a", "word", "  ", " ", "\n", "'s", "'", "12", "é", "…", "\t", "\u00a0", "!?", " \n "]) for _ in range(200))
+            slices = list(packing._slices(text, packing.PATTERN))
+            assert "".join(slices) == text and sum(len(enc.encode_ordinary(s)) for s in slices) == len(enc.encode_ordinary(text))
+        assert list(packing._slices("x" * 100, packing.PATTERN)) == ["x" * 100] and list(packing._slices("x y" * 100, "other")) == ["x y" * 100]
+    finally:
+        packing.SLICE = kept

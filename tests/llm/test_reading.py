@@ -51,3 +51,16 @@ def test_features_ignore_code():
     words, features = reading.describe("The cache reads the queue.\n\n```\n$ run --x=1 a/b_1.sql\n```\n")
     assert words == 5 and len(features) == len(reading.FEATURES)
     assert reading.describe("$ run --x=1 a/b_1.sql")[1] is None and reading.describe("") == (0, None)
+
+
+def test_agreement_is_reported_by_source(spark):
+    rnd = random.Random(5)
+    docs = [(i, document(1 + i % 4, rnd), f"s{i % 7}") for i in range(160)] + [(900, document(1, rnd), None), (901, None, "s1")]
+    ratings = [(i, 1 + i % 4) for i in range(160)] + [(900, 1), (901, 3), (99_999, 2)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, source string").selectExpr("*", "1 AS grade")
+    r = spark.createDataFrame(ratings, "doc_id long, grade int")
+    got = {x.source: x for x in reading.agreement(d, "doc_id", "text", "source", r).collect()}
+    assert set(got) == {f"s{k}" for k in range(7)} | {None} and sum(x.rated for x in got.values()) == 161
+    assert all(x.right <= x.rated and abs(x.share - x.right / x.rated) < 1e-9 for x in got.values())
+    assert sum(x.right for x in got.values()) > 0.75 * 161
+    assert reading.agreement(d, "doc_id", "text", "source", r.limit(0)).count() == 0
