@@ -102,8 +102,8 @@ def _form(text: str) -> str:
     return (table_form(text) if not text.isascii() and _ODD.search(text) else text).lower()
 
 
-def _identities(least: int, with_form: bool):
-    """Rows (id, h1, h2[, form]) of the texts with at least `least` words."""
+def _identities(least: int):
+    """Rows (id, h1, h2) of the texts with at least `least` words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -111,10 +111,8 @@ def _identities(least: int, with_form: bool):
             for part in _pieces(forms):
                 hashes, count = word_hashes(forms[part])
                 at = np.concatenate([[0], np.cumsum(count)])
-                frame = pd.DataFrame({"id": ids[part], "h1": _mix(_sums(hashes, at[:-1], at[1:], 1) + count.astype(np.uint64)).view(np.int64), "h2": _mix(_sums(_mix(hashes), at[:-1], at[1:], 2)).view(np.int64)})
-                if with_form:
-                    frame["form"] = forms[part]
-                yield frame[count >= least]
+                h1 = _mix(_sums(hashes, at[:-1], at[1:], 1) + count.astype(np.uint64)).view(np.int64)
+                yield pd.DataFrame({"id": ids[part], "h1": h1, "h2": _mix(_sums(_mix(hashes), at[:-1], at[1:], 2)).view(np.int64)})[count >= least]
 
     return run
 
@@ -129,11 +127,11 @@ def of_arrays(b: pd.DataFrame) -> Flat:
     return b["node"].to_numpy(), np.fromiter(map(len, members), np.int64, len(members)), np.concatenate([np.zeros(0, np.int64), *members])
 
 
-def of_forms(width: int) -> Callable[[pd.DataFrame], Flat]:
-    """The sets of rows (node, form): the hashes of the runs of `width` successive words."""
+def of_texts(width: int) -> Callable[[pd.DataFrame], Flat]:
+    """The sets of rows (node, text): the hashes of the runs of `width` successive words."""
 
     def read(b: pd.DataFrame) -> Flat:
-        forms, sizes, members = list(b["form"]), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        forms, sizes, members = [_form(t) for t in b["text"]], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for part in _pieces(forms):
             hashes, count = word_hashes(forms[part])
             doc = np.repeat(np.arange(len(count)), count)
@@ -271,7 +269,8 @@ def _key_lists(node: np.ndarray, n: np.ndarray, m: np.ndarray, keys: np.ndarray)
 
 def _met(f: pd.DataFrame, share: float, hits: int) -> pd.DataFrame:
     """Rows (x, y, hits, need): how often a larger text x and a smaller one y meet on the lists of f, which are whole and sorted."""
-    key, cell, side, node, place = (f[c].to_numpy() for c in ("key", "cell", "side", "node", "place"))
+    key, cell, node, place = (f[c].to_numpy() for c in ("key", "cell", "node", "place"))
+    cell, side = cell >> 2, cell & 3  # which two chunks meet, and which of them the entry is from; 2 where a chunk meets itself
     n, m = (f["sizes"].to_numpy() >> 32), (f["sizes"].to_numpy() & 0xFFFFFFFF)
     signs = [f[c].to_numpy().view(np.uint64) for c in ("b0", "b1")]
     new = np.ones(len(f), dtype=bool)
@@ -308,7 +307,7 @@ def _merge(share: float, hits: int):
             if not len(b):
                 continue
             b = b if rest is None else pd.concat([rest, b], ignore_index=True)
-            same = (b["key"].to_numpy() == b["key"].iloc[-1]) & (b["cell"].to_numpy() == b["cell"].iloc[-1])
+            same = (b["key"].to_numpy() == b["key"].iloc[-1]) & (b["cell"].to_numpy() >> 2 == b["cell"].iloc[-1] >> 2)
             rest = b[same]
             if not same.all():
                 yield _met(b[~same], share, hits)
@@ -346,11 +345,11 @@ def near_pairs(sets: DataFrame, share: float, block: int = 4000, hits: int = 3,
     # A list longer than a block is cut into chunks, and every two chunks meet in a cell of their own.
     chunks = F.ceil(F.pow(F.lit(2), F.shiftright("key", HASH_BITS) + 1) / block)
     mine = F.when(chunks > 1, F.pmod(F.xxhash64("node"), chunks)).otherwise(0)
-    cells = F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda o: F.struct(
-        (F.least(mine, o) * (1 << 31) + F.greatest(mine, o)).alias("cell"), F.when(mine == o, 2).otherwise((mine > o).cast("int")).alias("side")))
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("cell"), F.lit(2).alias("side")))
-    lists = short.select("*", F.inline(F.when(chunks > 1, cells).otherwise(whole)))
-    lists = lists.repartition("key", "cell").sortWithinPartitions("key", "cell", F.shiftright("sizes", 32), "node")
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda o: (
+        (F.least(mine, o) * (1 << 29) + F.greatest(mine, o)) * 4 + F.when(mine == o, 2).otherwise((mine > o).cast("int"))))
+    lists = short.select("*", F.explode(F.when(chunks > 1, cells).otherwise(F.array(F.lit(2).cast("long")))).alias("cell"))
+    cell = F.shiftright("cell", 2)
+    lists = lists.repartition("key", cell).sortWithinPartitions("key", cell, F.shiftright("sizes", 32), "node")
     met = lists.mapInPandas(_merge(share, hits), "x long, y long, need long, hits long")
     met = met.groupBy("x", "y", "need").agg(F.sum("hits").alias("hits")).where(F.col("hits") >= F.least(F.lit(hits), "need"))
     met = kept(met)
@@ -364,12 +363,12 @@ def near_pairs(sets: DataFrame, share: float, block: int = 4000, hits: int = 3,
 def groups(df: DataFrame, id_: str, text: str, width: int = 5, share: float = 0.8, least_words: int = 1) -> DataFrame:
     """Rows (id, root): the group of every text that takes part; a text without near copies is a group of its own."""
     rows = df.where(F.col(text).isNotNull() & F.col(id_).isNotNull()).select(F.col(id_).cast("long").alias("id"), F.col(text).alias("text"))
-    least = max(least_words, width)
-    forms = rows.mapInPandas(_identities(least, True), "id long, h1 long, h2 long, form string")
-    texts = kept(forms.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.first("form").alias("form")))
-    roots = components(near_pairs(texts.select("node", "form"), share, read=of_forms(width)), "a", "b")
-    members = rows.mapInPandas(_identities(least, False), "id long, h1 long, h2 long").dropDuplicates(["id"])
-    members = members.join(texts.select("h1", "h2", "node"), ["h1", "h2"]).select("id", "node")
+    ids = kept(rows.mapInPandas(_identities(max(least_words, width)), "id long, h1 long, h2 long").dropDuplicates(["id"]))
+    nodes = ids.groupBy("h1", "h2").agg(F.min("id").alias("node"))
+    members = kept(ids.join(nodes.hint("merge"), ["h1", "h2"]).select("id", "node"))
+    first = rows.join(members.where("id = node").select("id").hint("merge"), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+    texts = kept(first.select(F.col("id").alias("node"), "text"))
+    roots = components(near_pairs(texts, share, read=of_texts(width)), "a", "b")
     return members.join(roots.hint("merge"), "node", "left").select("id", F.coalesce("root", "node").alias("root"))
 
 
