@@ -48,3 +48,21 @@ def test_cases(spark):
     doubled = {(r.key, r.seg_no, r.lang) for r in languages.label_cases(df.union(df), "key", "text", "label").collect()}
     assert doubled == got
     assert languages.label_cases(df.limit(0), "key", "text", "label").count() == 0
+
+
+def test_confidence_is_how_often_held_out_sentences_are_right():
+    f = languages.Filter([np.arange(1, 10, dtype=np.uint64)] * 5)
+    rng = np.random.default_rng(2)
+    sure = rng.uniform(0.5, 1, 4000)
+    f.calibrate(sure, rng.uniform(0, 1, 4000) < sure)
+    got = f.confidence(np.array([0.55, 0.75, 0.95]))
+    assert np.abs(got - [0.55, 0.75, 0.95]).max() < 0.06 and (np.diff(f.truth) >= 0).all()
+    f.calibrate(np.zeros(0), np.zeros(0, dtype=bool))
+
+
+def test_function_words_tell_sentences_of_other_subjects():
+    model = languages.train(pd.DataFrame([(lang, t) for lang, said in SAID.items() for t in said], columns=["lang", "text"]))
+    plain = {"de": "Ich weiß nicht, wo mein Bruder mit dem Hund ist.", "es": "No sé dónde está mi hermano con el perro.", "en": "They have been there with their dog for more than two hours."}
+    for lang, text in plain.items():
+        grams, starts = languages.grams_of([text])
+        assert languages.LANGUAGES[languages.decide(model.counts(grams, starts), 4, 1.2)[0][0]] == lang
