@@ -115,7 +115,9 @@ def split(text: str) -> list[tuple[str, int]]:
     out = []
     for piece in BREAK.split(table_form(text)):
         if piece and (tokens := piece.split()):
-            prose = sum(t.isalpha() or t.strip(_EDGE).replace("'", "").replace("-", "").isalpha() for t in tokens)
+            prose = sum(map(str.isalpha, tokens))
+            if prose < len(tokens):
+                prose += sum(t.strip(_EDGE).replace("'", "").replace("-", "").isalpha() for t in tokens if not t.isalpha())
             out.append((piece, prose if 2 * prose > len(tokens) else 0))
     return out
 

@@ -14,6 +14,7 @@ Further columns are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,7 @@ MARKERS = {
     "pt": "o os uma não do um",
 }
 _MARK = {w: i for i, words in enumerate(MARKERS.values()) for w in words.split()}
+_MARKS = frozenset(_MARK)
 _WORD = re.compile(r"[^\W\d_][\w'’-]*")
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
 _AT = np.array(QUANTILES)
@@ -55,26 +57,28 @@ def describe(text: str) -> tuple[int, np.ndarray | None]:
         words = _WORD.findall(piece.lower())
         if len(words) < 3:
             continue
-        sizes = [len(w) for w in words]
+        sizes = list(map(len, words))
         n = len(words)
-        long = sum(s >= 9 for s in sizes)
-        rows.append((n, sum(sizes) / n, long / n, max(sizes), piece.count(",") + piece.count(";"), sum(s >= 12 for s in sizes)))
+        bags.append({w for w, s in zip(words, sizes) if s > 4})
+        sizes.sort()
+        rows.append((n, sum(sizes) / n, (n - bisect_left(sizes, 9)) / n, sizes[-1], piece.count(",") + piece.count(";"), n - bisect_left(sizes, 12)))
         colons += ":" in piece
-        bags.append({w for w in words if len(w) > 4})
-        for w in _MARK.keys() & words:
+        for w in _MARKS.intersection(words):
             marks[_MARK[w]] += 1
     if not rows:
         return total, None
     m = np.array(rows, dtype=float)
     out = []
-    mean, sd = m.mean(axis=0), m.std(axis=0)
+    mean = m.sum(axis=0) / len(m)
+    sd = np.sqrt(((m - mean) ** 2).sum(axis=0) / len(m))
     place = _AT * (len(m) - 1)
     low = place.astype(int)
     ranked = np.sort(m, axis=0)
     quantiles = ranked[low] + (ranked[np.minimum(low + 1, len(m) - 1)] - ranked[low]) * (place - low)[:, None]
     for k in range(len(PARTS)):
         out += [mean[k], sd[k], *quantiles[:, k]]
-    carry = np.mean([len(a & b) / max(1, len(a | b)) for a, b in zip(bags, bags[1:])]) if len(bags) > 1 else 0.0
+    shared = [len(a & b) for a, b in zip(bags, bags[1:])]
+    carry = sum(k / max(1, len(a) + len(b) - k) for k, a, b in zip(shared, bags, bags[1:])) / len(shared) if shared else 0.0
     every = set().union(*bags)
     out += [float(((m[:, 4] == 0) & (m[:, 0] <= 12)).mean()), float((m[:, 4] >= 2).mean()), len(every) / max(1, sum(map(len, bags))), carry, len(rows), colons / len(rows)]
     seen = max(1.0, sum(marks))
