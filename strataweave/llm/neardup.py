@@ -37,6 +37,8 @@ from strataweave.session import cut, kept
 CHUNK = 1 << 22  # characters, and pairs, that are worked on at once
 BROADCAST_ROWS = 4_000_000
 """Tables of shared shingles up to this size (about 36 MB) go to every task; larger ones are joined."""
+BROADCAST_NODES = 1_000_000
+"""Candidates' nodes up to this number (8 MB) are told to every task; more are joined."""
 HASH_BITS = 58
 _U = np.uint64
 _LETTER = np.full(0x110000, 2, dtype=np.uint8)  # 1 for letters and digits, filled as characters are met
@@ -173,10 +175,11 @@ def _keys(s: np.ndarray, n: np.ndarray) -> np.ndarray:
     return (rare << HASH_BITS) | (s & ((1 << HASH_BITS) - 1))
 
 
-def ordered(shared: DataFrame, read: Callable[[pd.DataFrame], Flat], most: int = BROADCAST_ROWS) -> Callable[[DataFrame, Callable, str], DataFrame]:
-    """A function (sets, use, fields) that hands sets in order to `use`, batch by batch, and gives its rows.
+def ordered(shared: DataFrame, read: Callable[[pd.DataFrame], Flat], most: int = BROADCAST_ROWS) -> Callable[..., DataFrame]:
+    """A function (sets, use, fields, short) that hands sets in order to `use`, batch by batch, and gives its rows.
 
-    `use` gets the nodes, the sizes of their sets, the numbers of their shared shingles, and these from rare to frequent.
+    `use` gets the nodes, the sizes of their sets, the numbers of their shared shingles, and these from rare to frequent,
+    as keys or, if `short` says so and the table is at hand, as their ranks in it, which are smaller numbers.
     The table of shared shingles (s, n) goes to all tasks if it is counted to have at most `most` rows; a larger one is joined.
     """
     if shared.count() > most:
@@ -189,7 +192,7 @@ def ordered(shared: DataFrame, read: Callable[[pd.DataFrame], Flat], most: int =
                 node, n, s = read(b)
                 yield pd.DataFrame({"node": np.repeat(node, n), "s": s})
 
-        def joined(part: DataFrame, use, fields: str) -> DataFrame:
+        def joined(part: DataFrame, use, fields: str, short: bool = False) -> DataFrame:
             def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for b in batches:
                     keys = b["keys"].to_list()
@@ -207,7 +210,7 @@ def ordered(shared: DataFrame, read: Callable[[pd.DataFrame], Flat], most: int =
     rank[by_rank] = np.arange(len(keys))
     known = shared.sparkSession.sparkContext.broadcast((table["s"].to_numpy(), rank, keys[by_rank]))
 
-    def looked_up(part: DataFrame, use, fields: str) -> DataFrame:
+    def looked_up(part: DataFrame, use, fields: str, short: bool = False) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             s, rank, key = known.value
             for b in batches:
@@ -221,7 +224,8 @@ def ordered(shared: DataFrame, read: Callable[[pd.DataFrame], Flat], most: int =
                 each = np.sort((of[is_shared] << 32) | rank[at[is_shared]])
                 each = each[np.diff(each, prepend=-1) != 0]
                 m = np.bincount(each >> 32, minlength=len(node))
-                yield use(node, alone + m, m, key[each & 0xFFFFFFFF])
+                each &= 0xFFFFFFFF
+                yield use(node, alone + m, m, each if short else key[each])
 
         return part.mapInPandas(run, fields)
 
@@ -353,8 +357,9 @@ def near_pairs(sets: DataFrame, share: float, block: int = 4000, hits: int = 3,
     met = lists.mapInPandas(_merge(share, hits), "x long, y long, need long, hits long")
     met = met.groupBy("x", "y", "need").agg(F.sum("hits").alias("hits")).where(F.col("hits") >= F.least(F.lit(hits), "need"))
     met = kept(met)
-    asked = met.select(F.explode(F.array("x", "y")).alias("node")).distinct()
-    keys = order(sets.join(asked.hint("merge"), "node", "left_semi"), _key_lists, "node long, keys array<bigint>")
+    asked = kept(met.select(F.explode(F.array("x", "y")).alias("node")).distinct())
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_NODES else asked.hint("merge")
+    keys = order(sets.join(asked, "node", "left_semi"), _key_lists, "node long, keys array<bigint>", short=True)
     of = lambda node, k: keys.select(F.col("node").alias(node), F.col("keys").alias(k)).hint("merge")
     found = met.join(of("x", "kx"), "x").join(of("y", "ky"), "y").mapInPandas(_probe(hits), "x long, y long")
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
