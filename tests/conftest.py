@@ -10,6 +10,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 def spark():
     from strataweave.session import local_session
 
-    session = local_session(4)
+    session = local_session(8, spark__sql__shuffle__partitions="4")
     yield session
     session.stop()
