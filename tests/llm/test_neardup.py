@@ -81,3 +81,37 @@ def test_words_are_hashed_as_they_stand():
     hashes, count = neardup.word_hashes(texts)
     assert count.tolist() == [3, 0, 3, 2]
     assert hashes[0] == hashes[4] == hashes[7] and hashes[1] == hashes[3] and len(set(hashes.tolist())) == 5
+
+
+def test_long_lists_are_combined(spark):
+    import numpy as np
+    import pandas as pd
+
+    rnd = random.Random(4)
+    clauses = [[f"c{c}w{k}" for k in range(6)] for c in range(25)]
+    rows = []
+    for _ in range(60):
+        text = sum((rnd.choice(clauses) for _ in range(rnd.randrange(3, 16))), [])
+        rows.append((len(rows), text))
+        copy = list(text)
+        for _ in range(rnd.randrange(4)):
+            copy[rnd.randrange(len(copy))] = f"n{rnd.randrange(9)}"
+        rows.append((len(rows), copy))
+    known = {i: {hash(tuple(w[j : j + 3])) for j in range(len(w) - 2)} for i, w in rows}
+    sets = spark.createDataFrame([(i, sorted(s)) for i, s in known.items()], "node long, shingles array<bigint>")
+    for share, hits, long, often in ((0.6, 3, 2, 1024), (0.6, 3, 1, 2), (0.5, 1, 3, 3), (0.4, 2, 2, 4)):
+        whole = {(a, b) for a in known for b in known if a < b and len(known[a] & known[b]) >= share * len(known[a] | known[b]) - 1e-9}
+        assert {tuple(r) for r in neardup.near_pairs(sets, share, hits=hits, long=long, often=often).collect()} == whole
+    assert {tuple(r) for r in neardup.near_pairs(sets, 0.4, block=5, most=0, hits=2, long=2, often=4).collect()} == whole
+
+    # texts of random clauses: shingles of all texts meet in lists of two and three, which are shorter than theirs
+    texts = [np.concatenate([np.arange(6) + 6 * c for c in sorted(rnd.sample(range(300), 12))]) for _ in range(3000)]
+    keys = (np.int64(12) << neardup.HASH_BITS) | (neardup._mix(np.concatenate(texts).astype(np.uint64)) >> np.uint64(6)).view(np.int64)
+    n = np.full(3000, 72)
+    of = np.repeat(np.arange(3000), 72)
+    keys = keys[np.lexsort((keys, of))]
+    seen = neardup._found_together(0.6, 3, 10)(n, n, n, keys)
+    seen = seen[seen["k"] >= 20].sort_values("key")
+    lists = neardup._postings(0.6, 3, 10, type("Known", (), {"value": (seen["key"].to_numpy(), np.full(len(seen), 5))}))(n, n, n, keys)
+    length = lambda key: pd.Series(key).value_counts().pow(2).sum()
+    assert length(lists["key"]) < length(keys) / 10
